@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, packing, quality_rules, secret_scan
+from . import bpe, license_scan, packing, quality_rules, secret_scan, substring_dedup
 from .shared import table
 
 
@@ -19,6 +19,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs, table(spark, sf_dir, "labels")).select("doc_id", "quality_.*")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.deduplicate(docs).select("doc_id", "removal.*")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -31,5 +36,5 @@ def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op5_secret_scan, op8_license_scan, op9_bpe_prefix)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op8_license_scan, op9_bpe_prefix)}
 ORACLES: dict[str, str] = {}
