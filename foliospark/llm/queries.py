@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, packing, quality_rules, secret_scan, substring_dedup
+from . import bpe, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup
 from .shared import table
 
 
@@ -36,5 +36,9 @@ def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op8_license_scan, op9_bpe_prefix)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op8_license_scan, op9_bpe_prefix, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
