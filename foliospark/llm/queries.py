@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup
+from . import bpe, embedding_dedup, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup
 from .shared import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return packing.pack(found)
@@ -40,5 +44,6 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op8_license_scan, op9_bpe_prefix, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op8_license_scan, op9_bpe_prefix, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
+
