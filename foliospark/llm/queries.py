@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup
+from . import bpe, chat_format, embedding_dedup, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup, token_counts
 from .shared import table
 
 
@@ -32,6 +32,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.reformat(table(spark, sf_dir, "conversations"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -44,6 +52,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op8_license_scan, op9_bpe_prefix, op10_ngram_jaccard)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_token_counts, op7_chat_format, op8_license_scan, op9_bpe_prefix, op10_ngram_jaccard, pipeline)}
 ORACLES: dict[str, str] = {}
 
