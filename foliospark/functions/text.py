@@ -102,7 +102,7 @@ def paragraphs(text: Column) -> Column:
     """Split at blank lines, trimmed, without empties; single newlines if that leaves one at most."""
 
     def pieces(by: str) -> Column:
-        return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), strip), lambda p: p != "")
+        return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), lambda p: strip(p)), lambda p: p != "")
 
     blank = pieces("\n\n")
     return F.when(F.size(blank) > 1, blank).otherwise(pieces("\n"))

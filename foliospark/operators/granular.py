@@ -205,5 +205,5 @@ def table_cells(text: Column) -> Column:
     """struct(headers, num_rows) of a pipe table's lines."""
     rows = F.filter(F.split(text, "\n"), lambda x: F.startswith(F.trim(x), F.lit("|")))
     body = F.filter(rows, lambda x: ~x.rlike(r"^\s*\|[\s:|-]+\|?\s*$"))
-    cells = F.transform(F.filter(F.split(F.get(body, F.lit(0)), "\\|"), lambda x: F.trim(x) != ""), F.trim)
+    cells = F.transform(F.filter(F.split(F.get(body, F.lit(0)), "\\|"), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
     return F.struct(cells.alias("headers"), F.greatest(F.size(body) - 1, F.lit(0)).alias("num_rows"))

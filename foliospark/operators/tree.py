@@ -73,10 +73,17 @@ def thinned(nodes: DataFrame, tokens: Column, least: int) -> DataFrame:
 
 
 def absorbed_text(nodes: DataFrame, text: str) -> DataFrame:
-    """(doc_id, idx, text): absorbers' texts with those of their descendants, blank ones left out, blank lines between."""
-    heads = nodes.where("absorber").select(F.col("doc_id").alias("d_"), F.col("idx").alias("head"), F.coalesce("next_idx", F.lit(2147483647)).alias("stop_"))
-    inside = nodes.join(heads, (F.col("doc_id") == F.col("d_")) & (F.col("idx") >= F.col("head")) & (F.col("idx") < F.col("stop_")))
-    return inside.where(F.trim(text) != "").groupBy("doc_id", F.col("head").alias("idx")).agg(ordered_join(F.col("idx"), F.col(text), "\n\n").alias("text"))
+    """(doc_id, idx, text): topmost absorbers' texts with those of their descendants, blank ones left out, blank lines between.
+
+    Their subtrees are disjoint, so each node finds its absorber by a running maximum.
+    """
+    w = _order()
+    stop = F.coalesce("next_idx", F.lit(2147483647))
+    reach = F.max(F.when(F.col("absorber"), stop)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = nodes.select("*", stop.alias("stop_"), (F.coalesce(reach, F.lit(-1)) > F.col("idx")).alias("under_"))
+    head = F.when(F.col("absorber") & ~F.col("under_"), F.struct(F.col("idx").alias("head"), F.col("stop_").alias("stop")))
+    rows = rows.select("doc_id", "idx", text, F.last(head, True).over(w).alias("h_")).where("idx < h_.stop")
+    return rows.where(F.trim(text) != "").groupBy("doc_id", F.col("h_.head").alias("head")).agg(ordered_join(F.col("idx"), F.col(text), "\n\n").alias("text")).withColumnRenamed("head", "idx")
 
 
 def sequential_ids(nodes: DataFrame, start: int = 0) -> DataFrame:

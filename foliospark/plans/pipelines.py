@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import reasoner
 from ..config import Config, load
+from ..durable import settled
 from ..functions.text import count_tokens, paragraphs
 from ..operators import granular, nodes as node_ops, pages as page_ops, search, toc, tree
 
@@ -21,7 +22,7 @@ def markdown_tree(docs: DataFrame, least_tokens: int | None = None, options: dic
         kept = tree.thinned(sized.withColumn("tokens", F.floor(F.col("subtree_chars") / 4)), F.col("tokens"), least_tokens)
         texts = tree.absorbed_text(sized.withColumn("absorber", F.floor(F.col("subtree_chars") / 4) < least_tokens), "text").withColumnRenamed("text", "more_")
         found = kept.join(texts, ["doc_id", "idx"], "left").withColumn("text", F.coalesce("more_", "text")).select(*found.columns)
-    out = tree.with_level_parent(found)
+    out = settled(tree.with_level_parent(found))
     if config.if_add_node_id:
         out = tree.sequential_ids(out)
     if config.if_add_node_summary:
@@ -42,15 +43,15 @@ def contents(pages: DataFrame, options: dict | Config | None = None) -> DataFram
     run = toc.toc_run(seen, config.toc_check_page_num)
     listed = toc.toc_lines(pages.join(run, ["doc_id", "page_no"], "left_semi"))
     order = F.row_number().over(tree.Window.partitionBy("doc_id").orderBy("page_no", "line_num"))
-    listed = listed.withColumn("list_index", order - 1)
+    listed = settled(listed.withColumn("list_index", order - 1))
     body = pages.join(run, ["doc_id", "page_no"], "left_anti")
     span = pages.groupBy("doc_id").agg(F.max("page_no").alias("high"))
     wanted = listed.join(span, "doc_id").withColumn("low", F.lit(1))
-    found = toc.located(wanted, body)
+    found = settled(toc.located(wanted, body))
     pairs = listed.join(found, ["doc_id", "list_index"]).withColumn("pos", F.col("list_index"))
     by_offset = toc.apply_offset(listed, toc.page_offset(pairs))
     numbered = by_offset.join(found.withColumnRenamed("physical_index", "seen_"), ["doc_id", "list_index"], "left").withColumn("physical_index", F.coalesce("physical_index", "seen_"))
-    numbered = node_ops.truncated_indices(numbered.select("doc_id", "list_index", "structure", "title", "physical_index"), pages).drop("truncated")
+    numbered = settled(node_ops.truncated_indices(numbered.select("doc_id", "list_index", "structure", "title", "physical_index"), pages).drop("truncated"))
     good = toc.accuracy(numbered, pages).where("accuracy > 0.6").select("doc_id")
     first = toc.repaired(numbered.join(good, "doc_id", "left_semi"), pages).where("physical_index is not null")
     heads = page_headings(pages.join(good, "doc_id", "left_anti"))
@@ -72,13 +73,14 @@ def page_headings(pages: DataFrame) -> DataFrame:
 def build_tree(pages: DataFrame, options: dict | Config | None = None) -> DataFrame:
     """Nodes of paged documents: contents, preface, section bounds, parents, granular units by the granularity, ids, text, summaries."""
     config = load(options)
-    items = toc.with_preface(contents(pages, config))
+    items = toc.with_preface(settled(contents(pages, config)))
     bounded = toc.section_bounds(toc.appears(items, pages).drop("found"), pages)
     out = tree.with_code_parent(bounded.withColumnRenamed("list_index", "idx")).select("doc_id", "idx", "parent_idx", "structure", "title", "start_index", "end_index")
-    out = page_ops.range_text(out, pages).withColumn("node_type", F.lit("section"))
+    out = settled(page_ops.range_text(out, pages).withColumn("node_type", F.lit("section")))
     if config.max_depth > 0 and config.enable_semantic_subdivision:
         out = out.unionByName(semantic_units(out, config), allowMissingColumns=True)
     if config.max_depth > 2:
+        out = settled(out)
         units = out.where("node_type = 'semantic_unit'")
         told = granular.keyword_nodes(reasoner.keywords(units), units)
         kids = told.select("doc_id", (F.col("parent_idx") * 100 + F.col("ord") + 50).alias("idx"), "parent_idx", "title", "start_index", "end_index", "text", "summary", "node_type")

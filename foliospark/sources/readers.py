@@ -7,11 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import base_name, count_tokens, safe_name, stem
 
-SIDECAR = T.StructType.fromDDL(
+SIDECAR = (
     "table_of_contents array<struct<title:string,heading_level:int,page_id:int,polygon:array<array<double>>>>, "
     "page_stats array<struct<page_id:int,text_extraction_method:string,block_counts:array<array<string>>>>"
 )
