@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, embedding_dedup, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup, token_counts
+from . import bpe, chat_format, embedding_dedup, license_scan, ngram_join, oracles, packing, quality_rules, secret_scan, substring_dedup, token_counts
 from .shared import table
 
 
@@ -59,5 +59,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_token_counts, op7_chat_format, op8_license_scan, op9_bpe_prefix, op10_ngram_jaccard, pipeline)}
-ORACLES: dict[str, str] = {}
-
+ORACLES: dict[str, str] = {"op1_embedding_dedup": oracles.EMBEDDINGS, "op4_substring_dedup": oracles.SUBSTRINGS, "op10_ngram_jaccard": oracles.JACCARD}

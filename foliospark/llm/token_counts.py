@@ -128,7 +128,7 @@ def edited_counts(docs: DataFrame, ranks_path: str, split: str, edits: DataFrame
         rows = rows.withColumn("edits", F.lit(None).cast("array<struct<start:int,end:int,new:string>>"))
     else:
         told = edits.where("doc_id is not null and start is not null and end is not null").groupBy("doc_id")
-        told = told.agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"), F.coalesce("replacement", F.lit("")).alias("new"))).alias("edits"))
+        told = told.agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce("replacement", F.lit("")).alias("new"))).alias("edits"))
         rows = rows.join(told.withColumn("edits", F.coalesce("edits", F.array())), "doc_id", "left")
         rows = rows.withColumn("edits", F.coalesce("edits", F.array()))
     given = edits is not None
