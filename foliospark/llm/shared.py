@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,15 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back to the system after a large block."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,6 +79,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .where("u is not null and v is not null and u <> v")
         .distinct()
     )
+    edges = materialize(edges)
+    # First every node goes to its smallest neighbour; what is left are the links between these.
+    parent = materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
+    over = edges.join(parent, "u").join(parent.select(F.col("u").alias("v"), F.col("m").alias("w")), "v", "left").select("m", F.coalesce("w", "v").alias("w"))
+    heads = _stars(over.select(F.greatest("m", "w").alias("u"), F.least("m", "w").alias("v")).where("u <> v").distinct())
+    nodes = parent.select(F.col("u").alias("node"), "m").unionByName(
+        edges.select(F.col("v").alias("node")).distinct().join(parent, F.col("node") == F.col("u"), "left_anti").select("node", F.col("node").alias("m"))
+    )
+    return nodes.join(heads, "m", "left").select("node", F.coalesce("component", "m").alias("component"))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(m, component) for the nodes of distinct links u > v."""
     current, before = materialize(edges), None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -87,6 +111,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark == before or not mark[0]:
             break
         before = mark
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    return current.select(F.col("u").alias("m"), F.col("v").alias("component"))

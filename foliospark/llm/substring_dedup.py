@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import partitions, text_batches
+from .shared import partitions, release, text_batches
 from .wordhash import batch_hashes, bounded, windows
 
 K, M = 13, 5
@@ -157,6 +157,8 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
             block = pd.concat(held)
             rows = list(edges(block["id"].to_numpy(), block["tag"].to_numpy(), [t.encode("utf-8", "surrogatepass") for t in block["text"]], buckets, k, m))
             yield pd.DataFrame({"bucket": [b for b, _ in rows], "payload": [p for _, p in rows]})
+            del held, block, rows
+            release()
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
         if batch["bucket"].iloc[0] < 0:
