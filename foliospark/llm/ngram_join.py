@@ -26,12 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize, partitions, text_batches
+from .shared import connected_components, materialize, partitions, release, text_batches
 from .wordhash import batch_hashes, bounded, mix, windows
 
 N, NUM, DEN = 4, 85, 100
-#: Parts that a document may leave unsent, words of a scan block, shingles of a search block.
-SPARE, BLOCK_WORDS, BLOCK_SHINGLES = 4, 2_000_000, 3_000_000
+#: Parts that a document may leave unsent besides a tenth, words of a scan block, shingles of a search block.
+SPARE, BLOCK_WORDS, BLOCK_SHINGLES = 4, 1_000_000, 2_000_000
+#: Placed documents that a join sends to all executors, 32 bytes each; more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -56,10 +58,11 @@ def bands(num: int, den: int, upto: int = 1 << 40) -> np.ndarray:
     return np.array(low, dtype=np.int64)
 
 
-def parts(found: np.ndarray, band: int, num: int, den: int, weight: np.ndarray, spare: int) -> np.ndarray:
+def parts(found: np.ndarray, band: int, num: int, den: int, weight: np.ndarray, least: int) -> np.ndarray:
     """Hashes of the parts that a set sends in a band, whose pairs have their smaller set there."""
     high = int(bands(num, den)[band + 1]) - 1
     differ = (high + high * den // num) * (den - num) // (den + num)
+    spare = least + differ // 10
     count = differ + 1 + 2 * spare
     part = (mix(found ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)) % np.uint64(count)
     part = part.astype(np.int64)
@@ -194,6 +197,8 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
                     chosen = chosen[np.argsort(who[chosen], kind="stable")]
                     out.append((b, np.int64(len(chosen)).tobytes() + keys[chosen].tobytes() + np.diff(who[chosen], prepend=0).astype("<i8").tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "payload"])
+            del held, block, texts, keys, who, out
+            release()
 
     def group(batch: pd.DataFrame) -> pd.DataFrame:
         kind = int(batch["bucket"].iloc[0])
@@ -235,37 +240,42 @@ def _search_groups(rows: DataFrame, groups: DataFrame, sizes: DataFrame, n: int,
     def search_block(batch: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(s, "<u8") for s in batch["shingles"]]
         links = search(batch["id"].to_numpy(), sets, num, den, batch["comp"].to_numpy())
+        del sets, batch
+        release()
         return _rows(np.array(links, dtype=np.int64).reshape(-1, 2))
 
     total = sizes.select(F.col("doc_id").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("size")).join(groups, "id")
-    blocks = total.groupBy("grp").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks = materialize(total.groupBy("grp").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks")))
     placed = groups.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    members = materialize(
-        rows.where("text is not null").join(placed, "id").select("id", "grp", "blocks", "block", "text").mapInPandas(hashed, "id long, grp long, blocks int, block int, shingles binary")
-    )
+    if groups.count() <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
+
+    def members(chosen: DataFrame) -> DataFrame:
+        found = rows.where("text is not null").join(chosen, "id").select("id", "grp", "blocks", "block", "text")
+        return found.mapInPandas(hashed, "id long, grp long, blocks int, block int, shingles binary")
 
     def searched(found: DataFrame) -> DataFrame:
         return materialize(found.groupBy("grp", "block", "other").applyInPandas(search_block, "a long, b long"))
 
-    plain = members.withColumn("other", F.lit(0)).withColumn("comp", F.col("id"))
-    links = searched(plain)
-    wide = members.where("blocks > 1")
-    if wide.limit(1).count() == 0:
+    links = searched(members(placed).withColumn("other", F.lit(0)).withColumn("comp", F.col("id")))
+    if blocks.where("blocks > 1").limit(1).count() == 0:
         return links
-    # Leaders of each component in each block, a few of them, against one another.
-    state = _joined(wide, links)
+    wide = materialize(members(placed.where("blocks > 1")))
+    # Leaders of each component in each block, a few of them, against one another. Sets are fetched for chosen ids only.
+    at = wide.select("id", "grp", "blocks", "block")
+    state = _joined(at, links)
     spread = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
-    chosen = state.groupBy("grp", "block", "comp").agg(F.min("id").alias("x"), F.min_by("id", spread).alias("y"), F.max_by("id", F.length("shingles")).alias("z"))
-    leaders = chosen.select(F.explode(F.array("x", "y", "z")).alias("id")).distinct()
-    few = state.join(leaders, "id").withColumn("block", F.pmod(F.col("block"), F.ceil(F.sqrt("blocks"))).cast("int")).withColumn("other", F.lit(1))
+    chosen = state.groupBy("grp", "block", "comp").agg(F.min("id").alias("x"), F.min_by("id", spread).alias("y"), F.max_by("id", spread).alias("z"))
+    leaders = chosen.select(F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("id"), "comp").distinct()
+    few = wide.join(leaders, "id").withColumn("block", F.pmod(F.col("block"), F.ceil(F.sqrt("blocks"))).cast("int")).withColumn("other", F.lit(1))
     links = links.unionByName(searched(few))
     # Pairs of blocks, for groups that are not one component yet.
-    state = _joined(wide, links)
+    state = _joined(at, links)
     apart = state.groupBy("grp").agg(F.min("comp").alias("m"), F.max("comp").alias("n")).where("m <> n").select("grp")
-    rest = state.join(apart, "grp", "left_semi")
+    rest = materialize(state.join(apart, "grp", "left_semi").select("id", "comp"))
     if rest.limit(1).count() == 0:
         return links
-    pairs = rest.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("peer <> block")
+    pairs = wide.join(rest, "id").withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("peer <> block")
     pairs = pairs.withColumn("other", F.greatest("block", "peer") + 2).withColumn("block", F.least("block", "peer")).drop("peer")
     return links.unionByName(searched(pairs))
 
@@ -278,5 +288,7 @@ def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs without those that are in a component of a smaller id; documents without shingles and null ids stay."""
-    found = jaccard_components(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct()
+    found = materialize(jaccard_components(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct())
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
