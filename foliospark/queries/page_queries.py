@@ -159,7 +159,7 @@ FOUND = {
     "text_physical_index": (lambda s, d: _noisy(s, d).where("event_id % 4 = 3 or event_id % 4 = 1").select("event_id", X.physical_index(F.col("s")).alias("physical_index")), _o("select event_id, case when event_id % 4 = 3 then event_id end as physical_index from events where event_id % 4 in (1, 3)", e="select 1 as one")),
     "text_repaired_json": (
         lambda s, d: _noisy(s, d).where("event_id % 4 <> 3").select("event_id", X.repaired_json(F.col("s")).alias("json")),
-        _o(f"select event_id, regexp_replace({_FLAT}, ',\\s*([\\]}}])', '\\1', 'g').replace('x', 'x') as json from j where event_id % 4 <> 3".replace(".replace('x', 'x')", ""), j=NOISY.replace("{events}", "events")),
+        _o(f"select event_id, regexp_replace({_FLAT}, ',\\s*([\\]}}])', '\\1', 'g') as json from j where event_id % 4 <> 3", j=NOISY.replace("{events}", "events")),
     ),
     "text_object_slice": (lambda s, d: _noisy(s, d).select("event_id", X.object_slice(F.col("s")).alias("json")), _o("select event_id, regexp_extract(s, '(?s)\\{.*\\}', 0) as json from j", j=NOISY.replace("{events}", "events"))),
     "text_tokens": (lambda s, d: of(s, d, DOCS).select("doc_id", X.count_tokens(F.col("text")).alias("tokens")), _o("select doc_id, cast(floor(length(coalesce(text, '')) / 4) as int) as tokens from d", d=DOCS)),

@@ -99,7 +99,7 @@ FOUND = {
         lambda s, d: _full(s, d).rollup("level", "node_type").agg(F.count("*").alias("nodes"), F.grouping_id().alias("gid")),
         _sql("select level, node_type, count(*) as nodes, cast(grouping(level, node_type) as bigint) as gid from t group by rollup (level, node_type)"),
     ),
-    "tree_node_count": (lambda s, d: _tree(s, d).agg(F.count("*").alias("nodes"), F.count_if("node_type is not null" if False else F.col("node_type").isNotNull()).alias("granular")), _sql("select count(*) as nodes, count(node_type) as granular from t")),
+    "tree_node_count": (lambda s, d: _tree(s, d).agg(F.count("*").alias("nodes"), F.count_if(F.col("node_type").isNotNull()).alias("granular")), _sql("select count(*) as nodes, count(node_type) as granular from t")),
     "tree_validate": (
         lambda s, d: T.issues(_parents(s, d).withColumn("title", F.when(F.col("num") % 13 != 0, F.col("title"))).withColumn("end_index", F.when(F.col("num") % 17 != 0, F.col("end_index")))),
         _sql(
@@ -113,7 +113,7 @@ FOUND = {
     ),
     "tree_cycles": (
         lambda s, d: T.cycles(_parents(s, d).select("doc_id", "idx", F.when(F.col("num") % 29 == 0, F.col("idx")).otherwise(F.col("parent_idx")).alias("parent_idx"))),
-        _sql(", e as (select doc_id, idx, case when num % 29 = 0 then idx else parent_idx end as up from p), bad as (select doc_id, idx from e where idx = up union select e.doc_id, e.idx from e join bad on e.doc_id = bad.doc_id and e.up = bad.idx) select distinct doc_id, idx from bad".lstrip(", "), "").replace("with recursive ", "with recursive ") if False else oracle(f", {_PARENT}, e as (select doc_id, idx, case when num % 29 = 0 then idx else parent_idx end as up from p), bad as (select doc_id, idx from e where idx = up union select e.doc_id, e.idx from e join bad on e.doc_id = bad.doc_id and e.up = bad.idx) select distinct doc_id, idx from bad", t=TREE),
+        _sql("select distinct doc_id, idx from bad", f"{_PARENT}, e as (select doc_id, idx, case when num % 29 = 0 then idx else parent_idx end as up from p), bad as (select doc_id, idx from e where idx = up union select e.doc_id, e.idx from e join bad on e.doc_id = bad.doc_id and e.up = bad.idx)"),
     ),
     "tree_nested_json": (
         _json_rows,
@@ -129,7 +129,7 @@ FOUND = {
         _sql(
             "select doc_id, idx, 15 + length(lpad(cast(idx - 1 as varchar), 4, '0')) + 2 + length(title) + case when nd > depth then 4 else 5 + 10 * (depth - nd) end as size, nd > depth as opens from (select w.doc_id, w.idx, depth, title, coalesce(lead(depth) over (partition by w.doc_id order by w.idx), 0) as nd from w join t using (doc_id, idx)) z",
             _PATHS,
-        ).replace("15 + length(lpad", "15 + length(lpad"),
+        ),
     ),
     "nodes_for_search": (
         lambda s, d: N.for_search(T.sequential_ids(_tree(s, d))),
@@ -139,10 +139,9 @@ FOUND = {
     "nodes_need_summary": (
         lambda s, d: N.needs_summary(_parents(s, d).withColumn("text", F.when(F.col("num") % 9 != 0, F.expr("repeat(text, cast(num % 20 as int))")))).select("doc_id", "idx", "children", F.round("summarised", 6).alias("summarised"), "needed"),
         _sql(
-            ", ".join(["z as (select p.*, case when num % 9 <> 0 then repeat(text, cast(num % 20 as int)) else '' end as body, coalesce(summary, '') as su, (select count(*) from p q where q.doc_id = p.doc_id and q.parent_idx = p.idx) as children, (select coalesce(avg(cast(coalesce(q.summary, '') <> '' as int)), 0) from p q where q.doc_id = p.doc_id and q.parent_idx = p.idx) as share from p)"])
-            + " select doc_id, idx, children, round(share, 6) as summarised, case when length(su) > 50 and node_type in ('semantic_unit', 'figure', 'table') then false when body = '' then false when node_type = 'semantic_unit' then su = '' and length(body) > 200 when node_type in ('figure', 'table') then false when children > 0 then su = '' else su = '' and length(body) > 200 end as needed from z",
-            _PARENT + ",",
-        ).replace(",,", ",").replace(", , ", ", ").replace(",  z as", ", z as"),
+            "select doc_id, idx, children, round(share, 6) as summarised, case when length(su) > 50 and node_type in ('semantic_unit', 'figure', 'table') then false when body = '' then false when node_type = 'semantic_unit' then su = '' and length(body) > 200 when node_type in ('figure', 'table') then false when children > 0 then su = '' else su = '' and length(body) > 200 end as needed from z",
+            f"{_PARENT}, z as (select p.*, case when num % 9 <> 0 then repeat(text, cast(num % 20 as int)) else '' end as body, coalesce(summary, '') as su, (select count(*) from p q where q.doc_id = p.doc_id and q.parent_idx = p.idx) as children, (select coalesce(avg(cast(coalesce(q.summary, '') <> '' as int)), 0) from p q where q.doc_id = p.doc_id and q.parent_idx = p.idx) as share from p)",
+        ),
     ),
     "nodes_over_limit": (lambda s, d: N.over_limit(_tree(s, d).withColumn("text", F.expr("repeat(text, cast(num % 40 as int))")), _FULL).select("doc_id", "idx", "tokens"), _sql(f"select doc_id, idx, cast(floor(length(text) * (num % 40) / 4) as int) as tokens from t where floor(length(text) * (num % 40) / 4) > {_FULL}")),
     "nodes_without_fields": (lambda s, d: N.without(_tree(s, d), "text", "summary", "num"), _sql("select doc_id, idx, level, title, start_index, end_index, node_type, semantic_type from t")),
