@@ -73,11 +73,21 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, doc_id, chunk, score, rank): the k nearest chunks of each query vector; queries are a stated set of bounded size."""
-    scored = chunks.join(F.broadcast(queries.limit(1000))).select("qid", "doc_id", "chunk", F.round(cosine(F.col("vector"), F.col("query")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = 10, block: int = 1000) -> DataFrame:
+    """(qid, doc_id, chunk, score, rank): the k nearest chunks of every query vector, against all chunks.
+
+    Queries go in blocks of about `block` vectors, the most that is sent to every executor at once; each block reads the chunks
+    once, and only its k best of each task are shuffled.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    near = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk")
+    out = None
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        scored = chunks.join(F.broadcast(part)).select("qid", "doc_id", "chunk", F.round(cosine(F.col("vector"), F.col("query")), 6).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def document_scores(found: DataFrame) -> DataFrame:
