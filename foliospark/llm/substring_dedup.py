@@ -30,7 +30,7 @@ from .wordhash import batch_hashes, bounded, windows
 
 K, M = 13, 5
 #: Words of a block of documents that are settled together in memory.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 1_000_000
 REMOVAL = T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType())
 SPAN = "doc_id long, tag int, start int, n int"
 _HEAD = np.dtype([("anchor", "<u8"), ("delta", "<i8"), ("start", "<i4"), ("tag", "<u2"), ("shape", "<u2")])
@@ -165,6 +165,8 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
             rows = np.concatenate([np.frombuffer(p, "<i8").reshape(4, -1).T for p in batch["payload"]])
         else:
             rows = repeats(list(batch["payload"]))
+        del batch
+        release()
         return pd.DataFrame({"doc_id": rows[:, 0], "tag": rows[:, 1].astype(np.int32), "start": rows[:, 2].astype(np.int32), "n": rows[:, 3].astype(np.int32)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), tag_of(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
