@@ -24,7 +24,7 @@ from .shared import materialize
 #: White space between words, and the characters counted as symbols.
 WHITE, SYMBOLS = r"[\x20\x09-\x0D]+", "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-BUCKETS, ORDERS = 1 << 16, (1, 2)
+BUCKETS, ORDERS = 1 << 18, (1, 2)
 SMOOTHING, MARGIN, EXTRA_LENGTH, THRESHOLD = 5.0, 1.0, 50.0, -0.025
 #: At most about so many labelled documents are trusted; beyond it a share of them by the hash of their ids.
 MAX_TRUSTED = 200_000

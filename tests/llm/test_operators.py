@@ -121,6 +121,24 @@ def test_secrets(docs, empty):
     assert secret_scan.redact(empty).columns == empty.columns
 
 
+def test_quality_crowded(spark):
+    """Toxic phrases are found among many more distinct word pairs than 65,536."""
+    rng = random.Random(3)
+    rows, labels, toxic = [], [], set()
+    for i in range(5000):
+        w = [f"w{rng.randrange(1000)}" for _ in range(110)]
+        if i % 6 == 0:
+            toxic.add(i)
+            k = rng.randrange(12)
+            w[30:32] = [f"bad{k}", f"vile{k}"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i in toxic)))
+    kept = quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = {r.doc_id for r in kept.where("quality_.kept").select("doc_id").collect()}
+    assert len(toxic - kept) >= 0.8 * len(toxic), len(toxic - kept)
+    assert len(kept - toxic) >= 0.99 * (len(rows) - len(toxic))
+
+
 def test_quality_base(spark, docs, empty):
     labels = spark.createDataFrame([(3, 1, 0), (3, 1, 0), (6, 0, 1), (None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int")
     texts = {i: t or "" for i, t, *_ in corpus()}
