@@ -4,8 +4,8 @@ Every window of k words is an edge. Edges go to the smallest hash of an m-word r
 anchor): windows of equal words have the same anchor at the same offset, and neighbouring windows that share
 an anchor are a nonbranching path of the graph that is compacted to one row before the shuffle. An anchor's rows
 meet in one bucket; paths whose anchor occurs in one document only are dropped, the others are
-compared edge by edge, by the anchor's 64-bit hash, the offset and an independent 32-bit fingerprint, with the source
-coordinates of each. An edge is repeated if a document of a smaller id has it; the words of repeated
+compared edge by edge, by the whole 64-bit hash of the window's 13 words, with the source coordinates of each.
+Grouping by anchors stands in for joins that compact paths. An edge is repeated if a document of a smaller id has it; the words of repeated
 edges are joined to long spans at their source coordinates and removed.
 
 Edges that a smaller id of the same block of documents has are settled there and not sent, so a passage or a
@@ -76,7 +76,7 @@ def edges(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], buckets: int, k
     settled = _smallest(full, own) < own
     yield from _settled(inside, doc, settled, ids, tags, begin)
     at = np.flatnonzero(~settled)
-    position, doc, offset, low, prints = inside[at], doc[at], offset[at], low[at], full[at].astype("<u4")
+    position, doc, offset, low, prints = inside[at], doc[at], offset[at], low[at], full[at].astype("<u8")
     new = np.concatenate(([True], (np.diff(position) != 1) | (np.diff(doc) != 0) | (np.diff(position + offset) != 0)))
     starts, sizes = _runs(new)
     head = np.empty(len(starts), dtype=_HEAD)
@@ -113,7 +113,7 @@ def _read(payload: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
         out[c] = np.frombuffer(payload, _HEAD[c], n, at)
         at += n * _HEAD[c].itemsize
     out["id"] = np.cumsum(out.pop("delta"))
-    return out, np.frombuffer(payload, "<u4", -1, at)
+    return out, np.frombuffer(payload, "<u8", -1, at)
 
 
 def repeats(payloads: list[bytes]) -> np.ndarray:
@@ -125,7 +125,6 @@ def repeats(payloads: list[bytes]) -> np.ndarray:
     ordered, who = head["anchor"][order], head["id"][order]
     starts, sizes = _runs(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     shared = np.repeat(np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts), sizes)
-    group = np.repeat(np.arange(len(starts)), sizes)[shared]
     path = order[shared]
     if not len(path):
         return np.zeros((0, 4), dtype=np.int64)
@@ -133,9 +132,7 @@ def repeats(payloads: list[bytes]) -> np.ndarray:
     from_ = np.cumsum(length) - length
     n = length[path]
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    edge = print_[np.repeat(from_[path], n) + step].astype(np.uint64)
-    place = (np.repeat(shape[path] >> 8, n) - step).astype(np.uint64)
-    key = np.repeat(group, n).astype(np.uint64) << np.uint64(36) | place << np.uint64(32) | edge
+    key = print_[np.repeat(from_[path], n) + step]  # equal windows have equal anchors and offsets
     own = np.repeat(head["id"][path], n)
     at = np.flatnonzero(_smallest(key, own) < own)
     if not len(at):

@@ -12,6 +12,7 @@ import pytest
 
 from foliospark.llm import bpe, chat_format, embedding_dedup, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup, token_counts
 from foliospark.llm.shared import connected_components
+from foliospark.llm.wordhash import batch_hashes, windows
 
 MULTI, BYTE = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.tiktoken")
 
@@ -180,6 +181,22 @@ def test_substrings(docs, empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_substrings_chance():
+    """300,000 distinct windows behind one anchor at one offset have no repeats."""
+    rng = np.random.default_rng(4)
+    runs = [" ".join(f"a{x}" for x in row) for row in rng.integers(0, 10_000, (20_000, 5))]
+    anchor = min(runs, key=lambda r: windows(batch_hashes([r.encode()])[0], 5)[0])
+    words_ = rng.integers(0, 100_000, (300_000, 8)).tolist()
+    texts = [f"b{a} b{b} b{c} b{d} {anchor} b{e} b{f} b{g} b{h}".encode() for a, b, c, d, e, f, g, h in words_]
+    assert len(set(texts)) == len(texts)
+    sent = substring_dedup.edges(np.arange(len(texts)), np.zeros(len(texts), dtype=np.int32), texts, 4, 13, 5)
+    found = {}
+    for bucket, payload in sent:
+        found.setdefault(bucket, []).append(payload)
+    assert -1 not in found
+    assert sum(len(substring_dedup.repeats(p)) for p in found.values()) == 0
+
+
 @pytest.mark.parametrize("block", [2_000_000, 300])
 def test_jaccard(docs, empty, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
