@@ -4,7 +4,8 @@ For every format a prefix tree of its labelled credentials is built and states w
 statistically compatible (Hoeffding bounds on stopping and on every symbol, checked down the subtrees)
 are merged until none are left to merge. One more automaton is inferred from labelled harmless tokens.
 Every candidate token of a text is scored by the log likelihood of its best format against the harmless
-automaton, per character.
+automaton, per character. Where a whole run of token characters is none, the parts of it that start after a
+separator or where a format can start are scored, up to every separator.
 
 Null text counts as empty. Whole texts are searched; spans are in code points, end exclusive.
 """
@@ -30,7 +31,8 @@ BASE = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
 }
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 #: Labelled examples of each format to infer from, the bound's confidence, and the least score per character.
 EXAMPLES, ALPHA, MIN_SCORE = 150, 0.05, 0.35
 #: Characters at the start of a token that stand for themselves; later ones stand for their class.
@@ -49,6 +51,9 @@ FORMATS: dict[str, list] = {
     "sendgrid": ["SG.", (_LOW + _UP + _DIG + "_-", 22, 22), ".", (_LOW + _UP + _DIG + "_-", 43, 43)],
     "uuid": [(_HEX, 8, 8), "-", (_HEX, 4, 4), "-4", (_HEX, 3, 3), "-", (_HEX, 4, 4), "-", (_HEX, 12, 12)],
 }
+#: The most characters of a published format, and where one may start within a run: after a separator, or at a format's first fixed text with what stands before it.
+LONGEST = max(sum(len(p) if isinstance(p, str) else p[2] for p in shape) for shape in FORMATS.values())
+INNER = re.compile("(?<=[+/_.=-])(?=[A-Za-z0-9])|(?=" + "|".join(re.escape(s[0]) if isinstance(s[0], str) else f"[{s[0][0]}]{{{s[0][1]}}}{re.escape(s[1])}" for s in FORMATS.values()) + ")")
 #: Shapes of harmless tokens.
 HARMLESS: list[list] = [
     [(_LOW, 16, 30)], [(_UP, 1, 1), (_LOW, 15, 28)], [(_DIG, 16, 19)], [(_LOW, 3, 9), ".", (_LOW, 3, 9), ".", "com"], ["mail", (_DIG, 1, 1), ".example.com"],
@@ -156,6 +161,20 @@ class Automaton:
                 total += step[1]
         return total
 
+    def sums(self, tail: str, known: bool = False) -> list[float] | None:
+        """The score after every one of the symbols, from 0 on; None if known and one of the literal symbols was never seen in its place."""
+        state, out = 0, [0.0]
+        for i, s in enumerate(tail):
+            step = self.logs[state].get(s)
+            if step is None:
+                if known and i < LITERAL:
+                    return None
+                out.append(out[-1] + self.FLOOR)
+            else:
+                state = step[0]
+                out.append(out[-1] + step[1])
+        return out
+
 
 class Scanner:
     def __init__(self, n: int = EXAMPLES, alpha: float = ALPHA, min_score: float = MIN_SCORE):
@@ -169,6 +188,29 @@ class Scanner:
         name, best = max(((k, a.score(token)) for k, a in self.formats.items()), key=lambda x: x[1])
         return name, (best - least) / len(token)
 
+    def parts(self, run: str) -> list[tuple[int, int, str]]:
+        """(start, end, format) of the likeliest disjoint parts of a run that is no candidate of a format itself."""
+        classes, found = run.translate(_CLASS), []
+        for start in sorted({0} | {m.start() for m in INNER.finditer(run)}):
+            size = min(len(run) - start, LONGEST)
+            if size < LEAST:
+                break
+            tail, ends, least = run[start : start + LITERAL] + classes[start + LITERAL : start + size], [], None
+            for name, automaton in self.formats.items():
+                sums = automaton.sums(tail, known=True)
+                if sums is None:
+                    continue
+                if least is None:
+                    least = self.harmless.sums(tail)
+                    ends = [n for n in range(LEAST, size) if not run[start + n].isalnum()] + [size]
+                more = [(sums[n] - least[n], start, start + n, name) for n in ends if sums[n] - least[n] >= self.min_score * n]
+                found += [max(more)] if more else []
+        out: list[tuple[int, int, str]] = []
+        for _, start, end, name in sorted(found, key=lambda x: (-x[0], x[1:])):
+            if not any(s < end and start < e for s, e, _ in out):
+                out.append((start, end, name))
+        return out
+
     def base(self, text: str) -> list[tuple[int, int, str, int]]:
         """(start, rank of the kind, kind, end) in order."""
         out = []
@@ -179,14 +221,20 @@ class Scanner:
         return sorted(out)
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int, str, int]]]:
-        """Base spans, and all spans: base ones and candidates of an inferred format that no base span touches."""
+        """Base spans, and all spans: base ones, and what they leave of the candidates of an inferred format."""
         base = self.base(text)
         more = []
         for m in CANDIDATE.finditer(text):
-            start, end = m.span()
             name, score = self.format_of(m[0])
-            if score >= self.min_score and not any(s < end and start < e for s, _, _, e in base):
-                more.append((start, len(BASE), name, end))
+            for start, end, kind in [(0, len(m[0]), name)] if score >= self.min_score else self.parts(m[0]):
+                at, end = start + m.start(), end + m.start()
+                for s, _, _, e in base:
+                    if s < end and at < e:
+                        if at < s:
+                            more.append((at, len(BASE), kind, s))
+                        at = e
+                if at < end:
+                    more.append((at, len(BASE), kind, end))
         return base, sorted(base + more)
 
     def row(self, text: str) -> tuple:

@@ -122,6 +122,28 @@ def test_secrets(docs, empty):
     assert secret_scan.redact(empty).columns == empty.columns
 
 
+def test_secrets_glued():
+    """Credentials behind or before other text of their run, two in one run, and what base spans leave of one."""
+    scanner = secret_scan.scanner()
+    held = [t for n, shape in secret_scan.FORMATS.items() for t in secret_scan.examples([shape], 20, 93)]
+    for pattern in ("GITHUB_PAT={}", "path/{}", "file.name={}", "see+{}/and/what/follows", "x{}"):
+        missed = 0
+        for t in held:
+            text = f"é {pattern.format(t)} end"
+            at = text.index(t)
+            spans = [(s, e) for s, _, _, e in scanner.spans(text)[1]]
+            missed += not all(any(s <= i < e for s, e in spans) for i in range(at, at + len(t)))
+        assert missed <= 0.05 * len(held), (pattern, missed)
+    one, two = held[0], held[80]
+    left = scanner.redacted(f"A={one}/B={two} end", "#")
+    assert not any(t[i : i + 8] in left for t in (one, two) for i in range(len(t) - 7)), left
+    digits = "0123456789abcdef01234567"
+    assert scanner.redacted(f"say ghp_{digits}QRSTUVWXYZAB now", "#") == "say ### now"
+    clean = [f"{a}/{b}" for a, b in zip(secret_scan.examples(secret_scan.HARMLESS, 300, 94), secret_scan.examples(secret_scan.HARMLESS, 300, 95))]
+    whole = [t for t in clean if scanner.format_of(t)[1] < secret_scan.MIN_SCORE]  # the others are taken as whole runs
+    assert sum(bool(scanner.spans(t)[1]) for t in whole) <= 0.02 * len(whole)
+
+
 def test_quality_crowded(spark):
     """Toxic phrases are found among many more distinct word pairs than 65,536."""
     rng = random.Random(3)
