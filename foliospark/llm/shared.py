@@ -25,6 +25,17 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, TEXT_BATCH_ROWS)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or a temporary one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
