@@ -36,7 +36,7 @@ def main(arguments: list[str] | None = None) -> None:
     else:
         told = told.withColumn("doc_description", F.lit(None).cast("string"))
     fields = ["node_id", "title", "text", *(["summary", "prefix_summary"] if given.summaries else [])]
-    write_json(envelopes(nodes, told, fields, len(tree.LEVELS) - 1), given.out, given.granularity)
+    write_json(envelopes(nodes, told, fields), given.out, given.granularity)
 
 
 if __name__ == "__main__":

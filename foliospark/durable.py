@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """df written as Parquet to the folder of spark.checkpoint.dir and read again, so plans that use it often stay small.
 
-    A temporary folder is taken only where the setting is absent. Files go when the session's JVM ends.
+    A temporary folder is taken only where the setting is absent and the master is local; on a cluster its absence is an error, as
+    executors would write to disks of their own. Files go when the session's JVM ends.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"

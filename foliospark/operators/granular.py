@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, ordered_join, paragraphs, shortened, strip
+from .tree import ascended
 
 #: Caption patterns in the order they are tried; a caption goes on over lines that begin with a non-letter.
 FIGURE_CAPTIONS = (r"(?i)(?:^|\n)\s*(fig(?:ure)?\.?\s*\d+[a-z]?)\s*[:.]\s*([^\n]+(?:\n[^A-Za-z\n][^\n]*)*)", r"(?i)(fig(?:ure)?\.?\s*\d+[a-z]?)\s*[-|]\s*([^\n]+(?:\n[^A-Za-z\n][^\n]*)*)", r"(?i)(?:^|\n)\s*(fig(?:ure)?\.?\s*\d+[a-z]?)\s+([^\n]+(?:\n[^A-Za-z\n][^\n]*)*)")
@@ -167,12 +168,9 @@ def parent_of(elements: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def reach(nodes: DataFrame) -> DataFrame:
-    """lo and hi: the range that a node shares with all its ancestors (at most six levels). Needs parent_idx."""
-    out = nodes.withColumn("lo", F.col("start_index")).withColumn("hi", F.col("end_index")).withColumn("go_", F.col("parent_idx"))
-    up = nodes.select("doc_id", F.col("idx").alias("go_"), F.col("parent_idx").alias("next_"), F.col("start_index").alias("s_"), F.col("end_index").alias("e_"))
-    for _ in range(5):
-        out = out.join(up, ["doc_id", "go_"], "left").withColumn("lo", F.greatest("lo", "s_")).withColumn("hi", F.least("hi", "e_")).drop("go_", "s_", "e_").withColumnRenamed("next_", "go_")
-    return out.drop("go_")
+    """lo and hi: the range that a node shares with all its ancestors. Needs parent_idx."""
+    spans = ascended(nodes, {"lo": F.col("start_index"), "hi": F.col("end_index")}, {"lo": F.greatest, "hi": F.least})
+    return nodes.join(spans, ["doc_id", "idx"])
 
 
 def inserted(elements: DataFrame, nodes: DataFrame, compat: bool = False) -> DataFrame:

@@ -97,7 +97,8 @@ def bounds_of_bad(items: DataFrame, pages: DataFrame, start: int = 1) -> DataFra
     last = pages.groupBy("doc_id").agg((F.count("*") + F.lit(start - 1)).alias("last_"))
     w, good = _order(), F.when(F.col("ok"), F.col("physical_index"))
     low = F.last(good, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    high = F.first(good, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # backwards, so that the frame only grows
+    high = F.last(good, True).over(Window.partitionBy("doc_id").orderBy(F.desc("list_index")).rowsBetween(Window.unboundedPreceding, -1))
     out = items.select("*", low.alias("low_"), high.alias("high_")).where("not ok").join(last, "doc_id", "left")
     return out.select("doc_id", "list_index", F.coalesce("low_", F.lit(start - 1)).alias("low"), F.coalesce("high_", "last_").alias("high"))
 

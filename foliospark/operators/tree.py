@@ -6,28 +6,38 @@ task, so scale comes from the number of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..durable import settled
 from ..functions.text import ordered_join, padded
 
-LEVELS = range(1, 7)
-
-
 def _order():
     return Window.partitionBy("doc_id").orderBy("idx")
 
 
-def with_level_parent(nodes: DataFrame) -> DataFrame:
-    """parent_idx: the nearest earlier node of a smaller level. A null level is a root and nobody's parent."""
+def _levels(nodes: DataFrame) -> list[int]:
+    """The distinct levels, few numbers whatever the table's size."""
+    return [r["level"] for r in nodes.where("level is not null").select(F.col("level").cast("int").alias("level")).distinct().orderBy("level").collect()]
+
+
+def _nearest(nodes: DataFrame, levels: Iterable[int] | None, window: WindowSpec, find: Callable, shift: int) -> Column:
+    """find over the nearest rows of the levels up to the row's own (less shift) in the window."""
+    known = sorted(levels) if levels is not None else _levels(nodes)
+    if not known:
+        return F.lit(None).cast(nodes.schema["idx"].dataType)
+    ranks = F.array_position(F.array(*map(F.lit, known)), F.col("level").cast("int")).cast("int")
+    last = F.array(*((F.max if find is F.array_max else F.min)(F.when(F.col("level") == k, F.col("idx"))).over(window) for k in known))
+    return find(F.slice(last, F.lit(1), ranks - shift))
+
+
+def with_level_parent(nodes: DataFrame, levels: Iterable[int] | None = None) -> DataFrame:
+    """parent_idx: the nearest earlier node of a smaller level, for any levels. A null level is a root and nobody's parent."""
     before = _order().rowsBetween(Window.unboundedPreceding, -1)
-    last = {k: F.max(F.when(F.col("level") == k, F.col("idx"))).over(before) for k in LEVELS}
-    nearest = F.when(F.col("level") == 2, last[1])
-    for level in LEVELS[2:]:
-        nearest = nearest.when(F.col("level") == level, F.greatest(*(last[k] for k in range(1, level))))
-    return nodes.select("*", nearest.alias("parent_idx"))
+    return nodes.select("*", _nearest(nodes, levels, before, F.array_max, 1).alias("parent_idx"))
 
 
 def with_code_parent(items: DataFrame) -> DataFrame:
@@ -40,14 +50,13 @@ def with_code_parent(items: DataFrame) -> DataFrame:
     return items.join(latest, ["doc_id", "idx"], "left")
 
 
-def with_next(nodes: DataFrame) -> DataFrame:
-    """next_idx: where the subtree ends, the first later node of the same or a smaller level; null at the end."""
-    after = _order().rowsBetween(1, Window.unboundedFollowing)
-    first = {k: F.min(F.when(F.col("level") == k, F.col("idx"))).over(after) for k in LEVELS}
-    end = F.when(F.col("level") == 1, first[1])
-    for level in LEVELS[1:]:
-        end = end.when(F.col("level") == level, F.least(*(first[k] for k in range(1, level + 1))))
-    return nodes.select("*", end.alias("next_idx"))
+def with_next(nodes: DataFrame, levels: Iterable[int] | None = None) -> DataFrame:
+    """next_idx: where the subtree ends, the first later node of the same or a smaller level; null at the end.
+
+    The window runs backwards, so that its frame only grows.
+    """
+    after = Window.partitionBy("doc_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    return nodes.select("*", _nearest(nodes, levels, after, F.array_min, 0).alias("next_idx"))
 
 
 def with_subtree(nodes: DataFrame, length: Column) -> DataFrame:
@@ -91,18 +100,46 @@ def sequential_ids(nodes: DataFrame, start: int = 0) -> DataFrame:
     return nodes.withColumn("node_id", padded(F.row_number().over(_order()) - 1 + start))
 
 
+def ascended(nodes: DataFrame, start: dict[str, Column], join: Callable[[Column, Column], Column] | dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """(doc_id, idx, *start): each node's values joined with those of all its ancestors. Needs parent_idx.
+
+    join(own, ancestors') is associative and takes a null for an absent ancestor. By pointer doubling: a tree of depth d takes log2(d)
+    rounds. Parents that form a cycle are an error.
+    """
+    joins = join if isinstance(join, dict) else dict.fromkeys(start, join)
+    state = settled(nodes.select("doc_id", "idx", F.col("parent_idx").alias("go_"), *(c.alias(n) for n, c in start.items())))
+    most, done = 1 << 3, 1
+    while state.where("go_ is not null").limit(1).count():
+        if done == most:  # deeper than eight levels: no tree is deeper than its nodes
+            most = state.groupBy("doc_id").count().agg(F.max("count")).first()[0]
+        if done > most:
+            raise ValueError("parents form a cycle")
+        done *= 2
+        up = state.select("doc_id", F.col("idx").alias("go_"), F.col("go_").alias("next_"), *(F.col(n).alias(f"{n}_up_") for n in start))
+        joined = state.join(up, ["doc_id", "go_"], "left")
+        state = settled(joined.select("doc_id", "idx", F.col("next_").alias("go_"), *(joins[n](F.col(n), F.col(f"{n}_up_")).alias(n) for n in start)))
+    return state.drop("go_")
+
+
+def _ranked(nodes: DataFrame, *order: Column | str) -> DataFrame:
+    return nodes.withColumn("rank_", F.row_number().over(Window.partitionBy("doc_id", "parent_idx").orderBy(*order, "idx")))
+
+
 def sibling_ids(nodes: DataFrame, pad: int = 0) -> DataFrame:
-    """path_id: sibling ranks from the root, joined by dots, padded to pad digits. Needs parent_idx."""
-    rank = F.row_number().over(Window.partitionBy("doc_id", "parent_idx").orderBy("idx"))
-    ranked = nodes.withColumn("rank_", padded(rank, pad) if pad else rank.cast("string"))
-    chain = ranked.select("doc_id", F.col("idx").alias("at_"), F.col("parent_idx").alias("up_"), "rank_")
-    # parents stand before their children and levels are few: one join for each level
-    out = ranked.withColumn("path_id", F.col("rank_")).withColumn("go_", F.col("parent_idx"))
-    for _ in LEVELS[1:]:
-        up = chain.select("doc_id", F.col("at_").alias("go_"), F.col("up_").alias("next_"), F.col("rank_").alias("more_"))
-        out = out.join(up, ["doc_id", "go_"], "left").withColumn("path_id", F.when(F.col("more_").isNull(), F.col("path_id")).otherwise(F.concat("more_", F.lit("."), "path_id")))
-        out = out.drop("go_", "more_").withColumnRenamed("next_", "go_")
-    return out.drop("go_", "rank_")
+    """path_id: sibling ranks from the root, joined by dots, padded to pad digits, at any depth. Needs parent_idx."""
+    rank = padded(F.col("rank_"), pad) if pad else F.col("rank_").cast("string")
+    paths = ascended(_ranked(nodes), {"path_id": rank}, lambda own, up: F.concat_ws(".", up, own))
+    return nodes.join(paths, ["doc_id", "idx"], "left")
+
+
+def renumbered(nodes: DataFrame, *order: Column | str) -> DataFrame:
+    """nodes with idx as pre-order rank from 0, siblings in the given order and then by the old idx; parent_idx follows."""
+    ranked = settled(_ranked(nodes, *order))
+    paths = ascended(ranked, {"path_": F.array("rank_")}, lambda own, up: F.concat(F.coalesce(up, F.array().cast("array<int>")), own))
+    ids = settled(paths.select("doc_id", "idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("path_")) - 1).alias("new_")))
+    up = ids.select("doc_id", F.col("idx").alias("parent_idx"), F.col("new_").alias("up_"))
+    out = ranked.join(ids, ["doc_id", "idx"]).join(up, ["doc_id", "parent_idx"], "left")
+    return out.select(*({"idx": F.col("new_").alias("idx"), "parent_idx": F.col("up_").alias("parent_idx")}.get(c, F.col(c)) for c in nodes.columns))
 
 
 def depths(nodes: DataFrame) -> DataFrame:
@@ -159,19 +196,36 @@ def duplicate_texts(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_idx is not null").groupBy("doc_id", "parent_idx").agg(F.count("text").alias("with_text"), F.count_distinct("text").alias("texts")).where("with_text > 1 and texts = 1")
 
 
-def cycles(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(doc_id, idx) of nodes that are their own ancestors, or have two parents. Ancestors are found by pointer doubling."""
+def cycles(edges: DataFrame) -> DataFrame:
+    """(doc_id, idx) of nodes on or under a cycle of parents, or with two parents. Ancestors are found by pointer doubling, until
+    no ancestor is left or more steps are made than any document has nodes."""
     many = edges.groupBy("doc_id", "idx").agg(F.count_distinct("parent_idx").alias("n")).where("n > 1").select("doc_id", "idx")
-    jump = edges.groupBy("doc_id", "idx").agg(F.min("parent_idx").alias("up"))
-    for _ in range(max(1, rounds.bit_length())):
+    jump = settled(edges.groupBy("doc_id", "idx").agg(F.min("parent_idx").alias("up")))
+    most = jump.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(most).bit_length()):
+        if not jump.where("up is not null").limit(1).count():
+            break
         on = jump.select("doc_id", F.col("idx").alias("up"), F.col("up").alias("next_"))
-        jump = jump.join(on, ["doc_id", "up"], "left").select("doc_id", "idx", F.col("next_").alias("up"))
-    # whoever still has an ancestor after more steps than a tree is deep stands under or on a cycle
+        jump = settled(jump.join(on, ["doc_id", "up"], "left").select("doc_id", "idx", F.col("next_").alias("up")))
     return many.unionByName(jump.where("up is not null").select("doc_id", "idx")).distinct()
 
 
-def nested_json(nodes: DataFrame, fields: list[str], max_depth: int) -> DataFrame:
-    """(doc_id, structure): each document's tree as nested JSON, built from the deepest level up. Needs depth and parent_idx."""
+def ends_with_children(nodes: DataFrame) -> DataFrame:
+    """end_index as the largest of a node's own and all its descendants'. Each node is joined with its ancestors, so depth costs rows."""
+    up = ascended(nodes, {"above_": F.array("idx")}, lambda own, up: F.concat(own, F.coalesce(up, F.expr("slice(array(cast(null as int)), 1, 0)").cast("array<int>"))))
+    told = up.join(nodes.select("doc_id", "idx", "end_index"), ["doc_id", "idx"]).select("doc_id", F.explode("above_").alias("idx"), "end_index")
+    most = told.groupBy("doc_id", "idx").agg(F.max("end_index").alias("most_"))
+    return nodes.join(most, ["doc_id", "idx"], "left").select(*(F.col("most_").alias(c) if c == "end_index" else F.col(c) for c in nodes.columns))
+
+
+def nested_json(nodes: DataFrame, fields: list[str], max_depth: int | None = None) -> DataFrame:
+    """(doc_id, structure): each document's tree as nested JSON, built from the deepest level up. Needs depth and parent_idx.
+
+    max_depth cuts deeper nodes off; by default the deepest node decides.
+    """
+    if max_depth is None:
+        nodes = settled(nodes.select("doc_id", "idx", "parent_idx", "depth", *(c for c in fields if c not in ("doc_id", "idx", "parent_idx", "depth"))))
+        max_depth = nodes.agg(F.max("depth")).first()[0] or 0
 
     def rendered(rows: DataFrame) -> Column:
         own = F.to_json(F.struct(*(F.col(c) for c in fields)))
@@ -188,6 +242,8 @@ def nested_json(nodes: DataFrame, fields: list[str], max_depth: int) -> DataFram
             level = level.join(below, ["doc_id", "idx"], "left")
         done = level.withColumn("json_", rendered(level))
         below = done.groupBy("doc_id", F.col("parent_idx").alias("idx")).agg(ordered_join(F.col("idx"), F.col("json_"), ",").alias("kids_")) if depth else done
+        if depth and depth % 8 == 0:
+            below = settled(below)  # plans of deep trees stay small
         if depth == 0:
             return done.groupBy("doc_id").agg(F.concat(F.lit("["), ordered_join(F.col("idx"), F.col("json_"), ","), F.lit("]")).alias("structure"))
     raise ValueError("max_depth must not be negative")

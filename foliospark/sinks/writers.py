@@ -15,7 +15,7 @@ from ..operators.tree import nested_json
 ICONS = {"section": "§", "semantic_unit": "¶", "figure": "▣", "table": "▦", "keyword": "#"}
 
 
-def envelopes(nodes: DataFrame, docs: DataFrame, fields: list[str], max_depth: int) -> DataFrame:
+def envelopes(nodes: DataFrame, docs: DataFrame, fields: list[str], max_depth: int | None = None) -> DataFrame:
     """(doc_id, json): name, structure and, where there is one, the description of each document."""
     trees = nested_json(nodes, fields, max_depth)
     told = F.when(F.coalesce("doc_description", F.lit("")) != "", F.concat(F.lit('"doc_description":'), F.to_json(F.array("doc_description")), F.lit(","))).otherwise("")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import settled
 from ..functions.text import base_name, count_tokens, safe_name, stem
 
 SIDECAR = (
@@ -52,18 +53,24 @@ def structures(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def flattened(saved: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(doc_id, path, depth, title, node_id, start_index, end_index, node_type, summary, text) of nested structures, level by level."""
-    level = saved.select("doc_id", F.posexplode(F.try_variant_get("structure", "$", "array<variant>")).alias("pos", "n")).select("doc_id", F.array("pos").alias("path"), "n")
-    levels = []
-    for depth in range(max_depth):
-        levels.append(level.withColumn("depth", F.lit(depth)))
-        level = level.select("doc_id", "path", F.posexplode(F.try_variant_get("n", "$.nodes", "array<variant>")).alias("pos", "n")).select("doc_id", F.concat("path", F.array("pos")).alias("path"), "n")
-    rows = levels[0]
-    for more in levels[1:]:
-        rows = rows.unionByName(more)
+def flattened(saved: DataFrame) -> DataFrame:
+    """(doc_id, path, depth, title, node_id, start_index, end_index, node_type, summary, text) of nested structures, level by level
+    until no node is left."""
     fields = {"title": "string", "node_id": "string", "start_index": "int", "end_index": "int", "node_type": "string", "summary": "string", "text": "string"}
-    return rows.select("doc_id", "path", "depth", *(F.try_variant_get("n", f"$.{k}", t).alias(k) for k, t in fields.items()))
+    own = [F.try_variant_get("n", f"$.{k}", t).alias(k) for k, t in fields.items()]
+
+    def below(rows: DataFrame, path: Column, held: Column) -> DataFrame:
+        return settled(rows.select("doc_id", path.alias("up"), F.posexplode(held).alias("pos", "n")).select("doc_id", F.concat("up", F.array("pos")).alias("path"), *own, F.to_json(F.try_variant_get("n", "$.nodes", "variant")).alias("inner")))
+
+    level = below(saved, F.array().cast("array<int>"), F.try_variant_get("structure", "$", "array<variant>"))
+    out, depth = None, 0
+    while True:
+        rows = level.drop("inner").withColumn("depth", F.lit(depth))
+        out = rows if out is None else out.unionByName(rows)
+        inner = level.where("inner is not null")
+        if not inner.limit(1).count():
+            return out.select("doc_id", "path", "depth", *fields)
+        level, depth = below(inner, F.col("path"), F.try_variant_get(F.try_parse_json("inner"), "$", "array<variant>")), depth + 1
 
 
 def document_name(path: Column, title: Column) -> Column:

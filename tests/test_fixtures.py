@@ -20,6 +20,38 @@ def test_hierarchical_ids(spark):
     assert [r.path_id for r in found.orderBy("idx").collect()] == ["0001", "0001.0001", "0001.0002", "0001.0002.0001", "0002"]
 
 
+def chain(spark, n):
+    """One document whose nodes stand one below the other."""
+    return spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("idx"), F.when(F.col("id") > 0, F.col("id") - 1).cast("int").alias("parent_idx"), (F.col("id") + 1).cast("int").alias("level"), F.col("id").cast("string").alias("title"), F.lit(1).alias("start_index"), F.col("id").cast("int").alias("end_index"))
+
+
+def test_deep_trees(spark):
+    deep = chain(spark, 100)
+    assert all(r.parent_idx == (r.idx - 1 if r.idx else None) for r in T.with_level_parent(deep.drop("parent_idx").where("idx < 40")).collect())
+    paths = {r.idx: r.path_id for r in T.sibling_ids(deep).collect()}
+    assert paths == {i: ".".join(["1"] * (i + 1)) for i in range(100)}
+    assert T.cycles(deep).count() == 0
+    looped = deep.withColumn("parent_idx", F.when(F.col("idx") == 50, F.lit(60)).otherwise(F.col("parent_idx")))
+    assert T.cycles(looped).count() == 50
+    with pytest.raises(ValueError, match="cycle"):
+        T.sibling_ids(looped)
+    assert T.nested_json(T.depths(T.sibling_ids(deep.where("idx < 20"))), ["title"]).first().structure.count('"title"') == 20
+    assert {r.end_index for r in T.ends_with_children(deep).collect()} == {99}
+    assert {(r.lo, r.hi) for r in G.reach(deep.withColumn("end_index", 200 - F.col("idx"))).where("idx = 99").collect()} == {(1, 101)}
+
+
+def test_levels_with_gaps_and_nulls(spark):
+    rows = spark.createDataFrame([(1, 1, 3), (1, 2, 9), (1, 3, None), (1, 4, 9), (1, 5, 1), (1, 6, 40)], "doc_id long, idx int, level int")
+    found = {r.idx: (r.parent_idx, r.next_idx) for r in T.with_next(T.with_level_parent(rows)).collect()}
+    assert found == {1: (None, 5), 2: (1, 4), 3: (None, None), 4: (1, 5), 5: (None, None), 6: (5, None)}
+    assert T.with_next(T.with_level_parent(rows.limit(0))).count() == 0
+
+
+def test_renumbered(spark):
+    rows = spark.createDataFrame([(1, 7, None, 0), (1, 3, 7, 2), (1, 9, 7, 1), (1, 1, 9, 0), (1, 8, None, 1)], "doc_id long, idx int, parent_idx int, ord int")
+    assert [(r.idx, r.parent_idx, r.ord) for r in T.renumbered(rows, "ord").orderBy("idx").collect()] == [(0, None, 0), (1, 0, 1), (2, 1, 0), (3, 0, 2), (4, None, 1)]
+
+
 def test_parent_of_a_page(spark):
     tree = nodes(spark, [(1, None, "Introduction", 1, 3), (2, 1, "Background", 1, 2), (3, 1, "Motivation", 2, 3), (4, None, "Methods", 4, 6)])
     elements = spark.createDataFrame([(1, 1, 2, 2), (1, 2, 5, 5), (1, 3, 1, 3), (1, 4, 20, 20)], "doc_id long, element int, start_index int, end_index int")
@@ -73,7 +105,7 @@ def test_reasoner_asks_each_prompt_once(spark):
 
 def test_saved_structures(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"doc_name": "d", "structure": [{"title": "a", "start_index": 1, "nodes": [{"title": "b"}]}, {"title": "c"}]}')
-    found = readers.flattened(readers.structures(spark, str(tmp_path / "x.json")), 3).orderBy("path").collect()
+    found = readers.flattened(readers.structures(spark, str(tmp_path / "x.json"))).orderBy("path").collect()
     assert [(r.title, r.depth, r.start_index) for r in found] == [("a", 0, 1), ("b", 1, None), ("c", 0, None)]
 
 
