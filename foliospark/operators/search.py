@@ -43,7 +43,7 @@ def bm25(nodes: DataFrame, questions: DataFrame, k: int = 10, boosts: DataFrame
 
 def thinking(found: DataFrame) -> DataFrame:
     """(qid, thinking, node_list): the scores that led to the choice, and the chosen nodes in order."""
-    line = F.concat(F.lit("node "), F.col("idx").cast("string"), F.lit(" of "), F.col("doc_id").cast("string"), F.lit(": "), F.format_number("score", 3))
+    line = F.concat(F.lit("node "), F.col("idx").cast("string"), F.lit(" of "), F.col("doc_id").cast("string"), F.lit(": "), F.format_string("%.6f", "score"))
     return found.groupBy("qid").agg(ordered_join(F.col("rank"), line, "\n").alias("thinking"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "idx"))), lambda x: F.struct(x["doc_id"], x["idx"])).alias("node_list"))
 
 

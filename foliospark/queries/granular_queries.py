@@ -19,9 +19,9 @@ CAPTIONED = f"select doc_id, page_no, concat(case when page_no % 3 = 1 then conc
 #: Pages that begin with a heading.
 HEADED = f"select doc_id, page_no, concat('# Section ', cast(page_no as string), chr(10), text) as text, token_count from ({PAGES}) p"
 #: Semantic units of sections of five paragraphs, overlapping and out of range.
-UNITS = "select event_id % 200 as doc_id, cast(event_id as int) as pos, cast(event_id % 7 - 1 as int) as start_paragraph, cast(event_id % 7 - 1 + user_id % 4 as int) as end_paragraph, cast(1 + event_id % 3 as int) as end_page, concat('u', cast(event_id as string)) as title, event_type as summary from {events} where event_id < 800"
+UNITS = "select cast(floor(event_id / 10) as int) as doc_id, cast(event_id as int) as pos, cast(event_id % 7 - 1 as int) as start_paragraph, cast(event_id % 7 - 1 + user_id % 4 as int) as end_paragraph, cast(1 + event_id % 3 as int) as end_page, concat('u', cast(event_id as string)) as title, event_type as summary from {events}"
 #: Elements on pages of the trees' ranges.
-ELEMENTS = f"select doc_id, num as element, cast(case when num % 10 = 0 then null else num % 60 end as int) as start_index, cast(num % 60 + num % 3 as int) as end_index from ({TREE}) t where level = 3 and num % 5 < 2"
+ELEMENTS = f"select doc_id, num as element, cast(case when num % 10 = 0 then null else num % 60 end as int) as start_index, cast(num % 60 + num % 3 as int) as end_index from ({TREE}) t where level = 3"
 
 _L = {"l": LINES}
 _FENCED = "z as (select *, sum(case when starts_with(trim(line), '```') then 1 else 0 end) over (partition by doc_id order by line_num) % 2 as f from l)"

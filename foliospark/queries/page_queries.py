@@ -16,7 +16,7 @@ RANGES = f"select doc_id, page_no as idx, cast(page_no - page_no % 2 as int) as
 #: Contents lists as printed, one a conversation with dot leaders.
 PRINTED = f"select doc_id, page_no, case when page_no = 1 and doc_id % 2 = 0 then concat('Contents', chr(10), '1. First part ', repeat('.', 8), ' 3', chr(10), '1.1 Second part ', repeat('. ', 7), '5', chr(10), 'Third one  7') when page_no = 2 and doc_id % 4 = 0 then concat('a ..... 1', chr(10), 'b ...... 2', chr(10), 'c ....... 3') else text end as text, token_count from ({PAGES}) p"
 #: Documents with page markers between their lines.
-MARKED = "select doc_id, n_pages, concat('intro', chr(10), '<!-- Page 1 -->', chr(10), substring(text, 1, 50), chr(10), case when doc_id % 3 = 0 then '<!-- page 2 -->' else '<!--Page 1-->' end, chr(10), 'last ', lang) as text from (select doc_id, lang, text, cast(1 + doc_id % 7 as int) as n_pages from {documents}) d"
+MARKED = "select doc_id, n_pages, concat('intro', chr(10), '<!-- Page 1 -->', chr(10), coalesce(text, ''), chr(10), case when doc_id % 3 = 0 then '<!-- page 2 -->' else '<!--Page 1-->' end, chr(10), 'last ', lang) as text from (select doc_id, lang, text, cast(1 + doc_id % 7 as int) as n_pages from {documents}) d"
 #: Strings as models return them.
 NOISY = "select event_id, case when event_id % 4 = 0 then concat('```json', chr(10), '{{\"a\": ', cast(user_id as string), ', \"b\": [1, 2, ], }}', chr(10), '```') when event_id % 4 = 1 then concat('{{\"a\": None,  \"b\": [', cast(user_id as string), ']}}') when event_id % 4 = 2 then props else concat('<physical_index_', cast(event_id as string), '>') end as s from {events}"
 
@@ -46,6 +46,9 @@ _NORM = "regexp_replace(lower({}), '\\s+', '', 'g')"
 _APPEARS = f"a as (select c.*, coalesce(contains({_NORM.format('p.text')}, {_NORM.format('c.title')}), false) as hit, coalesce(starts_with({_NORM.format('p.text')}, {_NORM.format('c.title')}), false) as starts from c left join p on p.doc_id = c.doc_id and p.page_no = c.physical_index)"
 _FLAT = "regexp_replace(regexp_replace(replace(trim(regexp_replace(case when contains(s, '```json') then regexp_extract(s, '(?s)```json(.*)```', 1) else s end, '^\\s+|\\s+$', '', 'g')), 'None', 'null'), '[\\r\\n]+', ' ', 'g'), '\\s+', ' ', 'g')"
 
+_LISTED = "^\\s*((?:\\d+\\.)*\\d+)?\\.?\\s*(.+?)\\s*(?::|\\s{2,}|\\s)\\s*(\\d+)\\s*$"
+_LEADERS = "regexp_replace(regexp_replace(text, '\\.{5,}', ': ', 'g'), '(?:\\. ){5,}\\.?', ': ', 'g')"
+
 
 def _ranges(name: str, **kw):
     return lambda s, d: P.range_text(of(s, d, RANGES), _pages(s, d), **kw).select("doc_id", "idx", "text")
@@ -152,14 +155,18 @@ FOUND = {
         _o("select doc_id, page_no, (page_no = 1 and doc_id % 2 = 0) or (page_no = 2 and doc_id % 4 = 0) as yes from p", p=PAGES),
     ),
     "toc_lines": (
-        lambda s, d: C.toc_lines(of(s, d, PRINTED).where("page_no = 1 and doc_id % 2 = 0")).select("doc_id", "structure", "title", "page"),
-        _o("select doc_id, v.a as structure, v.b as title, v.c as page from p, (values ('1', 'First part', 3), ('1.1', 'Second part', 5), (null, 'Third one', 7)) v(a, b, c) where page_no = 1 and doc_id % 2 = 0", p=PAGES),
+        lambda s, d: C.toc_lines(of(s, d, PRINTED)),
+        _o(
+            f"select doc_id, page_no, k - 1 as line_num, nullif(regexp_extract(line, '{_LISTED}', 1), '') as structure, regexp_replace(regexp_extract(line, '{_LISTED}', 2), '[\\s:]+$', '') as title, try_cast(regexp_extract(line, '{_LISTED}', 3) as int) as page "
+            f"from (select doc_id, page_no, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as k from (select doc_id, page_no, {_LEADERS} as t from p) y) z where regexp_matches(line, '{_LISTED}')",
+            p=PRINTED,
+        ),
     ),
     "text_dot_leaders": (lambda s, d: of(s, d, PRINTED).select("doc_id", "page_no", X.dot_leaders(F.col("text")).alias("text")), _o("select doc_id, page_no, regexp_replace(regexp_replace(text, '\\.{{5,}}', ': ', 'g'), '(?:\\. ){{5,}}\\.?', ': ', 'g') as text from p".replace("{{", "{").replace("}}", "}"), p=PRINTED)),
-    "text_physical_index": (lambda s, d: _noisy(s, d).where("event_id % 4 = 3 or event_id % 4 = 1").select("event_id", X.physical_index(F.col("s")).alias("physical_index")), _o("select event_id, case when event_id % 4 = 3 then event_id end as physical_index from events where event_id % 4 in (1, 3)", e="select 1 as one")),
+    "text_physical_index": (lambda s, d: _noisy(s, d).select("event_id", X.physical_index(F.col("s")).alias("physical_index")), _o("select event_id, case when event_id % 4 = 3 then event_id end as physical_index from events", e="select 1 as one")),
     "text_repaired_json": (
-        lambda s, d: _noisy(s, d).where("event_id % 4 <> 3").select("event_id", X.repaired_json(F.col("s")).alias("json")),
-        _o(f"select event_id, regexp_replace({_FLAT}, ',\\s*([\\]}}])', '\\1', 'g') as json from j where event_id % 4 <> 3", j=NOISY.replace("{events}", "events")),
+        lambda s, d: _noisy(s, d).select("event_id", X.repaired_json(F.col("s")).alias("json")),
+        _o(f"select event_id, regexp_replace({_FLAT}, ',\\s*([\\]}}])', '\\1', 'g') as json from j", j=NOISY.replace("{events}", "events")),
     ),
     "text_object_slice": (lambda s, d: _noisy(s, d).select("event_id", X.object_slice(F.col("s")).alias("json")), _o("select event_id, regexp_extract(s, '(?s)\\{.*\\}', 0) as json from j", j=NOISY.replace("{events}", "events"))),
     "text_tokens": (lambda s, d: of(s, d, DOCS).select("doc_id", X.count_tokens(F.col("text")).alias("tokens")), _o("select doc_id, cast(floor(length(coalesce(text, '')) / 4) as int) as tokens from d", d=DOCS)),

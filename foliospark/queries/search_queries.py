@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import search as S
 from ..operators import tree as T
 from ..plans import pipelines
-from .inputs import PAGES, TREE, of, oracle
+from .inputs import PAGES, of, oracle
 
-#: Questions: the first words of benchmark passages.
-QUESTIONS = "select item_id as qid, substring(text, 1, 60) as question from {benchmark} where item_id < 10"
+#: Questions: all benchmark passages, whole.
+QUESTIONS = "select item_id as qid, text as question from {benchmark}"
 #: Turns as nodes to search.
 NODES = f"select doc_id, page_no as idx, substring(text, 1, 40) as title, text as summary, text, page_no as start_index from ({PAGES}) p"
+#: Documents with all their text as description.
+DESCRIBED = f"select doc_id, cast(0 as int) as idx, concat('Conversation ', cast(doc_id as string)) as title, string_agg(text, ' ') as summary from ({PAGES}) p group by doc_id"
 #: Lists of node ids with repeats, unknown ids and order.
 CHOSEN = f"select doc_id as qid, page_no as pos, doc_id, lpad(cast(case when page_no % 4 = 0 then 99 when page_no % 3 = 0 then 0 else page_no - 1 end as string), 4, '0') as node_id from ({PAGES}) p"
 
@@ -53,10 +55,20 @@ FOUND = {
         lambda s, d: of(s, d, CHOSEN).join(_nodes(s, d).select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("qid", "pos", "node_id"),
         oracle("select qid, pos, node_id from h where exists (select 1 from n where n.doc_id = h.doc_id and lpad(cast(n.idx - 1 as varchar), 4, '0') = h.node_id)", h=CHOSEN, n=NODES),
     ),
-    "search_answers": (lambda s, d: pipelines.answer(_nodes(s, d), _questions(s, d)).select("qid", "question", "answer", "thinking", F.size("node_list").alias("n_nodes"), "context"), None),
+    "search_answers": (
+        lambda s, d: pipelines.answer(_nodes(s, d), _questions(s, d)).select("qid", "question", "answer", "thinking", F.size("node_list").alias("n_nodes"), "context"),
+        oracle(
+            f", {_W}, r as (select *, row_number() over (partition by qid order by score desc, doc_id, idx) as rank from s where score > 0), k as (select * from r where rank <= 5), c as (select qid, string_agg('[' || n.title || ' (p.' || cast(n.start_index as varchar) || ')]' || chr(10) || n.text, chr(10) || chr(10) order by rank) as context from k join n on n.doc_id = k.doc_id and n.idx = k.idx where n.text <> '' group by qid), "
+            "t as (select qid, string_agg('node ' || cast(idx as varchar) || ' of ' || cast(doc_id as varchar) || ': ' || printf('%.6f', score), chr(10) order by rank) as thinking, count(*) as n_nodes from k group by qid), "
+            "u as (select qid, generate_subscripts(x, 1) as pos, unnest(x) as sentence from (select qid, regexp_extract_all(context, '[^.!?]+[.!?]*', 0) as x from c) z), h as (select u.*, len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+', 0)), list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+', 0)))) as hits from u join a using (qid)), "
+            "b as (select qid, trim(string_agg(sentence, '' order by pos)) as answer from (select *, row_number() over (partition by qid order by hits desc, pos) as k from h) z where k <= 2 group by qid) "
+            "select a.qid, question, answer, thinking, n_nodes, context from a left join t using (qid) left join c using (qid) left join b using (qid)",
+            n=NODES, a=QUESTIONS,
+        ),
+    ),
     "search_documents": (
-        lambda s, d: S.bm25(of(s, d, TREE).where("level = 1").select("doc_id", "idx", "title", F.lit("nation by name").alias("summary")), s.createDataFrame([(1, "the nation of Germany or france")], "qid int, question string"), 3),
-        None,
+        lambda s, d: S.bm25(of(s, d, DESCRIBED), _questions(s, d), 3),
+        oracle(f", {_W}, r as (select *, row_number() over (partition by qid order by score desc, doc_id, idx) as rank from s where score > 0) select * from r where rank <= 3", n=DESCRIBED, a=QUESTIONS),
     ),
     "search_metadata": (lambda s, d: s.sql("select doc_id, lang, quality from {documents} join {labels} using (doc_id) where toxic = 0 and lang = 'en'", documents=s.read.parquet(f"{d}/documents.parquet"), labels=s.read.parquet(f"{d}/labels.parquet")), "select doc_id, lang, quality from documents join labels using (doc_id) where toxic = 0 and lang = 'en'"),
     "vector_topk": (_chunks, f"with {_VEC} select qid, doc_id, chunk, score, rank from r where rank <= 10"),

@@ -29,11 +29,11 @@ def _parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _codes(spark: SparkSession, d: str) -> DataFrame:
-    code = "case when level = 1 then cast(doc_id as string) when level = 2 then concat(cast(doc_id as string), '.', cast(num as string)) else concat(cast(doc_id as string), '.', cast(num % 50 as string), '.', cast(num as string)) end"
-    return _tree(spark, d).withColumn("structure", F.expr(code)).where("not (level = 2 and num % 4 = 0)")
+    code = "case when level = 2 and num % 4 = 0 then null when level = 1 then cast(doc_id as string) when level = 2 then concat(cast(doc_id as string), '.', cast(num as string)) else concat(cast(doc_id as string), '.', cast(num % 50 as string), '.', cast(num as string)) end"
+    return _tree(spark, d).withColumn("structure", F.expr(code))
 
 
-_CODES = "c as (select *, case when level = 1 then cast(doc_id as string) when level = 2 then concat(cast(doc_id as string), '.', cast(num as string)) else concat(cast(doc_id as string), '.', cast(num % 50 as string), '.', cast(num as string)) end as structure from t where not (level = 2 and num % 4 = 0))"
+_CODES = "c as (select *, case when level = 2 and num % 4 = 0 then null when level = 1 then cast(doc_id as string) when level = 2 then concat(cast(doc_id as string), '.', cast(num as string)) else concat(cast(doc_id as string), '.', cast(num % 50 as string), '.', cast(num as string)) end as structure from t)"
 _PATHS = f"{_RANKED}, w as (select doc_id, idx, parent_idx, cast(rk as varchar) as dotted, lpad(cast(rk as varchar), 4, '0') as padded, 0 as depth from r where parent_idx is null union all select r.doc_id, r.idx, r.parent_idx, w.dotted || '.' || cast(r.rk as varchar), w.padded || '.' || lpad(cast(r.rk as varchar), 4, '0'), w.depth + 1 from r join w on r.doc_id = w.doc_id and r.parent_idx = w.idx)"
 _SUBTREE = f"{_NEXT}, s as (select x.*, (select count(*) from t u where u.doc_id = x.doc_id and u.idx > x.idx and u.idx < coalesce(x.next_idx, 2147483647)) as descendants, length(text) + (select coalesce(sum(length(u.text) + 1), 0) from t u where u.doc_id = x.doc_id and u.idx > x.idx and u.idx < coalesce(x.next_idx, 2147483647)) as subtree_chars from x)"
 _FULL = 120
