@@ -2,7 +2,8 @@
 
 Vectors of one label and dimension are dealt into shards of bounded size; each shard builds its graph,
 every block of vectors queries every shard of its label. A query's beam is widened while it holds nothing but
-links, and a whole block's beams while an audit of sampled queries against brute force finds too little. Links are
+links, and a whole block's beams while an audit of sampled queries against brute force finds too little; a block whose beams
+are as wide as the shard and still miss links is compared with all of the shard's vectors. Links are
 verified by cosine in double precision, counted on both sides, and unioned to components.
 
 Equal vectors of a label are one weighted node, so copies of one vector are one row of a graph. Vectors that are null, empty, zero, hold
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import connected_components, materialize, partitions
 
 MIN_COSINE = 0.93
 #: Vectors of a shard, links of a node, beams while building and querying, audited queries of a block, their least recall.
@@ -160,8 +161,10 @@ class Graph:
         while True:
             found = self.linked(q, least, ef)
             got = (found[sample] & truth).sum() / max(truth.sum(), 1) if truth.any() else 1.0
-            if got >= recall or ef >= len(self.x):
+            if got >= recall:
                 return found, float(got)
+            if ef >= len(self.x):  # the graph is in parts: every vector of the shard instead
+                return np.concatenate([q[at : at + BLOCK] @ self.x.T >= least for at in range(0, len(q), BLOCK)]), 1.0
             ef *= 2
 
 
@@ -182,8 +185,18 @@ def _walk(links: np.ndarray, back: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
-def _unit(payload: bytes, dim: int) -> np.ndarray:
-    x = np.frombuffer(payload, "<f4").reshape(-1, dim).astype(np.float64)
+def _weighed(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights that each row and each column links with, a block of rows at a time."""
+    by_row, by_column = np.zeros(len(links), dtype=np.int64), np.zeros(links.shape[1], dtype=np.int64)
+    for at in range(0, len(links), BLOCK):
+        some = links[at : at + BLOCK].astype(np.int64)
+        by_row[at : at + BLOCK] = some @ columns
+        by_column += rows[at : at + BLOCK] @ some
+    return by_row, by_column
+
+
+def _unit(payload: bytes, dim: int, kind: str) -> np.ndarray:
+    x = np.frombuffer(payload, kind).reshape(-1, dim).astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -194,17 +207,21 @@ def usable(embedding: Column, label: Column) -> Column:
 
 def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard: int = SHARD, ef: int = EF, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row with columns vec_id, embedding and label."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "label")
-    good = rows.where(usable(F.col("embedding"), F.col("label"))).withColumn("e", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)))
+    exact = vectors.schema["embedding"].dataType.simpleString() != "array<float>"
+    number, code = ("double", "<f8") if exact else ("float", "<f4")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{number}>").alias("embedding"), "label")
+    good = rows.where(usable(F.col("embedding"), F.col("label"))).withColumn("e", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(number)).otherwise(x)))
     distinct = good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("e"))
     distinct = materialize(distinct.where("rep is not null"))
     shards = distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     placed = distinct.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    tasks = partitions(vectors.sparkSession)
+    placed = placed.repartition(tasks, "label", "dim", "shard")  # not by label alone, as the join may leave it
 
     def build(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("rep").sample(frac=1, random_state=1)
-        x = np.stack(batch["e"].to_numpy()).astype("<f4")
-        graph = Graph(_unit(x.tobytes(), x.shape[1]), seed=int(batch["shard"].iloc[0]) + 1)
+        x = np.stack(batch["e"].to_numpy()).astype(code)
+        graph = Graph(_unit(x.tobytes(), x.shape[1], code), seed=int(batch["shard"].iloc[0]) + 1)
         out = batch.iloc[:1][["label", "dim", "shard"]].copy()
         out["ids"], out["weights"] = [batch["rep"].to_numpy("<i8").tobytes()], [batch["weight"].to_numpy("<i8").tobytes()]
         out["vectors"], out["near"] = [x.tobytes()], [[a.astype("<i4").tobytes() for a in graph.near]]
@@ -214,22 +231,26 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard: int =
     label = placed.schema["label"].dataType.simpleString()
     graphs = materialize(placed.groupBy("label", "dim", "shard").applyInPandas(build, f"label {label}, dim int, shard int, ids binary, weights binary, vectors binary, near array<binary>, top binary"))
     queries = graphs.select("label", "dim", F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("weights").alias("q_weights"), F.col("vectors").alias("q_vectors"))
-    pairs = graphs.join(queries, ["label", "dim"]).where("block >= shard")
+    at = graphs.select("label", "dim", "shard")
+    pairs = at.join(at.withColumnRenamed("shard", "block"), ["label", "dim"]).where("block >= shard")
+    pairs = pairs.join(graphs, ["label", "dim", "shard"]).join(queries, ["label", "dim", "block"])
+    pairs = pairs.repartition(tasks, "label", "dim", "shard", "block")  # every pair of shards is work of its own
 
     def ask(batch: pd.DataFrame) -> pd.DataFrame:
         row = batch.iloc[0]
         dim, same = int(row["dim"]), row["shard"] == row["block"]
         graph = Graph(np.zeros((0, dim)))
-        graph.x = _unit(row["vectors"], dim)
+        graph.x = _unit(row["vectors"], dim, code)
         graph.near = [np.frombuffer(a, "<i4").reshape(len(graph.x), -1) for a in row["near"]]
         graph.top = np.frombuffer(row["top"], "<i4").tolist()
         ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
         weights, q_weights = np.frombuffer(row["weights"], "<i8"), np.frombuffer(row["q_weights"], "<i8")
-        found, _ = graph.audited(_unit(row["q_vectors"], dim), least, ef, AUDIT, recall)
+        found, _ = graph.audited(_unit(row["q_vectors"], dim, code), least, ef, AUDIT, recall)
         if same:
             found |= found.T
             np.fill_diagonal(found, False)
-        counts = [(q_ids, found @ weights)] + ([] if same else [(ids, found.T @ q_weights)])
+        by_query, by_node = _weighed(found, q_weights, weights)
+        counts = [(q_ids, by_query)] + ([] if same else [(ids, by_node)])
         a = [c[n > 0] for c, n in counts]
         b = [n[n > 0] for _, n in counts]
         kinds = [np.zeros(len(x), int) for x in a]
@@ -246,6 +267,6 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard: int =
     component = connected_components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("rep"), "component")
     nodes = distinct.join(links, "rep", "left").join(component, "rep", "left")
     nodes = nodes.select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.withColumn("e", F.when(usable(F.col("embedding"), F.col("label")), F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)))).join(nodes, ["label", "e"], "left")
+    joined = rows.withColumn("e", F.when(usable(F.col("embedding"), F.col("label")), F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(number)).otherwise(x)))).join(nodes, ["label", "e"], "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

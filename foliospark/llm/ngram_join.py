@@ -1,9 +1,9 @@
 """Self join of documents on the Jaccard similarity of their word n-gram sets, by T-occurrence search.
 
 A document is a node, its set the distinct n-word shingles of its text in lower case. The search itself is
-DivideSkip: of a document's shingles the rarest lists are merged, documents that occur often enough in them
-are candidates, and the long lists are probed for each candidate by binary search until the required overlap is
-reached or out of reach.
+DivideSkip: of a document's shingles the rarest lists are merged, documents that occur often enough in them to
+reach the required overlap are candidates, and the long lists are probed for each candidate by binary search. The merge
+sorts the concatenated lists, run by run, in place of a heap; it finds the same counts.
 
 Routing, which loses no link: sets are compared within size bands. For a band the most shingles in which two linked
 sets differ are known, k, so of k + 1 + 2s parts of the hash space 2s + 1 at least hold the same shingles
@@ -32,6 +32,8 @@ from .wordhash import batch_hashes, bounded, mix, windows
 N, NUM, DEN = 4, 85, 100
 #: Parts that a document may leave unsent besides a tenth, words of a scan block, shingles of a search block.
 SPARE, BLOCK_WORDS, BLOCK_SHINGLES = 4, 1_000_000, 2_000_000
+#: Documents of a search block, as one that all share a list costs their square; candidates whose long lists are probed at once.
+BLOCK_DOCS, PROBED = 20_000, 64
 #: Placed documents that a join sends to all executors, 32 bytes each; more of them are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -141,8 +143,17 @@ def search(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, group: n
     lists = doc[np.argsort(token, kind="stable")]  # documents of each token, small sets first
     begin = np.cumsum(count) - count
     label = np.arange(len(order)) if group is None else np.unique(group[order], return_inverse=True)[1]
+    parent = np.arange(int(label.max(initial=0)) + 1)
+
+    def root(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        return a
+
     ends = np.cumsum(sizes)
     own = [np.sort(token[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    n = len(order)
+    listed = np.repeat(np.arange(len(count)), count) * n + lists  # ascending: a probe of any list is a binary search here
     links = []
     for x, tokens in enumerate(own):
         size = len(tokens)
@@ -153,21 +164,27 @@ def search(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, group: n
         short_need = 1 + (size - need) // 2
         long_ = shared[len(shared) - (need - short_need) :] if need > short_need else shared[:0]
         short = shared[: len(shared) - len(long_)]
-        merged = np.concatenate([lists[b : b + c] for b, c in zip(begin[short].tolist(), count[short].tolist(), strict=True)]) if len(short) else short
-        merged = merged[merged < x]
-        if not len(merged):
+        if not len(short):
             continue
-        times = np.bincount(merged, minlength=x)
-        candidates = np.flatnonzero((times >= short_need) & (sizes[:x] * den >= num * size) & (label[:x] != label[x]))
-        for y in candidates[np.argsort(-times[candidates], kind="stable")].tolist():
-            if label[y] == label[x]:
+        # the short lists are merged; a stable sort does it list by list, as they are in order
+        merged = np.sort(np.concatenate([lists[b : b + np.searchsorted(lists[b : b + c], x)] for b, c in zip(begin[short].tolist(), count[short].tolist(), strict=True)]), kind="stable")
+        at = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1]))) if len(merged) else merged
+        found, times = merged[at], np.diff(np.append(at, len(merged)))
+        required = -(-num * (size + sizes[found]) // (num + den))
+        keep = np.flatnonzero((times >= short_need) & (sizes[found] * den >= num * size) & (times + len(long_) >= required))
+        keep = keep[np.argsort(-times[keep], kind="stable")]
+        for some in np.split(keep, range(PROBED, len(keep), PROBED)):
+            mine = root(int(label[x]))
+            some = some[[root(g) != mine for g in label[found[some]].tolist()]] if len(some) else some
+            if not len(some):
                 continue
-            other = own[y]
-            at = np.searchsorted(other, long_)
-            overlap = int(times[y]) + int((other[np.minimum(at, len(other) - 1)] == long_).sum())
-            if den * overlap >= num * (size + len(other) - overlap):
-                links.append((int(ids[order[x]]), int(ids[order[y]])))
-                label[label == label[x]] = label[y]
+            probe = long_[:, None] * n + found[some][None, :]
+            hits = (listed[np.minimum(np.searchsorted(listed, probe), len(listed) - 1)] == probe).sum(axis=0) + times[some]
+            for y in found[some[hits >= required[some]]].tolist():
+                a, b = root(int(label[y])), root(int(label[x]))
+                if a != b:
+                    links.append((int(ids[order[x]]), int(ids[order[y]])))
+                    parent[b] = a
     return links
 
 
@@ -245,7 +262,7 @@ def _search_groups(rows: DataFrame, groups: DataFrame, sizes: DataFrame, n: int,
         return _rows(np.array(links, dtype=np.int64).reshape(-1, 2))
 
     total = sizes.select(F.col("doc_id").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("size")).join(groups, "id")
-    blocks = materialize(total.groupBy("grp").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+    blocks = materialize(total.groupBy("grp").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks")))
     placed = groups.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     if groups.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch of whole texts; keeps a Python worker's memory bounded.
 TEXT_BATCH_ROWS = 1000
+#: Names of the folders that materialize wrote; nothing else is ever deleted.
+_OWN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +39,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one only where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -50,6 +54,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/foliospark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _OWN.add(path.rsplit("/", 1)[1])
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -59,7 +64,9 @@ def materialize(df: DataFrame) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files behind a materialized DataFrame that no later plan reads."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/foliospark-" in f}:
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[1] not in _OWN:  # never a folder of others
+            continue
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -347,3 +347,68 @@ def test_clashing_columns(spark):
     assert ngram_join.keep_first(odd).columns == odd.columns
     assert secret_scan.redact(odd).collect()[0].bucket == 6
     assert quality_rules.assess(odd, odd.selectExpr("doc_id", "1 as quality", "0 as toxic")).count() == 1
+
+
+def test_packing_program():
+    """The cover is whole, between the dual bound and its plan, and better than best fit where that is poor."""
+    poor = {51: 6, 27: 6, 26: 6, 23: 12}
+    assert sum(t for t, _ in packing.best_fit(poor, 100)) == 11
+    assert sum(t for t, _ in packing.plan(poor, 100)) == 9
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(1, 2049, 3000), np.minimum(rng.lognormal(5.5, 1, 20000).astype(int) + 1, 2048), rng.integers(900, 1100, 2000), np.array([7])):
+        histogram = dict(Counter(lengths.tolist()))
+        sizes = np.array(sorted(histogram))
+        counts = np.array([histogram[x] for x in sizes], dtype=float)
+        found, bound = packing.fractional(counts, sizes, 2048)
+        covered = np.zeros(len(sizes))
+        for use, x in found:
+            assert sum(sizes[k] * n for k, n in use.items()) <= 2048
+            for k, n in use.items():
+                covered[k] += n * x
+        assert np.allclose(covered, counts)
+        value = sum(x for _, x in found)
+        used = sum(t for t, _ in packing.plan(histogram))
+        assert bound <= value + 1e-6 and bound <= used + 1e-6
+        assert value <= 1.03 * bound + 1 and used <= 1.03 * bound + 2
+        taken = Counter()
+        for t, use in packing.plan(histogram):
+            for size, n in use.items():
+                taken[size] += t * n
+        assert taken == histogram
+
+
+def test_embeddings_in_parts():
+    """A graph whose halves don't meet still gives all links."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = embedding_dedup.Graph(x)
+    for layer in graph.near:
+        layer[:] = -1
+    found, recall = graph.audited(x, 0.6, 64, 128, 0.995)
+    assert recall == 1.0 and (found == (x @ x.T >= 0.6)).all()
+
+
+def test_jaccard_search_families():
+    """Families just below and just above the threshold, against brute force; 2,000 documents in a moment."""
+    import time
+
+    rng, family = random.Random(8), [10**9 + j for j in range(11)]
+    sets = [np.array(sorted([*family, i]), dtype=np.uint64) for i in range(2000)]
+    began = time.time()
+    assert ngram_join.search(np.arange(2000), sets, 85, 100) == []
+    assert time.time() - began < 3
+    sets = [np.array(sorted(rng.sample(range(40), rng.randint(5, 36))), dtype=np.uint64) for _ in range(150)]
+    sets += [np.array(sorted(set(s.tolist()) ^ {rng.randrange(40)}), dtype=np.uint64) for s in sets]
+    links = ngram_join.search(np.arange(len(sets)), sets, 85, 100)
+    parent = list(range(len(sets)))
+
+    def component(pairs):
+        group = {i: i for i in range(len(sets))}
+        for _ in range(len(sets)):
+            for a, b in pairs:
+                group[a] = group[b] = min(group[a], group[b])
+        return group
+
+    both = [(a, b) for a in parent for b in parent[:a] if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    assert component(links) == component(both) and set(links) <= set(both)
