@@ -3,8 +3,8 @@
 For every format a prefix tree of its labelled credentials is built and states whose futures are
 statistically compatible (Hoeffding bounds on stopping and on every symbol, checked down the subtrees)
 are merged until none are left to merge. One more automaton is inferred from labelled harmless tokens.
-Every candidate token of a text is scored by the log likelihood of its best format against the harmless
-automaton, per character. Where a whole run of token characters is none, the parts of it that start after a
+Every candidate token of a text is scored by the log likelihood of its best format, its end included, against the harmless
+automaton's. A format never ends at a length that none of its labelled credentials comes near. Where a whole run of token characters is none, the parts of it that start after a
 separator or where a format can start are scored, up to every separator.
 
 Null text counts as empty. Whole texts are searched; spans are in code points, end exclusive.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -33,8 +34,10 @@ BASE = {
 }
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
-#: Labelled examples of each format to infer from, the bound's confidence, and the least score per character.
-EXAMPLES, ALPHA, MIN_SCORE = 150, 0.05, 0.35
+#: Labelled examples of each format to infer from, the bound's confidence, the least log likelihood ratio, and how far beyond labelled lengths a format may end.
+EXAMPLES, ALPHA, MIN_SCORE, LONGER = 150, 0.05, 8.0, 0.1
+#: What a base span within a candidate adds to its log likelihood ratio.
+KNOWN = 20.0
 #: Characters at the start of a token that stand for themselves; later ones stand for their class.
 LITERAL = 4
 
@@ -59,6 +62,7 @@ HARMLESS: list[list] = [
     [(_LOW, 16, 30)], [(_UP, 1, 1), (_LOW, 15, 28)], [(_DIG, 16, 19)], [(_LOW, 3, 9), ".", (_LOW, 3, 9), ".", "com"], ["mail", (_DIG, 1, 1), ".example.com"],
     [(_LOW, 3, 9), "_", (_LOW, 3, 9), "_", (_LOW, 3, 9)], [(_LOW, 3, 9), "-", (_LOW, 3, 9), "-", (_LOW, 3, 9)], [(_LOW, 3, 9), "/", (_LOW, 3, 9), "/", (_LOW, 3, 9), ".", (_LOW, 2, 4)],
     [(_DIG, 4, 4), "-", (_DIG, 2, 2), "-", (_DIG, 2, 2), "-", (_DIG, 6, 6)], ["................"], ["----------------"], ["================"], [(_UP, 16, 24)], [(_LOW, 1, 8), (_UP, 1, 1), (_LOW, 5, 9), (_UP, 1, 1), (_LOW, 5, 9)],
+    [(_LOW + _UP + _DIG, 16, 160)], [(_LOW + _UP + _DIG + "_-", 16, 160)],
 ]
 
 SCANNED = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -75,6 +79,11 @@ def symbols(token: str) -> str:
     return token[:LITERAL] + token[LITERAL:].translate(_CLASS)
 
 
+def labels(n: int = EXAMPLES) -> dict[str, list[str]]:
+    """n labelled credentials of each published format, and harmless tokens under the empty name."""
+    return {name: examples([shape], n, 7 + i) for i, (name, shape) in enumerate(FORMATS.items())} | {"": examples(HARMLESS, 4 * n, 5)}
+
+
 class Automaton:
     """A probabilistic automaton inferred by merging compatible states of a prefix tree."""
 
@@ -99,7 +108,12 @@ class Automaton:
         for state, following in enumerate(self.next):
             for s, to in following.items():
                 self.edges[state][s] = self.count[to]
+        sizes = [len(t) for t in tokens]
+        self.prefix = os.path.commonprefix(tokens)[:LITERAL]  # what every labelled token begins with, and of which classes its start is
+        self.starts = [{t[i : i + 1].translate(_CLASS) for t in tokens} for i in range(LITERAL)]
+        self.shortest, self.longest = min(sizes, default=0), int(max(sizes, default=0) * (1 + LONGER))
         self._infer()
+        self.ends = [math.log(self.stop[q] / self.count[q]) if self.stop[q] else self.FLOOR for q in range(len(self.count))]
         self.logs = [{s: (to, math.log(self.edges[q][s] / self.count[q])) for s, to in self.next[q].items()} if self.count[q] else {} for q in range(len(self.count))]
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
@@ -148,8 +162,14 @@ class Automaton:
             else:
                 red.append(to)
 
-    def score(self, token: str) -> float:
-        """Log likelihood of the token's symbols; a symbol that a state never saw costs FLOOR and ends the walk's knowledge."""
+    def begins(self, token: str) -> bool:
+        return token.startswith(self.prefix) and all(c.translate(_CLASS) in seen for c, seen in zip(token, self.starts))
+
+    def score(self, token: str, strict: bool = True) -> float:
+        """Log likelihood of the token's symbols and of its end. A symbol that a state never saw costs FLOOR; if strict, another start
+        than all labelled tokens have, or a length out of reach, costs everything."""
+        if strict and not (self.begins(token) and self.shortest <= len(token) <= self.longest):
+            return -math.inf
         state, total = 0, 0.0
         logs = self.logs
         for s in symbols(token):
@@ -159,34 +179,38 @@ class Automaton:
             else:
                 state = step[0]
                 total += step[1]
-        return total
+        return total + self.ends[state]
 
     def sums(self, tail: str, known: bool = False) -> list[float] | None:
-        """The score after every one of the symbols, from 0 on; None if known and one of the literal symbols was never seen in its place."""
-        state, out = 0, [0.0]
-        for i, s in enumerate(tail):
+        """The score if it ended after so many of the symbols; None if known and the start is another than all labelled tokens have."""
+        if known and not self.begins(tail[:LITERAL]):
+            return None
+        state, total, out = 0, 0.0, [self.ends[0]]
+        for s in tail:
             step = self.logs[state].get(s)
             if step is None:
-                if known and i < LITERAL:
-                    return None
-                out.append(out[-1] + self.FLOOR)
+                total += self.FLOOR
             else:
                 state = step[0]
-                out.append(out[-1] + step[1])
+                total += step[1]
+            out.append(total + self.ends[state])
         return out
 
 
 class Scanner:
-    def __init__(self, n: int = EXAMPLES, alpha: float = ALPHA, min_score: float = MIN_SCORE):
-        self.formats = {name: Automaton(examples([shape], n, 7 + i), alpha) for i, (name, shape) in enumerate(FORMATS.items())}
-        self.harmless = Automaton(examples(HARMLESS, 3 * n, 5), alpha)
+    """Automata of labelled tokens: {format: credentials}, harmless ones under the empty name; by default examples of published formats."""
+
+    def __init__(self, labelled: dict[str, list[str]] | None = None, alpha: float = ALPHA, min_score: float = MIN_SCORE):
+        labelled = dict(labelled or labels())
+        self.harmless = Automaton(labelled.pop("", []), alpha)
+        self.formats = {name: Automaton(tokens, alpha) for name, tokens in labelled.items()}
         self.min_score = min_score
 
     def format_of(self, token: str) -> tuple[str, float]:
-        """The likeliest format, and how much likelier per character than a harmless token."""
-        least = self.harmless.score(token)
+        """The likeliest format, and the log of how much likelier it is than a harmless token."""
+        least = self.harmless.score(token, strict=False)
         name, best = max(((k, a.score(token)) for k, a in self.formats.items()), key=lambda x: x[1])
-        return name, (best - least) / len(token)
+        return name, best - least
 
     def parts(self, run: str) -> list[tuple[int, int, str]]:
         """(start, end, format) of the likeliest disjoint parts of a run that is no candidate of a format itself."""
@@ -203,7 +227,7 @@ class Scanner:
                 if least is None:
                     least = self.harmless.sums(tail)
                     ends = [n for n in range(LEAST, size) if not run[start + n].isalnum()] + [size]
-                more = [(sums[n] - least[n], start, start + n, name) for n in ends if sums[n] - least[n] >= self.min_score * n]
+                more = [(sums[n] - least[n], start, start + n, name) for n in ends if automaton.shortest <= n <= automaton.longest and sums[n] - least[n] >= self.min_score]
                 found += [max(more)] if more else []
         out: list[tuple[int, int, str]] = []
         for _, start, end, name in sorted(found, key=lambda x: (-x[0], x[1:])):
@@ -226,7 +250,8 @@ class Scanner:
         more = []
         for m in CANDIDATE.finditer(text):
             name, score = self.format_of(m[0])
-            for start, end, kind in [(0, len(m[0]), name)] if score >= self.min_score else self.parts(m[0]):
+            known = any(s < m.end() and m.start() < e for s, _, _, e in base)
+            for start, end, kind in [(0, len(m[0]), name)] if score >= self.min_score - known * KNOWN else self.parts(m[0]):
                 at, end = start + m.start(), end + m.start()
                 for s, _, _, e in base:
                     if s < end and at < e:
@@ -252,13 +277,17 @@ class Scanner:
         return "".join([*out, text[at:]])
 
 
-@lru_cache(maxsize=1)
-def scanner() -> Scanner:
-    """One scanner in each Python worker; inference takes the same fixed examples everywhere."""
-    return Scanner()
+@lru_cache(maxsize=4)
+def _inferred(labelled: tuple[tuple[str, tuple[str, ...]], ...] | None) -> Scanner:
+    return Scanner(None if labelled is None else {name: list(tokens) for name, tokens in labelled})
+
+
+def scanner(labelled: dict[str, list[str]] | None = None) -> Scanner:
+    """One scanner for the same labelled tokens in each Python worker."""
+    return _inferred(None if labelled is None else tuple((name, tuple(tokens)) for name, tokens in labelled.items()))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per input row: counts of base matches, the digest of base spans, and all spans as kind:start:end.
 
     Repeated or null document ids are rows of their own; other columns are ignored.
@@ -266,7 +295,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = scanner()
+        found = scanner(labelled)
         for batch in batches:
             out = pd.DataFrame([found.row(t or "") for t in batch["text"]], columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
@@ -275,12 +304,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, f"doc_id long, {SCANNED}")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", labelled: dict[str, list[str]] | None = None) -> DataFrame:
     """docs with every found span of the text replaced by mark; null text stays null, all columns stay."""
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = scanner()
+        found = scanner(labelled)
         for batch in batches:
             batch[text_col] = [None if t is None else found.redacted(t, mark) for t in batch[text_col]]
             yield batch
