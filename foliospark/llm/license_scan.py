@@ -1,8 +1,9 @@
 """Licence scans by a generalised suffix automaton of the words of licence templates.
 
 Each text is streamed through the automaton, which gives for every word the length of the longest
-run ending there that occurs in some template (matching statistics). Maximal runs are chained per
-template in text order; a template is reported if its chain covers enough of it. Base phrases are
+run ending there that occurs in some template (matching statistics). Maximal runs, at every place that a template has
+them, are chained per template by dynamic programming: the chain of most covered words in the order of text and template,
+with gaps of less than a template's length. A template is reported if its chain covers enough of it. Base phrases are
 counted beside that.
 
 Null text counts as empty. Texts of any length are scanned whole, one pass, in bounded memory:
@@ -30,6 +31,7 @@ TEMPLATES = {
     ],
     "apache-2.0": [
         "licensed under the apache license version 2 0",
+        "licensed under the apache license 2 0",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     ],
@@ -42,7 +44,16 @@ TEMPLATES = {
         "licensed under the gnu general public license version 3",
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     ],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "lgpl": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "licensed under the gnu lesser general public license",
+    ],
+    "agpl": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        "licensed under the gnu affero general public license",
+    ],
+    "epl-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"],
+    "mpl-2.0": ["licensed under the mozilla public license 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0"],
     "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license", "licensed under cc by 4 0"],
     "cc-by-sa": ["this work is licensed under a creative commons attribution sharealike 4 0 international license", "licensed under cc by sa 4 0"],
     "cc0": ["the person who associated a work with this deed has dedicated the work to the public domain"],
@@ -65,22 +76,22 @@ def words(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over word sequences; every state knows where each template has it first."""
+    """Generalised suffix automaton over word sequences; every state knows where each template has it."""
 
     def __init__(self, templates: list[list[bytes]]):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # template -> end position of its first occurrence
+        self.ends: list[dict[int, tuple[int, ...]]] = [{}]  # template -> ends of its occurrences
         for number, sequence in enumerate(templates):
             last = 0
             for position, word in enumerate(sequence):
                 last = self._add(last, word)
                 state = last
-                while state > 0 and number not in self.ends[state]:
-                    self.ends[state][number] = position + 1
+                while state > 0:
+                    self.ends[state][number] = (*self.ends[state].get(number, ()), position + 1)
                     state = self.link[state]
 
-    def _state(self, length: int, edges: dict[bytes, int], ends: dict[int, int]) -> int:
+    def _state(self, length: int, edges: dict[bytes, int], ends: dict[int, tuple[int, ...]]) -> int:
         self.next.append(edges)
         self.link.append(0)
         self.length.append(length)
@@ -117,6 +128,28 @@ class SuffixAutomaton:
         return (to, length + 1) if to is not None else (0, 0)
 
 
+def best_chains(pieces: list[tuple[int, int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(covered template words, start, end) of the best chain that ends in each piece (start, end, low, high), ordered by start.
+
+    A piece follows another that starts and ends before it in text and template, no more than `size` words away; what the two
+    share on either side counts once. Only pieces that near are looked at, so work grows with the text.
+    """
+    out: list[tuple[int, int, int]] = []
+    first = 0
+    for j, (start, end, low, high) in enumerate(pieces):
+        while pieces[first][1] + size < start and pieces[first][0] + 2 * size < start:
+            first += 1
+        best = (high - low, start, end)
+        for i in range(first, j):
+            s, e, lo, hi = pieces[i]
+            if s < start and e < end and lo < low and hi < high and start - e <= size:
+                gain = min(end - max(e, start), high - max(hi, low))
+                if gain > 0 and (out[i][0] + gain, out[i][1]) > best[:2]:
+                    best = (out[i][0] + gain, out[i][1], end)
+        out.append(best)
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]], base: dict[str, str], min_run: int, min_cover: float):
         self.names = [name for name, lines in templates.items() for _ in lines]
@@ -143,24 +176,21 @@ class Scanner:
         return out
 
     def chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, start, end, share): per template, its longest chain of runs in the order of both sides."""
+        """(template, start, end, share): per template its disjoint chains that cover enough, the best ones first taken."""
         by: dict[int, list[tuple[int, int, int, int]]] = {}
         for start, end, state in runs:
-            for number, stop in self.automaton.ends[state].items():
-                by.setdefault(number, []).append((start, end, stop - (end - start), stop))
+            for number, stops in self.automaton.ends[state].items():
+                by.setdefault(number, []).extend((start, end, stop - (end - start), stop) for stop in stops)
         out = []
         for number, pieces in by.items():
             size = len(self.sequences[number])
-            begin, reach, covered, stop = None, 0, 0, 0
-            for start, end, low, high in pieces:
-                gap = begin is not None and (low < reach or start - stop > size)
-                if begin is None or gap:
-                    if begin is not None and covered >= self.min_cover * size:
-                        out.append((number, begin, stop, covered / size))
-                    begin, covered = start, 0
-                covered, reach, stop = covered + high - low, high, end
-            if begin is not None and covered >= self.min_cover * size:
-                out.append((number, begin, stop, covered / size))
+            taken: list[tuple[int, int]] = []
+            for covered, begin, stop in sorted(best_chains(sorted(pieces), size), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+                if covered < self.min_cover * size:
+                    break
+                if not any(begin < e and s < stop for s, e in taken):
+                    taken.append((begin, stop))
+                    out.append((number, begin, stop, min(1.0, covered / size)))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, text: str) -> tuple:
