@@ -6,15 +6,16 @@ conversation: each block yields its max-plus matrix from the state before it to
 of a conversation give every block's best entry and exit state, and each block is decoded between them. The result is the
 path of the whole conversation, and no task holds more than a block's lines or one small matrix for each block.
 
-Null texts are empty lines, null ids or turns order first; rows with a null role are not learnt from. Equal turns of a
-conversation keep both rows, ordered by text.
+Null texts are empty lines, null turns order first; each turn with a null conv_id is a conversation of its own (equal ones share
+it), returned with a null conv_id. Rows with a null role are not learnt from. Equal turns of a conversation keep both rows, ordered by
+text. reformat() learns from one half of the conversations what it parses in the other.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -26,7 +27,7 @@ OPEN, CLOSE = "<|{role}|>\n", "\n<|end|>"
 BLOCK_TURNS = 64
 LONG = (40, 120, 400)
 N_SYMBOLS = 4 * (len(LONG) + 1) * 2 * 2
-PARSED = "conv_id long, block long, segment int, starts boolean, role string, n_lines int, rendered string"
+PARSED = "conv_id string, block long, segment int, starts boolean, role string, n_lines int, rendered string"
 
 
 def _pattern(role: str) -> str:
@@ -52,7 +53,7 @@ def compose(turns: DataFrame) -> DataFrame:
     Returns (conv_id, block, turn, tie, idx, line, symbol, state); state is null where the role is unknown.
     """
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
+        F.coalesce(F.col("conv_id").cast("long").cast("string"), F.concat(F.lit("null "), F.xxhash64("turn", "role", "text").cast("string"))).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("role").cast("string").alias("role"),
     )
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
@@ -115,7 +116,10 @@ def fit(lines: DataFrame) -> Model:
     following = known.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "tie", "idx", "state"))).alias("x")).select(F.col("x.state").alias("x"), "block")
     before = F.when(F.col("block") == 0, F.concat(F.array(F.lit(2 * len(ROLES))), F.col("x"))).otherwise(F.col("x"))
     pairs = following.select(F.explode(F.arrays_zip(before.alias("a"), F.when(F.col("block") == 0, F.col("x")).otherwise(F.slice("x", 2, F.size("x"))).alias("b"))).alias("p"))
-    steps = {(r["a"], r["b"]): r["count"] for r in pairs.select("p.a", "p.b").where("a is not null and b is not null").groupBy("a", "b").count().collect()}
+    place = F.struct("turn", "tie", "idx")
+    ends = known.groupBy("conv_id", "block").agg(F.min_by("state", place).alias("first"), F.max_by("state", place).alias("a"))
+    over = ends.select("a", F.lead("first").over(Window.partitionBy("conv_id").orderBy("block")).alias("b"))  # from block to block
+    steps = {(r["a"], r["b"]): r["count"] for r in pairs.select("p.a", "p.b").unionByName(over).where("a is not null and b is not null").groupBy("a", "b").count().collect()}
     return Model(steps, seen)
 
 
@@ -125,7 +129,7 @@ def _ordered(batch: pd.DataFrame) -> pd.DataFrame:
 
 def decode(lines: DataFrame, model: Model) -> DataFrame:
     """(conv_id, block, entry, exit): the best states around every block."""
-    schema = "conv_id long, block long, matrix array<double>"
+    schema = "conv_id string, block long, matrix array<double>"
 
     def summary(batch: pd.DataFrame) -> pd.DataFrame:
         found = model.matrix(_ordered(batch)["symbol"].to_numpy())
@@ -149,7 +153,7 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
         exits = exits[::-1]
         return pd.DataFrame({"conv_id": batch["conv_id"].to_numpy(), "block": batch["block"].to_numpy(), "entry": [n, *exits[:-1]], "exit": exits})
 
-    return lines.groupBy("conv_id", "block").applyInPandas(summary, schema).groupBy("conv_id").applyInPandas(join, "conv_id long, block long, entry int, exit int")
+    return lines.groupBy("conv_id", "block").applyInPandas(summary, schema).groupBy("conv_id").applyInPandas(join, "conv_id string, block long, entry int, exit int")
 
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
@@ -182,6 +186,8 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def reformat(turns: DataFrame) -> DataFrame:
-    """Transcripts composed from the turns, parsed by a model fitted to the same turns' roles."""
-    lines = materialize(compose(turns.where("conv_id is not null")))
-    return parse(lines, fit(lines))
+    """Transcripts composed from the turns, each half of the conversations parsed by a model fitted to the other half's roles."""
+    lines = materialize(compose(turns).withColumn("half", F.pmod(F.xxhash64("conv_id", F.lit(3)), F.lit(2)).cast("int")))
+    halves = [lines.where(F.col("half") == h).drop("half") for h in (0, 1)]
+    parsed = parse(halves[0], fit(halves[1])).unionByName(parse(halves[1], fit(halves[0])))
+    return parsed.withColumn("conv_id", F.expr("try_cast(conv_id as bigint)"))
