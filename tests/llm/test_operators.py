@@ -334,6 +334,11 @@ def test_chat(spark):
     parsed = chat_format.parse(chat_format.compose(turns.where("conv_id % 2 = 1")), model).toPandas()
     assert parsed["n_lines"].sum() == len(held) + 1
     around = chat_format.decode(chat_format.compose(turns.where("conv_id % 2 = 1 and role is not null")), model).toPandas()
+    whole = chat_format.reformat(turns.where("role is null or conv_id is null")).toPandas()  # null ids and roles are kept
+    assert whole["conv_id"].isna().sum() == 1 and whole["n_lines"].sum() == 2
+    assert set(whole["rendered"].str.startswith("<|")) == {True}
+    one = parsed[(parsed["conv_id"] == "7") & parsed["starts"]].iloc[1]
+    assert one["rendered"].startswith(chat_format.OPEN.format(role=one["role"])) and one["rendered"].endswith(chat_format.CLOSE)
     for c, block in held.groupby("conv_id"):  # blocks give the path of the whole conversation
         whole = model.path(block["symbol"].to_numpy(), 2 * len(chat_format.ROLES))
         ends = [whole[i] for i in (block["block"].to_numpy()[:-1] != block["block"].to_numpy()[1:]).nonzero()[0]] + [whole[-1]]
@@ -412,3 +417,42 @@ def test_jaccard_search_families():
 
     both = [(a, b) for a in parent for b in parent[:a] if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
     assert component(links) == component(both) and set(links) <= set(both)
+
+
+def test_secret_near_misses():
+    scanner, rng = secret_scan.scanner(), random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def some(n):
+        return "".join(rng.choices(letters, k=n))
+
+    wrong = [t for _ in range(60) for t in ("ghp_" + some(12), "ghp_" + some(120), "glpat-" + some(60), some(40), some(24), some(64))]
+    assert sum(bool(scanner.spans(t)[1]) for t in wrong if not scanner.base(t)) <= 0.02 * len(wrong)
+    right = ["ghp_" + some(36) for _ in range(60)]
+    assert sum(bool(scanner.spans(t)[1]) for t in right) >= 0.97 * len(right)
+    own = secret_scan.Scanner({"acme": ["acme_" + some(20) for _ in range(50)], "": secret_scan.labels()[""]})
+    assert own.format_of("acme_" + some(20))[1] >= secret_scan.MIN_SCORE > own.format_of("ghp_" + some(36))[1]
+
+
+def test_licence_chains():
+    rng = random.Random(5)
+    for _ in range(200):  # the best chain against every subset of pieces
+        pieces = []
+        for _ in range(rng.randint(1, 7)):
+            n = rng.randint(1, 4)
+            start, low = rng.randint(0, 12), rng.randint(0, 8)
+            pieces.append((start, start + n, low, low + n))
+        pieces.sort()
+        best = 0
+        for mask in range(1, 1 << len(pieces)):
+            chain = [p for i, p in enumerate(pieces) if mask >> i & 1]
+            if all(a[0] < b[0] and a[1] < b[1] and a[2] < b[2] and a[3] < b[3] and b[0] - a[1] <= 20 for a, b in zip(chain, chain[1:])):
+                total = chain[0][3] - chain[0][2]
+                gains = [min(b[1] - max(a[1], b[0]), b[3] - max(a[3], b[2])) for a, b in zip(chain, chain[1:])]
+                if all(g > 0 for g in gains):
+                    best = max(best, total + sum(gains))
+        assert max(c for c, _, _ in license_scan.best_chains(pieces, 20)) == best
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.BASE, 3, 0.8)
+    sentence = license_scan.TEMPLATES["apache-2.0"][2]
+    assert "apache-2.0" in scanner.scan(sentence.replace("except in", "you may not use zz except in"))[5]
+    assert scanner.scan("licensed under the Mozilla Public License 2.0")[5] == "mpl-2.0"
