@@ -188,7 +188,7 @@ def element_nodes(elements: DataFrame) -> DataFrame:
     """Figures and tables as tree nodes: title from number and caption, text of caption and context, the rest as metadata."""
     title = F.concat("number", F.lit(": "), F.when(F.length("caption") > 50, F.concat(F.left("caption", F.lit(50)), F.lit("..."))).otherwise(F.col("caption")))
     return elements.select(
-        "doc_id", title.alias("title"), F.col("page_no").alias("start_index"), F.col("page_no").alias("end_index"), F.col("kind").alias("node_type"),
+        *(c for c in ("element", "parent_idx", "summary") if c in elements.columns), "doc_id", title.alias("title"), F.col("page_no").alias("start_index"), F.col("page_no").alias("end_index"), F.col("kind").alias("node_type"),
         F.concat("caption", F.lit("\n\n"), "context").alias("text"), F.to_json(F.struct("number", "caption")).alias("metadata"),
     )
 

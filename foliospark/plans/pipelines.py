@@ -70,35 +70,79 @@ def page_headings(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", order.alias("list_index"), "structure", "title", F.col("page_no").alias("physical_index"))
 
 
+#: Where kinds of nodes stand among the children of one node: units, then what was there, elements, keywords.
+UNITS, SECTIONS, ELEMENTS, KEYWORDS = range(4)
+
+
 def build_tree(pages: DataFrame, options: dict | Config | None = None) -> DataFrame:
-    """Nodes of paged documents: contents, preface, section bounds, parents, granular units by the granularity, ids, text, summaries."""
+    """Nodes of paged documents: contents, preface, section bounds, parents, granular units by the granularity, figures and tables
+    inserted, children by page, pre-order ids, text, summaries, description.
+
+    Units of a section come before its own children, keywords after; with figures or tables detected all children are ordered by page.
+    """
     config = load(options)
     items = toc.with_preface(settled(contents(pages, config)))
     bounded = toc.section_bounds(toc.appears(items, pages).drop("found"), pages)
-    out = tree.with_code_parent(bounded.withColumnRenamed("list_index", "idx")).select("doc_id", "idx", "parent_idx", "structure", "title", "start_index", "end_index")
-    out = settled(page_ops.range_text(out, pages).withColumn("node_type", F.lit("section")))
-    if config.max_depth > 0 and config.enable_semantic_subdivision:
-        out = out.unionByName(semantic_units(out, config), allowMissingColumns=True)
-    if config.max_depth > 2:
-        out = settled(out)
-        units = out.where("node_type = 'semantic_unit'")
-        told = granular.keyword_nodes(reasoner.keywords(units), units)
-        kids = told.select("doc_id", (F.col("parent_idx") * 100 + F.col("ord") + 50).alias("idx"), "parent_idx", "title", "start_index", "end_index", "text", "summary", "node_type")
-        out = out.unionByName(kids, allowMissingColumns=True)
+    out = tree.with_code_parent(bounded.withColumnRenamed("list_index", "idx")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("parent_idx").cast("long").alias("parent_idx"), "structure", "title", "start_index", "end_index")
+    out = settled(page_ops.range_text(out, pages).withColumn("node_type", F.lit("section")).withColumn("kind_", F.lit(SECTIONS)).withColumn("ord_", F.col("idx")))
+    sections, units = out, None
+    if config.enable_semantic_subdivision:
+        for depth in range(1, min(config.max_depth, 2) + 1):  # paragraphs by threes, then one by one
+            units = settled(_numbered(semantic_units(out if units is None else units, config, 3 if depth == 1 else 1), depth, UNITS))
+            out = out.unionByName(units, allowMissingColumns=True)
+        if config.max_depth > 2:
+            told = granular.keyword_nodes(reasoner.keywords(units), units)
+            kids = told.select("doc_id", "parent_idx", F.col("ord").cast("long").alias("ord_"), "title", "start_index", "end_index", "text", "summary", "node_type")
+            out = out.unionByName(_numbered(kids, 3, KEYWORDS), allowMissingColumns=True)
+    detected = config.enable_figure_detection or config.enable_table_detection
+    if detected:
+        out = out.unionByName(_numbered(element_children(pages, sections, config), 4, ELEMENTS), allowMissingColumns=True)
+    by_page = [F.when(F.col("parent_idx").isNull(), F.lit(0)).otherwise(F.col("start_index")).asc_nulls_last()] if detected else []
+    out = settled(tree.renumbered(settled(out), *by_page, "kind_", "ord_").drop("kind_", "ord_"))
     if config.if_add_node_summary:
         have = out if "summary" in out.columns else out.withColumn("summary", F.lit(None).cast("string"))
-        out = node_ops.needs_summary(have).withColumn("summary", F.when(F.col("needed"), reasoner.summary(F.col("text"))).otherwise(F.col("summary"))).drop("needed", "children", "summarised")
+        due = F.col("needed") if config.summary_mode == "smart" else (F.coalesce("summary", F.lit("")) == "") & (F.col("text") != "")
+        out = node_ops.needs_summary(have).withColumn("summary", F.when(due, reasoner.summary(F.col("text"))).otherwise(F.col("summary"))).drop("needed", "children", "summarised")
+    if config.if_add_doc_description:
+        out = out.join(reasoner.description(out), "doc_id", "left")
     if config.if_add_node_id:
         out = tree.sequential_ids(out)
     return out if config.if_add_node_text else out.drop("text")
 
 
+def _numbered(nodes: DataFrame, family: int, kind: int) -> DataFrame:
+    """nodes with an idx that no other family has; tree.renumbered puts them in their places."""
+    at = F.row_number().over(tree.Window.partitionBy("doc_id").orderBy("parent_idx", "ord_"))
+    return nodes.withColumn("idx", F.lit(family * 1_000_000_000).cast("long") + at).withColumn("kind_", F.lit(kind))
+
+
+def elements_of(pages: DataFrame, config: Config) -> DataFrame:
+    """(doc_id, element, page_no, kind, number, caption, place): captioned figures, then captioned tables, of every page."""
+    found = []
+    if config.enable_figure_detection:
+        told = pages.select("doc_id", "page_no", granular.caption(F.col("text"), granular.FIGURE_CAPTIONS, "Figure", F.col("page_no")).alias("c"))
+        found.append(told.where("c.caption <> ''").select("doc_id", "page_no", F.lit(0).alias("pos"), F.lit("figure").alias("kind"), "c.number", "c.caption"))
+    if config.enable_table_detection:
+        found.append(granular.captioned_tables(pages).select("doc_id", "page_no", "pos", F.lit("table").alias("kind"), "number", "caption"))
+    order = F.row_number().over(tree.Window.partitionBy("doc_id").orderBy("kind", "page_no", "pos"))
+    return tree.union_all(found).select("doc_id", order.alias("element"), "page_no", "kind", "number", "caption", F.lit("middle").alias("place"))
+
+
+def element_children(pages: DataFrame, sections: DataFrame, config: Config) -> DataFrame:
+    """Figures and tables as children of the smallest section that holds their page; roots where none does."""
+    elements = settled(elements_of(pages, config).select("*", F.col("page_no").alias("start_index"), F.col("page_no").alias("end_index")))
+    parents = granular.inserted(elements.select("doc_id", "element", "start_index", "end_index"), sections).select("doc_id", "element", "parent_idx")
+    told = granular.element_context(elements.drop("start_index", "end_index"), pages).join(parents, ["doc_id", "element"])
+    summary = reasoner.element_summary(F.col("number"), F.col("caption"), F.col("kind"))
+    return granular.element_nodes(told.withColumn("summary", summary)).withColumnRenamed("element", "ord_")
+
+
 def semantic_units(nodes: DataFrame, config: Config, each: int = 3) -> DataFrame:
-    """Units of a few paragraphs each for sections that are long enough; their numbers follow their section's."""
+    """Units of a few paragraphs each for nodes that are long enough, in order."""
     long = node_ops.long_sections(nodes.withColumn("text_locked", F.lit(False)).withColumn("p_", paragraphs(F.col("text"))), F.col("p_"), config.semantic_min_pages)
     units = long.select("doc_id", F.col("idx").alias("parent_idx"), "title", "start_index", "end_index", "p_", F.posexplode(reasoner.unit_groups(F.col("p_"), each)).alias("u", "x"))
     text = F.array_join(F.slice("p_", F.col("x.start") + 1, F.col("x.end") - F.col("x.start") + 1), "\n\n")
-    return units.select("doc_id", (F.col("parent_idx") * 1000 + F.col("u") + 1_000_000).alias("idx"), "parent_idx", F.concat(reasoner.section_type(F.col("title")), F.lit(" "), (F.col("u") + 1).cast("string")).alias("title"), "start_index", "end_index", text.alias("text"), F.lit("semantic_unit").alias("node_type"))
+    return units.select("doc_id", F.col("u").cast("long").alias("ord_"), "parent_idx", F.concat(reasoner.section_type(F.col("title")), F.lit(" "), (F.col("u") + 1).cast("string")).alias("title"), "start_index", "end_index", text.alias("text"), F.lit("semantic_unit").alias("node_type"))
 
 
 def merge_sources(tree_nodes: DataFrame, facts: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from .inputs import DOCS, LINES, PAGES, TREE, of, oracle
 CAPTIONED = f"select doc_id, page_no, concat(case when page_no % 3 = 1 then concat('Figure ', cast(page_no as string), ': Curve of ', substring(text, 1, 10), chr(10), '(second line', chr(10), 'Then text.') when page_no % 3 = 2 then concat('As in fig. 7 - not at the start', chr(10)) else '' end, chr(10), 'Table ', cast(page_no as string), '. Values of x', chr(10), text) as text, token_count from ({PAGES}) p"
 #: Pages that begin with a heading.
 HEADED = f"select doc_id, page_no, concat('# Section ', cast(page_no as string), chr(10), text) as text, token_count from ({PAGES}) p"
+#: Pages with one heading each, their text on one line that is none.
+PLAIN = f"select doc_id, page_no, concat('# Section ', cast(page_no as string), chr(10), 'text: ', replace(text, chr(10), ' ')) as text, token_count from ({PAGES}) p"
 #: Semantic units of sections of five paragraphs, overlapping and out of range.
 UNITS = "select cast(floor(event_id / 10) as int) as doc_id, cast(event_id as int) as pos, cast(event_id % 7 - 1 as int) as start_paragraph, cast(event_id % 7 - 1 + user_id % 4 as int) as end_paragraph, cast(1 + event_id % 3 as int) as end_page, concat('u', cast(event_id as string)) as title, event_type as summary from {events}"
 #: Elements on pages of the trees' ranges.
@@ -161,5 +163,13 @@ FOUND = {
     ),
     "summary_rule": (lambda s, d: of(s, d, DOCS).select("doc_id", reasoner.summary(F.col("text")).alias("summary")), oracle("select doc_id, trim(array_to_string(regexp_extract_all(left(coalesce(text, ''), 3000), '[^.!?]+[.!?]*', 0)[1:2], '')) as summary from d", d=DOCS)),
     "document_description": (lambda s, d: reasoner.description(T.with_level_parent(of(s, d, TREE).where("level > 1"))).select("doc_id", F.md5("doc_description").alias("told")), oracle("select doc_id, md5(string_agg(title, '; ' order by idx)) as told from t where level = 2 group by doc_id", t=TREE)),
-    "page_tree_pipeline": (lambda s, d: pipelines.build_tree(of(s, d, HEADED), {"granularity": "keywords"}).groupBy("node_type").agg(F.count("*").alias("nodes")), None),
+    "page_tree_pipeline": (lambda s, d: pipelines.build_tree(of(s, d, HEADED), {"granularity": "keywords"}).select("doc_id", "idx", "parent_idx", "node_id", "node_type", "title", "start_index", "end_index", F.md5("text").alias("text"), F.md5("summary").alias("summary")), None),
+    "page_tree_coarse": (
+        lambda s, d: pipelines.build_tree(of(s, d, PLAIN), {"enable_figure_detection": False, "enable_table_detection": False}).select("doc_id", "idx", "parent_idx", "node_id", "node_type", "title", "start_index", "end_index", F.md5("text").alias("text")),
+        oracle(
+            ", c as (select doc_id, page_no, coalesce(lead(page_no) over (partition by doc_id order by page_no), page_no) as stop from p) "
+            "select c.doc_id, cast(c.page_no - 1 as int) as idx, cast(null as int) as parent_idx, lpad(cast(c.page_no - 1 as varchar), 4, '0') as node_id, 'section' as node_type, 'Section ' || cast(c.page_no as varchar) as title, c.page_no as start_index, c.stop as end_index, md5(string_agg(q.text, '' order by q.page_no)) as text from c join p q on q.doc_id = c.doc_id and q.page_no between c.page_no and c.stop group by c.doc_id, c.page_no, c.stop",
+            p=PLAIN,
+        ),
+    ),
 }

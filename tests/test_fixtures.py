@@ -122,3 +122,28 @@ def test_cut_without_prior_markers(spark):
     docs = spark.createDataFrame([(1, "x\n<!-- Page 1 -->\na\n<!-- page 1 -->\nb", 2), (2, "p\nq\nr", 2)], "doc_id long, text string, n_pages int")
     found = {(r.doc_id, r.page_no): r.text for r in P.markdown_pages(docs).collect()}
     assert found == {(1, 1): "x", (1, 2): "b", (2, 1): "p", (2, 2): "q\nr"}
+
+
+def test_build_tree_in_pre_order(spark):
+    """Units, figures and keywords stand below their sections, numbered in pre-order."""
+    from foliospark.plans import pipelines
+
+    body = "\n\n".join(f"paragraph number {i} with some words." for i in range(7))
+    rows = [(1, i, f"# Part {i}\n\n{body}\n\nFigure {i}: A curve\n\nTable {i}: Values\n", 50) for i in (1, 2, 3)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string, token_count int")
+    for granularity in ("coarse", "medium", "fine", "keywords"):
+        found = pipelines.build_tree(pages, {"granularity": granularity, "if_add_doc_description": True}).orderBy("idx").collect()
+        assert [r.idx for r in found] == list(range(len(found))) and [r.node_id for r in found] == [f"{i:04d}" for i in range(len(found))]
+        path: list[int] = []  # pre-order: the parent is always on the way to the node before
+        for r in found:
+            while path and path[-1] != r.parent_idx:
+                path.pop()
+            assert r.parent_idx == (path[-1] if path else None)
+            path.append(r.idx)
+        kinds = {r.node_type for r in found}
+        assert {"section", "figure", "table"} <= kinds
+        assert ("semantic_unit" in kinds) == (granularity != "coarse") and ("keyword" in kinds) == (granularity == "keywords")
+        assert {r.doc_description for r in found} == {"Part 1; Part 2; Part 3"}
+        by = {r.idx: r for r in found}
+        assert all(by[r.parent_idx].start_index <= r.start_index <= by[r.parent_idx].end_index for r in found if r.node_type == "figure")
+    assert sum(r.node_type == "semantic_unit" for r in pipelines.build_tree(pages, {"granularity": "fine"}).collect()) > sum(r.node_type == "semantic_unit" for r in pipelines.build_tree(pages, {"granularity": "medium"}).collect())
