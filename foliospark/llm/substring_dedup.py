@@ -33,7 +33,7 @@ K, M = 13, 5
 BLOCK_WORDS = 1_000_000
 REMOVAL = T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType())
 SPAN = "doc_id long, tag int, start int, n int"
-_HEAD = np.dtype([("anchor", "<u8"), ("delta", "<i8"), ("start", "<i4"), ("tag", "<u2"), ("shape", "<u2")])
+_HEAD = np.dtype([("anchor", "<u4"), ("delta", "<i8"), ("start", "<i4"), ("tag", "<u2"), ("shape", "<u2")])
 
 
 def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +80,11 @@ def edges(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], buckets: int, k
     new = np.concatenate(([True], (np.diff(position) != 1) | (np.diff(doc) != 0) | (np.diff(position + offset) != 0)))
     starts, sizes = _runs(new)
     head = np.empty(len(starts), dtype=_HEAD)
-    head["anchor"] = low[starts]
+    head["anchor"] = low[starts] & np.uint64(0xFFFFFFFF)  # enough to leave out what one document has; windows are compared in full
     head["start"] = position[starts] - begin[doc[starts]]
     head["tag"] = tags[doc[starts]]
     head["shape"] = offset[starts] << 8 | sizes
-    bucket = (head["anchor"] >> np.uint64(20)) % np.uint64(buckets)
+    bucket = (low[starts] >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
     who = ids[doc[starts]]
@@ -145,6 +145,8 @@ def repeats(payloads: list[bytes]) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, spans): for each document with repeated windows, where they start and how many follow on."""
+    if not 0 < m <= k < m + 255:
+        raise ValueError("anchors must be shorter than windows, by less than 255 words")
     spark = docs.sparkSession
     text_batches(spark)
     buckets = 2 * partitions(spark)
