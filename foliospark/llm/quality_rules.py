@@ -2,9 +2,9 @@
 
 The ratio compares the multinomial of trusted documents (labelled good and not toxic) with that of the raw corpus over
 hashed word n-grams. Both are counted over all documents; a bucket's log ratio is log((t + s) / (e + s)) with its trusted
-count t, the trusted count e that its raw share predicts, and s for smoothing, so that rare buckets say little. Ratios of
-both signs are drawn towards zero by `margin` (the soft threshold of an L1 penalty), which takes the sampling noise out. A
-document's score is the sum over all its n-grams, divided by its number of words plus a constant; it is rejected when the
+count t, the trusted count e that its raw share predicts, and s for smoothing. Ratios of both signs are drawn towards
+zero (the soft threshold of an L1 penalty) by `margin`, or by `errors` standard errors of a bucket's count if that is more:
+this takes the sampling noise out at any size of corpus, so that buckets say something as soon as their counts do. A document's score is the sum over all its n-grams, divided by its number of words plus a constant; it is rejected when the
 score is under the threshold. All documents are thresholded alike.
 
 Null text has no words. Empty texts fail the base rule. Repeated or null document ids are rows of their
@@ -30,7 +30,7 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 BUCKETS, ORDERS = 1 << 18, (1, 2)
 #: So many different repeated windows of a text are looked up one by one; more are found by sorting.
 FEW = 16
-SMOOTHING, MARGIN, EXTRA_LENGTH, THRESHOLD = 5.0, 1.0, 50.0, -0.025
+SMOOTHING, MARGIN, ERRORS, EXTRA_LENGTH, THRESHOLD = 0.5, 1.0, 4.0, 50.0, -0.029
 #: At most about so many labelled documents are trusted; beyond it a share of them by the hash of their ids.
 MAX_TRUSTED = 200_000
 
@@ -114,7 +114,7 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, smoothing: float = SMOOTHING, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """(bucket, ratio): log ratios of the buckets that occur, of `buckets` for each order; counted over all documents."""
+    """(bucket, ratio, error): log ratios of the buckets that occur, of `buckets` for each order, and their standard errors; counted over all documents."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     trusted = F.broadcast(trusted_ids(labels, max_trusted).withColumn("t", F.lit(1)))  # bounded by max_trusted
     rows = once(rows.join(trusted, "id", "left").select(F.coalesce("t", F.lit(0)).alias("t"), "text"), words=words_of(F.col("text")))
@@ -130,16 +130,17 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, orders: tupl
     counts = materialize(found.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("good")))
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
     share = (total["good"] or 0) / max(total["raw"] or 0, 1)
-    return counts.select("bucket", F.log((F.col("good") + smoothing) / (F.col("raw") * share + smoothing)).alias("ratio"))
+    expected = F.col("raw") * share + smoothing
+    return counts.select("bucket", F.log((F.col("good") + smoothing) / expected).alias("ratio"), (1 / F.sqrt(expected)).alias("error"))
 
 
-def model_weights(model: DataFrame, buckets: int, n_orders: int, margin: float) -> list[tuple[Column, int]]:
+def model_weights(model: DataFrame, buckets: int, n_orders: int, margin: float, errors: float) -> list[tuple[Column, int]]:
     """For each order a literal array of slots, and their number; slot b modulo that holds (bucket, weight) of bucket b. Null: none.
 
-    Only buckets whose ratio is beyond the margin have a weight. There are eight slots for each of them or more, if so many buckets are, so a lookup is one
+    Only buckets whose ratio is beyond the margin and the errors have a weight. There are eight slots for each of them or more, if so many buckets are, so a lookup is one
     access, and the array's size is the model's, whatever the corpus.
     """
-    weight = F.signum("ratio") * F.greatest(F.abs("ratio") - margin, F.lit(0.0))
+    weight = F.signum("ratio") * F.greatest(F.abs("ratio") - F.greatest(F.lit(margin), errors * F.col("error")), F.lit(0.0))
     known = model.select("bucket", F.round(weight, 4).alias("weight")).where("weight <> 0").collect()  # at most one row a bucket
     out = []
     for k in range(n_orders):
@@ -151,7 +152,7 @@ def model_weights(model: DataFrame, buckets: int, n_orders: int, margin: float)
     return out
 
 
-def score(docs: DataFrame, model: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, margin: float = MARGIN, threshold: float = THRESHOLD, result: str = "quality_") -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, margin: float = MARGIN, errors: float = ERRORS, threshold: float = THRESHOLD, result: str = "quality_") -> DataFrame:
     """docs with a struct column named by result: the base counts, base_failed, the score and kept; one row per input row."""
     if result in docs.columns:
         raise ValueError(f"docs has a column {result} already")
@@ -162,7 +163,7 @@ def score(docs: DataFrame, model: DataFrame, buckets: int = BUCKETS, orders: tup
     for name, shorter in zip(hashes[1:], hashes, strict=False):
         rows = once(rows, **{name: longer(F.col(shorter))})
     n, windows = F.size(words), F.col(hashes[2])
-    weights = model_weights(model, buckets, len(orders), margin)
+    weights = model_weights(model, buckets, len(orders), margin, errors)
     total = sum((total_weight(F.col(hashes[k - 1]), w, buckets) for k, w in zip(orders, weights, strict=True)), F.lit(0.0))
     lines = F.split(text, "\n")
     found = F.struct(
