@@ -13,12 +13,15 @@ text. reformat() learns from one half of the conversations what it parses in the
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, text_batches
 
 ROLES = ("system", "user", "assistant")
 #: Speaker markers in use, by role, and how the canonical form opens and closes a turn.
@@ -70,6 +73,22 @@ def compose(turns: DataFrame) -> DataFrame:
     return lines.select("conv_id", "block", "turn", "tie", "idx", "line", symbol(F.col("line")).alias("symbol"), state.alias("state"))
 
 
+def _by_length(blocks: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """The blocks from long to short, and how many of them have a line i, for every i."""
+    sizes = np.array([len(b) for b in blocks])
+    order = np.argsort(-sizes, kind="stable")
+    return order, (np.bincount(sizes)[::-1].cumsum()[::-1][1:]).tolist()
+
+
+def blocks_of(lines: DataFrame) -> DataFrame:
+    """(conv_id, block, symbols, states, lines): one row a block, its lines in order. Blocks stay what they are."""
+    if "symbols" in lines.columns:
+        return lines
+    held = F.array_sort(F.collect_list(F.struct("turn", "tie", "idx", "symbol", "state", "line")))
+    found = lines.groupBy("conv_id", "block").agg(held.alias("x"))
+    return found.select("conv_id", "block", F.col("x.symbol").alias("symbols"), F.col("x.state").alias("states"), F.col("x.line").alias("lines"))
+
+
 class Model:
     """Log transitions (the last row: before the first line) and emissions."""
 
@@ -88,12 +107,42 @@ class Model:
             self.moves = np.log(moves / moves.sum(axis=1, keepdims=True))
         self.seen = np.log(seen / seen.sum(axis=1, keepdims=True))
 
-    def matrix(self, symbols: np.ndarray) -> np.ndarray:
-        """Best log likelihoods from each state before the lines to each state of their last line."""
-        out = None
-        for s in symbols.tolist():
-            step = self.moves if out is None else (out[:, :, None] + self.moves[None, :-1, :]).max(axis=1)
-            out = step + self.seen[:, s]
+    def matrices(self, blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each block of symbols the best log likelihoods from each state before it to each state of its last line, and
+        the state of its first line on that way. Line i of all blocks is one step."""
+        order, active = _by_length(blocks)
+        n = 2 * len(ROLES)
+        best, first = np.zeros((len(blocks), n + 1, n)), np.zeros((len(blocks), n + 1, n), dtype=np.int8)
+        for i, a in enumerate(active):
+            seen = self.seen[:, [blocks[b][i] for b in order[:a]]].T[:, None, :]
+            if i == 0:
+                best[:a], first[:a] = self.moves + seen, np.arange(n)
+            else:
+                step = best[:a, :, :, None] + self.moves[:-1]
+                best[:a] = step.max(axis=2) + seen
+                first[:a] = np.take_along_axis(first[:a], step.argmax(axis=2), axis=2)
+        back = np.argsort(order)
+        return best[back], first[back]
+
+    def paths(self, blocks: list[np.ndarray], entries: np.ndarray, exits: np.ndarray) -> list[np.ndarray]:
+        """path() of each block between its entry and its exit. Line i of all blocks is one step."""
+        order, active = _by_length(blocks)
+        best, back = np.zeros((len(blocks), 2 * len(ROLES))), []
+        for i, a in enumerate(active):
+            seen = self.seen[:, [blocks[b][i] for b in order[:a]]].T
+            if i == 0:
+                best = self.moves[entries[order]] + seen
+            else:
+                step = best[:a, :, None] + self.moves[:-1]
+                back.append(step.argmax(axis=1).astype(np.int8))
+                best[:a] = step.max(axis=1) + seen
+        out = [np.empty(len(b), dtype=np.int8) for b in blocks]
+        state = exits[order].astype(np.int64)
+        for i in range(len(active) - 1, -1, -1):
+            for b, x in zip(order[: active[i]].tolist(), state[: active[i]].tolist(), strict=True):
+                out[b][i] = x
+            if i:
+                state[: active[i]] = back[i - 1][np.arange(active[i]), state[: active[i]]]
         return out
 
     def path(self, symbols: np.ndarray, entry: int, exit_: int | None = None) -> list[int]:
@@ -110,37 +159,36 @@ class Model:
 
 
 def fit(lines: DataFrame) -> Model:
-    """Counts over all labelled lines; what comes to the driver is a table of states and symbols."""
-    known = lines.where("state is not null")
-    seen = {(r["state"], r["symbol"]): r["count"] for r in known.groupBy("state", "symbol").count().collect()}
-    following = known.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "tie", "idx", "state"))).alias("x")).select(F.col("x.state").alias("x"), "block")
-    before = F.when(F.col("block") == 0, F.concat(F.array(F.lit(2 * len(ROLES))), F.col("x"))).otherwise(F.col("x"))
-    pairs = following.select(F.explode(F.arrays_zip(before.alias("a"), F.when(F.col("block") == 0, F.col("x")).otherwise(F.slice("x", 2, F.size("x"))).alias("b"))).alias("p"))
-    place = F.struct("turn", "tie", "idx")
-    ends = known.groupBy("conv_id", "block").agg(F.min_by("state", place).alias("first"), F.max_by("state", place).alias("a"))
+    """Counts over all labelled lines; what comes to the driver is a table of states and symbols. lines: also as blocks."""
+    both = F.filter(F.arrays_zip(F.col("states").alias("state"), F.col("symbols").alias("symbol")), lambda x: x["state"].isNotNull())
+    known = blocks_of(lines).select("conv_id", "block", both.alias("x")).where(F.size("x") > 0)
+    seen = {(r["state"], r["symbol"]): r["count"] for r in known.select(F.explode("x").alias("x")).groupBy("x.state", "x.symbol").count().collect()}
+    start = F.when(F.col("block") == 0, F.array(F.lit(2 * len(ROLES)))).otherwise(F.array().cast("array<int>"))
+    following = known.select(F.concat(start, F.col("x.state")).alias("x"))
+    pairs = following.select(F.explode(F.arrays_zip(F.col("x").alias("a"), F.slice("x", F.lit(2), F.size("x")).alias("b"))).alias("p"))
+    ends = known.select("conv_id", "block", F.col("x")[0]["state"].alias("first"), F.element_at("x", -1)["state"].alias("a"))
     over = ends.select("a", F.lead("first").over(Window.partitionBy("conv_id").orderBy("block")).alias("b"))  # from block to block
     steps = {(r["a"], r["b"]): r["count"] for r in pairs.select("p.a", "p.b").unionByName(over).where("a is not null and b is not null").groupBy("a", "b").count().collect()}
     return Model(steps, seen)
 
 
-def _ordered(batch: pd.DataFrame) -> pd.DataFrame:
-    return batch.sort_values(["turn", "tie", "idx"], kind="stable")
-
-
 def decode(lines: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, block, entry, exit): the best states around every block."""
-    schema = "conv_id string, block long, matrix array<double>"
+    """(conv_id, block, entry, exit, goes_on): the best states around every block, and whether its last turn goes on in the next one."""
+    n = 2 * len(ROLES)
 
-    def summary(batch: pd.DataFrame) -> pd.DataFrame:
-        found = model.matrix(_ordered(batch)["symbol"].to_numpy())
-        return pd.DataFrame({"conv_id": batch["conv_id"].iloc[:1], "block": batch["block"].iloc[:1], "matrix": [found.ravel()]})
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            best, first = model.matrices(list(batch["symbols"]))
+            yield pd.DataFrame({"conv_id": batch["conv_id"], "block": batch["block"], "best": list(best.reshape(len(best), -1)), "first": list(first.reshape(len(first), -1).astype(np.int32))})
 
-    def join(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("block")
-        n = 2 * len(ROLES)
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.concat([between(c, x) for c, x in zip(batch["conv_id"], batch["x"], strict=True)] or [pd.DataFrame(columns=["conv_id", "block", "entry", "exit", "goes_on"])])
+
+    def between(conv_id: str, found: list) -> pd.DataFrame:
         best, back = None, []
-        for m in batch["matrix"]:
-            m = np.asarray(m, dtype=float).reshape(n + 1, n)
+        for x in found:
+            m = np.asarray(x["best"], dtype=float).reshape(n + 1, n)
             if best is None:
                 best = m[-1]
             else:
@@ -151,43 +199,50 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
         for b in reversed(back):
             exits.append(int(b[exits[-1]]))
         exits = exits[::-1]
-        return pd.DataFrame({"conv_id": batch["conv_id"].to_numpy(), "block": batch["block"].to_numpy(), "entry": [n, *exits[:-1]], "exit": exits})
+        entries = [n, *exits[:-1]]
+        later = [x["first"][a * n + b] % 2 == 1 for x, a, b in zip(found, entries, exits, strict=True)]
+        return pd.DataFrame({"conv_id": conv_id, "block": [x["block"] for x in found], "entry": entries, "exit": exits, "goes_on": [*later[1:], False]})
 
-    return lines.groupBy("conv_id", "block").applyInPandas(summary, schema).groupBy("conv_id").applyInPandas(join, "conv_id string, block long, entry int, exit int")
+    parts = blocks_of(lines).select("conv_id", "block", "symbols").mapInPandas(summary, "conv_id string, block long, best array<double>, first array<int>")
+    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "best", "first"))).alias("x"))
+    return whole.mapInPandas(chain, "conv_id string, block long, entry int, exit int, goes_on boolean")
 
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
-    """Segments of one role each in canonical form; one with starts false goes on from the block before it.
+    """Segments of one role each in canonical form; one with starts false goes on from the block before it, which leaves it open.
 
-    Columns: conv_id, block, segment (from 0 in its block), starts, role, n_lines, rendered.
+    Columns: conv_id, block, segment (from 0 in its block), starts, role, n_lines, rendered. lines: also as blocks.
     """
-    around = decode(lines, model)
-    joined = lines.join(around, ["conv_id", "block"])
-    strip = "(?i)(" + "|".join(_pattern(r) for r in ROLES) + ")"
-
-    def segments(batch: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        batch = _ordered(batch)
-        path = model.path(batch["symbol"].to_numpy(), int(batch["entry"].iloc[0]), int(batch["exit"].iloc[0]))
-        rows: list[list] = []
-        for state, line in zip(path, batch["line"], strict=True):
-            if state % 2 == 0 or not rows:
-                rows.append([len(rows), state % 2 == 0, ROLES[state // 2], 0, []])
-            rows[-1][3] += 1
-            rows[-1][4].append(re.sub(strip, "", line, count=1) if state % 2 == 0 else line)
-        out = pd.DataFrame(rows, columns=["segment", "starts", "role", "n_lines", "rendered"])
-        out["rendered"] = [OPEN.format(role=r) * bool(s) + "\n".join(x) + CLOSE for r, s, x in zip(out["role"], out["starts"], out["rendered"], strict=True)]
-        out.insert(0, "conv_id", batch["conv_id"].iloc[0])
-        out.insert(1, "block", batch["block"].iloc[0])
-        return out
-
-    return joined.groupBy("conv_id", "block").applyInPandas(segments, PARSED)
+    blocks = blocks_of(lines)
+    text_batches(lines.sparkSession)
+    joined = blocks.select("conv_id", "block", "symbols", "lines").join(decode(blocks, model), ["conv_id", "block"])
+    strip = re.compile("(?i)(" + "|".join(_pattern(r) for r in ROLES) + ")")
+
+    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[list] = []
+            paths = model.paths(list(batch["symbols"]), batch["entry"].to_numpy(), batch["exit"].to_numpy())
+            for conv_id, block, path, held, goes_on in zip(batch["conv_id"], batch["block"], paths, batch["lines"], batch["goes_on"], strict=True):
+                own: list[list] = []
+                for state, line in zip(path.tolist(), held, strict=True):
+                    starts = state % 2 == 0
+                    if starts or not own:
+                        own.append([conv_id, block, len(own), starts, ROLES[state // 2], 0, []])
+                    own[-1][5] += 1
+                    own[-1][6].append(strip.sub("", line, count=1) if starts else line)
+                for row in own:
+                    close = "\n" if goes_on and row is own[-1] else CLOSE
+                    row[6] = OPEN.format(role=row[4]) * row[3] + "\n".join(row[6]) + close
+                rows += own
+            yield pd.DataFrame(rows, columns=["conv_id", "block", "segment", "starts", "role", "n_lines", "rendered"])
+
+    return joined.mapInPandas(segments, PARSED)
 
 
 def reformat(turns: DataFrame) -> DataFrame:
     """Transcripts composed from the turns, each half of the conversations parsed by a model fitted to the other half's roles."""
-    lines = materialize(compose(turns).withColumn("half", F.pmod(F.xxhash64("conv_id", F.lit(3)), F.lit(2)).cast("int")))
-    halves = [lines.where(F.col("half") == h).drop("half") for h in (0, 1)]
+    blocks = materialize(blocks_of(compose(turns)))
+    half = F.pmod(F.xxhash64("conv_id", F.lit(3)), F.lit(2))
+    halves = [blocks.where(half == h) for h in (0, 1)]
     parsed = parse(halves[0], fit(halves[1])).unionByName(parse(halves[1], fit(halves[0])))
     return parsed.withColumn("conv_id", F.expr("try_cast(conv_id as bigint)"))

@@ -456,3 +456,67 @@ def test_licence_chains():
     sentence = license_scan.TEMPLATES["apache-2.0"][2]
     assert "apache-2.0" in scanner.scan(sentence.replace("except in", "you may not use zz except in"))[5]
     assert scanner.scan("licensed under the Mozilla Public License 2.0")[5] == "mpl-2.0"
+
+
+def test_chat_blocks_at_once():
+    """Matrices and paths of many blocks are those of each alone, and the first state is the one on the best way."""
+    rng = np.random.default_rng(5)
+    n = 2 * len(chat_format.ROLES)
+    steps = {(a, b): int(rng.integers(1, 50)) for a in range(n + 1) for b in range(n) if b % 2 == 0 or a // 2 == b // 2}
+    model = chat_format.Model(steps, {(a, s): int(rng.integers(0, 30)) for a in range(n) for s in range(chat_format.N_SYMBOLS)})
+    blocks = [rng.integers(0, chat_format.N_SYMBOLS, size) for size in (3, 1, 40, 7, 7, 200, 1)]
+    best, first = model.matrices(blocks)
+    entries, exits = rng.integers(0, n + 1, len(blocks)), rng.integers(0, 3, len(blocks)) * 2
+    found = model.paths(blocks, entries, exits)
+    for i, block in enumerate(blocks):
+        alone = model.path(block, entries[i], exits[i])
+        assert found[i].tolist() == alone and first[i, entries[i], exits[i]] == alone[0]
+        ways = [entries[i], *alone]
+        total = sum(model.moves[a, b] + model.seen[b, s] for a, b, s in zip(ways, alone, block))
+        assert abs(total - best[i, entries[i], exits[i]]) < 1e-6
+
+
+def test_chat_turns_closed(spark):
+    """Every opened turn of a conversation is closed once, over all its blocks."""
+    rows = [(1, i, ("user", "assistant")[i % 2], f"line {i}\nmore of it {i}\n- item") for i in range(400)] + [(2, 0, "user", "hello?"), (3, 0, None, None)]
+    found = chat_format.reformat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "block", "segment").collect()
+    assert sum(r.n_lines for r in found) == 1202
+    for c in (1, 2, 3):
+        text = "".join(r.rendered for r in found if r.conv_id == c)
+        marks = re.findall(r"<\|(\w+)\|>", text)
+        assert marks[1::2] == ["end"] * (len(marks) // 2) and "end" not in marks[::2]
+
+
+def test_quality_score(spark, docs):
+    """Scores and verdicts against counts in plain Python, with a hash of the same kind."""
+    import math
+
+    import xxhash
+
+    def hashed(data, seed=42):
+        return xxhash.xxh64_intdigest(data, seed=seed)
+
+    rows = [(i, t) for i, t, *_ in corpus()]
+    good = {i for i, _ in rows if i % 3 == 0}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = {}
+    for i, t in rows:
+        one = [hashed(w.encode()) for w in words(t)]
+        two = [hashed(b.to_bytes(8, "little"), hashed(a.to_bytes(8, "little"))) for a, b in zip(one, one[1:])]
+        grams[i] = [h % quality_rules.BUCKETS for h in one] + [h % quality_rules.BUCKETS + quality_rules.BUCKETS for h in two]
+    raw, trusted = Counter(), Counter()
+    for i, found in grams.items():
+        raw.update(found)
+        if i in good:
+            trusted.update(found)
+    share, s, weight = sum(trusted.values()) / sum(raw.values()), quality_rules.SMOOTHING, {}
+    for b, n in raw.items():
+        ratio, error = math.log((trusted[b] + s) / (n * share + s)), 1 / math.sqrt(n * share + s)
+        weight[b] = round(math.copysign(max(abs(ratio) - max(quality_rules.MARGIN, quality_rules.ERRORS * error), 0), ratio), 4)
+    assert any(weight.values())
+    for r in quality_rules.assess(plain, labels).select("doc_id", "quality_.*").collect():
+        text = dict(rows)[r.doc_id]
+        expected = sum(weight[b] for b in grams[r.doc_id]) / (len(words(text)) + quality_rules.EXTRA_LENGTH)
+        assert abs(r.score - expected) < 1e-6 and r.n_symbols == len(re.findall(r"[#*$%&|<>]", text or ""))
+        assert r.kept == (not r.base_failed and r.score >= quality_rules.THRESHOLD)
