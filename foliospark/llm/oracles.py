@@ -34,3 +34,48 @@ e as (select a, b from l union all select b, a from l), r as (select a, b from e
 m as (select a, least(a, min(b)) as c from r group by a)
 select d.doc_id, coalesce(z.n, 0) as n_shingles, coalesce(m.c, d.doc_id) as component_id from documents d left join z using (doc_id) left join m on m.a = d.doc_id
 """
+
+#: Counts of all phrases, the weakest cut of each, and what longer phrases cover.
+COLLOCATIONS = r"""
+with recursive p as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents),
+t as (select lang, sum(len(w)) as n from p group by lang),
+g as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase from (select lang, w, m, unnest(generate_series(1, len(w) - m + 1)) as i from p, (values (1), (2), (3), (4)) s(m) where len(w) >= m)),
+f as (select lang, m, phrase, count(*) as f, string_split(phrase, ' ') as w from g group by lang, m, phrase having count(*) >= 30),
+c as (select lang, phrase, m, f as a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail from (select *, unnest(generate_series(1, m - 1)) as k from f where m > 1)),
+s as (select c.lang, c.phrase, c.a, k, x.f as l, y.f as r, (2000000::hugeint * c.a) // (x.f + y.f) as score from c join f x on x.lang = c.lang and x.phrase = head join f y on y.lang = c.lang and y.phrase = tail),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+o as (select lang, array_to_string(w[i:i + n - 1], ' ') as phrase, max(f) as f from (select *, unnest(generate_series(1, m - n + 1)) as i from (select *, unnest(generate_series(2, m - 1)) as n from f where m > 2)) group by all),
+q as (select b.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b left join o using (lang, phrase) where o.f is null or 100::hugeint * o.f < 80::hugeint * a)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from q join t using (lang) where rank <= 2000
+"""
+
+#: Lines whose key ten documents have.
+LINES = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+c as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(c.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (c.key is null), '')) as kept_sha256 from k left join c using (key) group by doc_id
+"""
+
+
+def _clusters(k: int, rounds: int, dim: int) -> str:
+    """Exhaustive assignment in whole numbers, one step for each round."""
+    steps = [
+        f"""v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(embedding) = {dim} and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)""",
+        f"c0 as (select cast(row_number() over (order by h) - 1 as integer) as c, e from (select sha256('2:' || vec_id) as h, e from v where vec_id is not null order by h limit {k}))",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"d{n} as (select v.vec_id, v.e, c, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d from v, c{n} c)")
+        steps.append(f"a{n} as (select * from d{n} qualify row_number() over (partition by vec_id order by d, c) = 1)")
+        if n < rounds:
+            steps.append(f"u{n} as (select c, i, sum(x) as s, count(*) as n from (select c, unnest(e) as x, generate_subscripts(e, 1) as i from a{n}) group by c, i)")
+            steps.append(f"m{n} as (select c, list((s - ((s % n) + n) % n) // n order by i) as e from u{n} group by c)")
+            steps.append(f"c{n + 1} as (select c, cast(coalesce(m.e, o.e) as bigint[]) as e from c{n} o left join m{n} m using (c))")
+    last = f"""select vec_id, a.c as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+  sha256(array_to_string(list_transform(z.e, lambda x: cast(x as varchar)), ',')) as centroid_sha256 from a{rounds} a join c{rounds} z using (c)"""
+    return "with " + ",\n".join(steps) + "\n" + last
+
+
+CLUSTERS = _clusters(40, 5, 64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, embedding_dedup, license_scan, ngram_join, oracles, packing, quality_rules, secret_scan, substring_dedup, token_counts
+from . import bpe, centroids, chat_format, collocations, embedding_dedup, license_scan, line_dedup, ngram_join, oracles, packing, quality_rules, secret_scan, substring_dedup, token_counts
 from .shared import table
 
 
@@ -52,11 +52,23 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_common(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "lines.*")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_token_counts, op7_chat_format, op8_license_scan, op9_bpe_prefix, op10_ngram_jaccard, pipeline)}
-ORACLES: dict[str, str] = {"op1_embedding_dedup": oracles.EMBEDDINGS, "op4_substring_dedup": oracles.SUBSTRINGS, "op10_ngram_jaccard": oracles.JACCARD}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_quality_rules, op4_substring_dedup, op5_secret_scan, op6_token_counts, op7_chat_format, op8_license_scan, op9_bpe_prefix, op10_ngram_jaccard, op11_collocations, op12_line_dedup, op13_centroids, pipeline)}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": oracles.EMBEDDINGS, "op4_substring_dedup": oracles.SUBSTRINGS, "op10_ngram_jaccard": oracles.JACCARD, "op11_collocations": oracles.COLLOCATIONS, "op12_line_dedup": oracles.LINES, "op13_centroids": oracles.CLUSTERS}
