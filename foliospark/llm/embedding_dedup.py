@@ -7,7 +7,9 @@ are as wide as the shard and still miss links is compared with all of the shard'
 verified by cosine in double precision, counted on both sides, and unioned to components.
 
 Equal vectors of a label are one weighted node, so copies of one vector are one row of a graph. Vectors that are null, empty, zero, hold
-null or non-finite components, or have no label, link with nothing. Null or repeated vec_ids are rows of their own in the counts.
+null or non-finite components, or have no label, link with nothing. Links are between vectors, numbered for it; ids come in at the end. So
+rows with a null or a repeated vec_id are rows of their own in the counts: a component's id is the smallest id that is not null in
+it, null where all are, and a row is kept where its id is that one (null ones among themselves too).
 """
 
 from __future__ import annotations
@@ -212,18 +214,18 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard: int =
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{number}>").alias("embedding"), "label")
     good = rows.where(usable(F.col("embedding"), F.col("label"))).withColumn("e", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(number)).otherwise(x)))
     distinct = good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("e"))
-    distinct = materialize(distinct.where("rep is not null"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     shards = distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    placed = distinct.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    placed = distinct.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     tasks = partitions(vectors.sparkSession)
     placed = placed.repartition(tasks, "label", "dim", "shard")  # not by label alone, as the join may leave it
 
     def build(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("rep").sample(frac=1, random_state=1)
+        batch = batch.sort_values("node").sample(frac=1, random_state=1)
         x = np.stack(batch["e"].to_numpy()).astype(code)
         graph = Graph(_unit(x.tobytes(), x.shape[1], code), seed=int(batch["shard"].iloc[0]) + 1)
         out = batch.iloc[:1][["label", "dim", "shard"]].copy()
-        out["ids"], out["weights"] = [batch["rep"].to_numpy("<i8").tobytes()], [batch["weight"].to_numpy("<i8").tobytes()]
+        out["ids"], out["weights"] = [batch["node"].to_numpy("<i8").tobytes()], [batch["weight"].to_numpy("<i8").tobytes()]
         out["vectors"], out["near"] = [x.tobytes()], [[a.astype("<i4").tobytes() for a in graph.near]]
         out["top"] = [np.array(graph.top, "<i4").tobytes()]
         return out
@@ -263,10 +265,11 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, shard: int =
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "kind": np.concatenate(kinds)})
 
     found = materialize(pairs.groupBy("label", "dim", "shard", "block").applyInPandas(ask, "a long, b long, kind int"))
-    links = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
-    component = connected_components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    nodes = distinct.join(links, "rep", "left").join(component, "rep", "left")
-    nodes = nodes.select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    parts = materialize(connected_components(found.where("kind = 1").select("a", "b")))
+    named = parts.join(distinct.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    nodes = distinct.join(links, "node", "left").join(parts.join(named, "component").select("node", F.lit(True).alias("linked"), "least"), "node", "left")
+    nodes = nodes.select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
     joined = rows.withColumn("e", F.when(usable(F.col("embedding"), F.col("label")), F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(number)).otherwise(x)))).join(nodes, ["label", "e"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
