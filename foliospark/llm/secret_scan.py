@@ -5,7 +5,9 @@ statistically compatible (Hoeffding bounds on stopping and on every symbol, chec
 are merged until none are left to merge. One more automaton is inferred from labelled harmless tokens.
 Every candidate token of a text is scored by the log likelihood of its best format, its end included, against the harmless
 automaton's. A format never ends at a length that none of its labelled credentials comes near. Where a whole run of token characters is none, the parts of it that start after a
-separator or where a format can start are scored, up to every separator.
+separator or where a format can start are scored, up to every separator. How short and how long a candidate is, and where it may start inside
+a run (after a separator, or at the first characters that all labelled credentials of a format share), follow from the labelled
+credentials; a format whose credentials share no first character is found after separators only.
 
 Null text counts as empty. Whole texts are searched; spans are in code points, end exclusive.
 """
@@ -32,8 +34,7 @@ BASE = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
 }
-LEAST = 16
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
+_RUN = "[A-Za-z0-9+/_.=-]"
 #: Labelled examples of each format to infer from, the bound's confidence, the least log likelihood ratio, and how far beyond labelled lengths a format may end.
 EXAMPLES, ALPHA, MIN_SCORE, LONGER = 150, 0.05, 8.0, 0.1
 #: What a base span within a candidate adds to its log likelihood ratio.
@@ -41,8 +42,8 @@ KNOWN = 20.0
 #: Characters at the start of a token that stand for themselves; later ones stand for their class.
 LITERAL = 4
 
-_LOW, _UP, _DIG, _HEX = string.ascii_lowercase, string.ascii_uppercase, string.digits, "0123456789abcdef"
-#: Published credential formats as (fixed text | alphabet, least and most characters) parts.
+_LOW, _UP, _DIG = string.ascii_lowercase, string.ascii_uppercase, string.digits
+#: Published credential formats (universally unique ids are names, not secrets) as (fixed text | alphabet, least and most characters) parts.
 FORMATS: dict[str, list] = {
     "github": ["ghp_", (_LOW + _UP + _DIG, 36, 36)],
     "slack": ["xoxb-", (_DIG, 11, 13), "-", (_DIG, 11, 13), "-", (_LOW + _UP + _DIG, 24, 24)],
@@ -52,11 +53,7 @@ FORMATS: dict[str, list] = {
     "gitlab": ["glpat-", (_LOW + _UP + _DIG + "_-", 20, 20)],
     "jwt": ["eyJ", (_LOW + _UP + _DIG + "_-", 17, 40), ".eyJ", (_LOW + _UP + _DIG + "_-", 20, 60), ".", (_LOW + _UP + _DIG + "_-", 43, 43)],
     "sendgrid": ["SG.", (_LOW + _UP + _DIG + "_-", 22, 22), ".", (_LOW + _UP + _DIG + "_-", 43, 43)],
-    "uuid": [(_HEX, 8, 8), "-", (_HEX, 4, 4), "-4", (_HEX, 3, 3), "-", (_HEX, 4, 4), "-", (_HEX, 12, 12)],
 }
-#: The most characters of a published format, and where one may start within a run: after a separator, or at a format's first fixed text with what stands before it.
-LONGEST = max(sum(len(p) if isinstance(p, str) else p[2] for p in shape) for shape in FORMATS.values())
-INNER = re.compile("(?<=[+/_.=-])(?=[A-Za-z0-9])|(?=" + "|".join(re.escape(s[0]) if isinstance(s[0], str) else f"[{s[0][0]}]{{{s[0][1]}}}{re.escape(s[1])}" for s in FORMATS.values()) + ")")
 #: Shapes of harmless tokens.
 HARMLESS: list[list] = [
     [(_LOW, 16, 30)], [(_UP, 1, 1), (_LOW, 15, 28)], [(_DIG, 16, 19)], [(_LOW, 3, 9), ".", (_LOW, 3, 9), ".", "com"], ["mail", (_DIG, 1, 1), ".example.com"],
@@ -205,6 +202,12 @@ class Scanner:
         self.harmless = Automaton(labelled.pop("", []), alpha)
         self.formats = {name: Automaton(tokens, alpha) for name, tokens in labelled.items()}
         self.min_score = min_score
+        # how short and how long a credential may be, and where one may start within a run, follow from the labelled ones
+        self.least = max(1, min((a.shortest for a in self.formats.values()), default=1))
+        self.longest = max((a.longest for a in self.formats.values()), default=0)
+        self.candidate = re.compile(f"{_RUN}{{{self.least},}}")
+        heads = "|".join(sorted({re.escape(a.prefix) for a in self.formats.values() if a.prefix}))
+        self.inner = re.compile("(?<=[+/_.=-])(?=[A-Za-z0-9])" + (f"|(?={heads})" if heads else ""))
 
     def format_of(self, token: str) -> tuple[str, float]:
         """The likeliest format, and the log of how much likelier it is than a harmless token."""
@@ -215,9 +218,9 @@ class Scanner:
     def parts(self, run: str) -> list[tuple[int, int, str]]:
         """(start, end, format) of the likeliest disjoint parts of a run that is no candidate of a format itself."""
         classes, found = run.translate(_CLASS), []
-        for start in sorted({0} | {m.start() for m in INNER.finditer(run)}):
-            size = min(len(run) - start, LONGEST)
-            if size < LEAST:
+        for start in sorted({0} | {m.start() for m in self.inner.finditer(run)}):
+            size = min(len(run) - start, self.longest)
+            if size < self.least:
                 break
             tail, ends, least = run[start : start + LITERAL] + classes[start + LITERAL : start + size], [], None
             for name, automaton in self.formats.items():
@@ -226,7 +229,7 @@ class Scanner:
                     continue
                 if least is None:
                     least = self.harmless.sums(tail)
-                    ends = [n for n in range(LEAST, size) if not run[start + n].isalnum()] + [size]
+                    ends = [n for n in range(self.least, size) if not run[start + n].isalnum()] + [size]
                 more = [(sums[n] - least[n], start, start + n, name) for n in ends if automaton.shortest <= n <= automaton.longest and sums[n] - least[n] >= self.min_score]
                 found += [max(more)] if more else []
         out: list[tuple[int, int, str]] = []
@@ -248,7 +251,7 @@ class Scanner:
         """Base spans, and all spans: base ones, and what they leave of the candidates of an inferred format."""
         base = self.base(text)
         more = []
-        for m in CANDIDATE.finditer(text):
+        for m in self.candidate.finditer(text) if self.formats else ():
             name, score = self.format_of(m[0])
             known = any(s < m.end() and m.start() < e for s, _, _, e in base)
             for start, end, kind in [(0, len(m[0]), name)] if score >= self.min_score - known * KNOWN else self.parts(m[0]):
