@@ -12,7 +12,7 @@ Edges that a smaller id of the same block of documents has are settled there and
 copy in a third of all rows sends one row for each block. Text is shuffled once, to meet its spans.
 
 Null text has no words. Rows with a null id, or with equal ids, never remove from one another or
-themselves; their texts are told apart by a hash. Other columns are kept as they are.
+themselves; a text takes only spans whose windows it has, by the sum of their 64-bit hashes. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import partitions, release, text_batches
-from .wordhash import batch_hashes, bounded, windows
+from .shared import free, partitions, release, text_batches
+from .wordhash import batch_hashes, bounded, windows, word_hashes
 
 K, M = 13, 5
 #: Words of a block of documents that are settled together in memory.
 BLOCK_WORDS = 1_000_000
 REMOVAL = T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType())
-SPAN = "doc_id long, tag int, start int, n int"
+SPAN = "doc_id long, tag int, start int, n int, proof long"
 _HEAD = np.dtype([("anchor", "<u4"), ("delta", "<i8"), ("start", "<i4"), ("tag", "<u2"), ("shape", "<u2")])
 
 
@@ -74,7 +74,7 @@ def edges(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], buckets: int, k
         return
     own = ids[doc]
     settled = _smallest(full, own) < own
-    yield from _settled(inside, doc, settled, ids, tags, begin)
+    yield from _settled(inside, doc, settled, ids, tags, begin, full)
     at = np.flatnonzero(~settled)
     position, doc, offset, low, prints = inside[at], doc[at], offset[at], low[at], full[at].astype("<u8")
     new = np.concatenate(([True], (np.diff(position) != 1) | (np.diff(doc) != 0) | (np.diff(position + offset) != 0)))
@@ -98,13 +98,14 @@ def edges(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], buckets: int, k
             yield b, np.int64(len(chosen)).tobytes() + b"".join(np.ascontiguousarray(part[c]).tobytes() for c in _HEAD.names) + prints[take].tobytes()
 
 
-def _settled(position: np.ndarray, doc: np.ndarray, settled: np.ndarray, ids: np.ndarray, tags: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _settled(position: np.ndarray, doc: np.ndarray, settled: np.ndarray, ids: np.ndarray, tags: np.ndarray, begin: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, bytes]]:
     at = np.flatnonzero(settled)
     if len(at):
         position, doc = position[at], doc[at]
         starts, sizes = _runs(np.concatenate(([True], (np.diff(position) != 1) | (np.diff(doc) != 0))))
         first = doc[starts]
-        yield -1, np.stack([ids[first], tags[first].astype(np.int64), position[starts] - begin[first], sizes]).astype("<i8").tobytes()
+        proof = np.add.reduceat(prints[at], starts).astype(np.int64)
+        yield -1, np.stack([ids[first], tags[first].astype(np.int64), position[starts] - begin[first], sizes, proof]).astype("<i8").tobytes()
 
 
 def _read(payload: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -117,7 +118,7 @@ def _read(payload: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 
 def repeats(payloads: list[bytes]) -> np.ndarray:
-    """Rows (id, tag, start, windows) of a bucket's edges that a smaller id has."""
+    """Rows (id, tag, start, windows, sum of their hashes) of a bucket's edges that a smaller id has."""
     heads, prints = zip(*map(_read, payloads), strict=True)
     head = {c: np.concatenate([h[c] for h in heads]) for c in heads[0]}
     print_, shape = np.concatenate(prints), head["shape"].astype(np.int64)
@@ -127,7 +128,7 @@ def repeats(payloads: list[bytes]) -> np.ndarray:
     shared = np.repeat(np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts), sizes)
     path = order[shared]
     if not len(path):
-        return np.zeros((0, 4), dtype=np.int64)
+        return np.zeros((0, 5), dtype=np.int64)
     length = shape & 255
     from_ = np.cumsum(length) - length
     n = length[path]
@@ -136,15 +137,19 @@ def repeats(payloads: list[bytes]) -> np.ndarray:
     own = np.repeat(head["id"][path], n)
     at = np.flatnonzero(_smallest(key, own) < own)
     if not len(at):
-        return np.zeros((0, 4), dtype=np.int64)
+        return np.zeros((0, 5), dtype=np.int64)
     row, step = np.repeat(path, n)[at], step[at]
     starts, sizes = _runs(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(step) != 1))))
     row = row[starts]
-    return np.stack([head["id"][row], head["tag"][row].astype(np.int64), head["start"][row] + step[starts], sizes], axis=1)
+    proof = np.add.reduceat(key[at], starts).astype(np.int64)
+    return np.stack([head["id"][row], head["tag"][row].astype(np.int64), head["start"][row] + step[starts], sizes, proof], axis=1)
 
 
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tag, spans): for each document with repeated windows, where they start and how many follow on."""
+    """(doc_id, tag, spans): for each document with repeated windows, where they start, how many follow on, and the sum of their hashes.
+
+    Texts of one id may share a tag; proven() tells whose spans they are.
+    """
     if not 0 < m <= k < m + 255:
         raise ValueError("anchors must be shorter than windows, by less than 255 words")
     spark = docs.sparkSession
@@ -161,25 +166,31 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
         if batch["bucket"].iloc[0] < 0:
-            rows = np.concatenate([np.frombuffer(p, "<i8").reshape(4, -1).T for p in batch["payload"]])
+            rows = np.concatenate([np.frombuffer(p, "<i8").reshape(5, -1).T for p in batch["payload"]])
         else:
             rows = repeats(list(batch["payload"]))
         del batch
         release()
-        return pd.DataFrame({"doc_id": rows[:, 0], "tag": rows[:, 1].astype(np.int32), "start": rows[:, 2].astype(np.int32), "n": rows[:, 3].astype(np.int32)})
+        return pd.DataFrame({"doc_id": rows[:, 0], "tag": rows[:, 1].astype(np.int32), "start": rows[:, 2].astype(np.int32), "n": rows[:, 3].astype(np.int32), "proof": rows[:, 4]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), tag_of(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     sent = rows.mapInPandas(send, "bucket int, payload binary")
     # spans that a block settled itself are dealt out by their own hash
     sent = sent.withColumn("part", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int"))
     found = sent.repartition(partitions(spark), "part", F.col("bucket") < 0).groupBy("part", F.col("bucket") < 0).applyInPandas(meet, SPAN)
-    return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "proof")).alias("spans"))
 
 
 def tag_of(text_col: str):
     return F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1 << 16)).cast("int")
 
 
+def proven(spans: list[tuple[int, int, int]], text: bytes, k: int) -> list[tuple[int, int]]:
+    """The spans whose windows the text has where they say: those of another text of the same id and tag are left out."""
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(windows(word_hashes(text), k))))
+    return [(start, n) for start, n, proof in spans if start + n < len(sums) and int((sums[start + n] - sums[start]).astype(np.int64)) == proof]
+
+
 def covered(spans: list, n_words: int, k: int) -> np.ndarray:
     """Which words the windows of the spans cover."""
     edge = np.zeros(n_words + 1, dtype=np.int32)
@@ -209,11 +220,14 @@ def cut(text: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
 def deduplicate(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", result: str = "removal") -> DataFrame:
     """docs with their text cut, and a struct column (n_words, n_removed, kept_sha256) named by result.
 
-    One row per input row. Documents without a repeated window keep their text unchanged.
+    One row per input row. Documents without a repeated window keep their text unchanged. A column named as result is an error.
     """
-    spans = repeated_spans(docs, k, m, id_col, text_col).withColumnsRenamed({"doc_id": "span_id_", "tag": "span_tag_", "spans": "spans_"})
-    joined = docs.join(spans, (F.col(id_col).cast("long") == F.col("span_id_")) & (tag_of(text_col) == F.col("span_tag_")), "left").drop("span_id_", "span_tag_")
-    schema = docs.select(*[c for c in docs.columns if c != result]).schema.add(result, REMOVAL)
+    if result.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have a column {result} already")
+    id_, tag_, held = free(docs, "span_id_", "span_tag_", "spans_")
+    spans = repeated_spans(docs, k, m, id_col, text_col).toDF(id_, tag_, held)
+    joined = docs.join(spans, (F.col(id_col).cast("long") == F.col(id_)) & (tag_of(text_col) == F.col(tag_)), "left").drop(id_, tag_)
+    schema = T.StructType([*docs.schema.fields, T.StructField(result, REMOVAL)])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,12 +235,12 @@ def deduplicate(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id",
 
         for batch in batches:
             texts, facts = [], []
-            for text, spans in zip(batch[text_col], batch["spans_"], strict=True):
+            for text, spans in zip(batch[text_col], batch[held], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 words, removed, kept = data.split(), 0, text
                 left = words
                 if spans is not None:
-                    gone = covered([(s["start"], s["n"]) for s in spans], len(words), k)
+                    gone = covered(proven([(s["start"], s["n"], s["proof"]) for s in spans], data, k), len(words), k)
                     removed = int(gone.sum())
                     left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     kept = cut(data, words, gone).decode("utf-8", "surrogatepass")
