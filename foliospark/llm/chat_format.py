@@ -27,7 +27,8 @@ ROLES = ("system", "user", "assistant")
 #: Speaker markers in use, by role, and how the canonical form opens and closes a turn.
 MARKERS = {"system": ("System:", "### System"), "user": ("User:", "Human:", "### User", "Q:"), "assistant": ("Assistant:", "AI:", "### Assistant", "A:")}
 OPEN, CLOSE = "<|{role}|>\n", "\n<|end|>"
-BLOCK_TURNS = 64
+#: Turn numbers of a block, and rows from which it is split.
+BLOCK_TURNS, BLOCK_ROWS = 64, 4096
 LONG = (40, 120, 400)
 N_SYMBOLS = 4 * (len(LONG) + 1) * 2 * 2
 PARSED = "conv_id string, block long, segment int, starts boolean, role string, n_lines int, rendered string"
@@ -50,6 +51,28 @@ def symbol(line: Column) -> Column:
     return (((marker * (len(LONG) + 1) + length) * 2 + ask) * 2 + item).cast("int")
 
 
+def with_block(rows: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
+    """block: a string that orders the blocks of a conversation; each has 64 turn numbers, or part of one where equal numbers crowd.
+
+    A block of more than `most` rows is split by turn number, then by ranges of the rows' hash `tie`, then by rows. Such blocks are
+    counted in advance; a block counts as crowded from a 65,536th of all rows on at the latest, so the list of them stays bounded.
+    """
+    rows = rows.withColumn("slot_", F.floor(F.col("turn") / BLOCK_TURNS))
+    sizes = rows.groupBy("conv_id", "slot_").count()
+    total = rows.count()
+    crowded = sizes.where(F.col("count") > max(most, total >> 16)).select("conv_id", "slot_", F.ceil(F.log2(F.col("count") / BLOCK_TURNS)).cast("int").alias("bits_"))
+    out = rows.join(F.broadcast(crowded), ["conv_id", "slot_"], "left")  # at most 65,536 rows
+
+    def leading(column: Column) -> Column:  # the first bits of a hash, in its order
+        return F.shiftrightunsigned(column.bitwiseXOR(F.lit(-(1 << 63))), 40).cast("double") * F.pow(F.lit(2.0), F.col("bits_") - 24)
+
+    def digits(column: Column) -> Column:  # numbers from -2^63 on as text in their order
+        return F.lpad((column.cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), 20, "0")
+
+    part = F.concat(digits(F.col("turn")), *(F.lpad(F.floor(leading(c)).cast("string"), 8, "0") for c in (F.col("tie"), F.xxhash64(F.monotonically_increasing_id()))))
+    return out.withColumn("block", F.concat(digits(F.col("slot_")), F.coalesce(part, F.lit("")))).drop("slot_", "bits_")
+
+
 def compose(turns: DataFrame) -> DataFrame:
     """Lines of transcripts as people paste them: each conversation has its marker style, and every fourth turn lacks its marker.
 
@@ -66,7 +89,7 @@ def compose(turns: DataFrame) -> DataFrame:
         marker = F.when(F.col("role") == role, F.get(names, style)).otherwise(marker)
     silent = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0
     text = F.when(silent | (marker == ""), F.col("text")).otherwise(F.concat(marker, F.lit(" "), F.col("text")))
-    lines = rows.select("conv_id", F.floor(F.col("turn") / BLOCK_TURNS).alias("block"), "turn", F.xxhash64("role", "text").alias("tie"), "role", F.posexplode(F.split(text, "\n")).alias("idx", "line"))
+    lines = with_block(rows.withColumn("line_", text).withColumn("tie", F.xxhash64("role", "text"))).select("conv_id", "block", "turn", "tie", "role", F.posexplode(F.split("line_", "\n")).alias("idx", "line"))
     state = F.lit(None).cast("int")
     for i, role in enumerate(ROLES):
         state = F.when(F.col("role") == role, 2 * i + F.when(F.col("idx") == 0, 0).otherwise(1)).otherwise(state)
@@ -163,7 +186,9 @@ def fit(lines: DataFrame) -> Model:
     both = F.filter(F.arrays_zip(F.col("states").alias("state"), F.col("symbols").alias("symbol")), lambda x: x["state"].isNotNull())
     known = blocks_of(lines).select("conv_id", "block", both.alias("x")).where(F.size("x") > 0)
     seen = {(r["state"], r["symbol"]): r["count"] for r in known.select(F.explode("x").alias("x")).groupBy("x.state", "x.symbol").count().collect()}
-    start = F.when(F.col("block") == 0, F.array(F.lit(2 * len(ROLES)))).otherwise(F.array().cast("array<int>"))
+    first = known.groupBy("conv_id").agg(F.min("block").alias("block")).withColumn("start_", F.lit(True))
+    known = known.join(first, ["conv_id", "block"], "left")
+    start = F.when(F.col("start_"), F.array(F.lit(2 * len(ROLES)))).otherwise(F.array().cast("array<int>"))
     following = known.select(F.concat(start, F.col("x.state")).alias("x"))
     pairs = following.select(F.explode(F.arrays_zip(F.col("x").alias("a"), F.slice("x", F.lit(2), F.size("x")).alias("b"))).alias("p"))
     ends = known.select("conv_id", "block", F.col("x")[0]["state"].alias("first"), F.element_at("x", -1)["state"].alias("a"))
@@ -173,7 +198,7 @@ def fit(lines: DataFrame) -> Model:
 
 
 def decode(lines: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, block, entry, exit, goes_on): the best states around every block, and whether its last turn goes on in the next one."""
+    """(conv_id, block, number, entry, exit, goes_on): the best states around every block, its number from 0, and whether its last turn goes on in the next one."""
     n = 2 * len(ROLES)
 
     def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +208,7 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.concat([between(c, x) for c, x in zip(batch["conv_id"], batch["x"], strict=True)] or [pd.DataFrame(columns=["conv_id", "block", "entry", "exit", "goes_on"])])
+            yield pd.concat([between(c, x) for c, x in zip(batch["conv_id"], batch["x"], strict=True)] or [pd.DataFrame(columns=["conv_id", "block", "number", "entry", "exit", "goes_on"])])
 
     def between(conv_id: str, found: list) -> pd.DataFrame:
         best, back = None, []
@@ -201,17 +226,17 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
         exits = exits[::-1]
         entries = [n, *exits[:-1]]
         later = [x["first"][a * n + b] % 2 == 1 for x, a, b in zip(found, entries, exits, strict=True)]
-        return pd.DataFrame({"conv_id": conv_id, "block": [x["block"] for x in found], "entry": entries, "exit": exits, "goes_on": [*later[1:], False]})
+        return pd.DataFrame({"conv_id": conv_id, "block": [x["block"] for x in found], "number": range(len(found)), "entry": entries, "exit": exits, "goes_on": [*later[1:], False]})
 
-    parts = blocks_of(lines).select("conv_id", "block", "symbols").mapInPandas(summary, "conv_id string, block long, best array<double>, first array<int>")
+    parts = blocks_of(lines).select("conv_id", "block", "symbols").mapInPandas(summary, "conv_id string, block string, best array<double>, first array<int>")
     whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "best", "first"))).alias("x"))
-    return whole.mapInPandas(chain, "conv_id string, block long, entry int, exit int, goes_on boolean")
+    return whole.mapInPandas(chain, "conv_id string, block string, number long, entry int, exit int, goes_on boolean")
 
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
     """Segments of one role each in canonical form; one with starts false goes on from the block before it, which leaves it open.
 
-    Columns: conv_id, block, segment (from 0 in its block), starts, role, n_lines, rendered. lines: also as blocks.
+    Columns: conv_id, block (its number from 0), segment (from 0 in its block), starts, role, n_lines, rendered. lines: also as blocks.
     """
     blocks = blocks_of(lines)
     text_batches(lines.sparkSession)
@@ -222,7 +247,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             rows: list[list] = []
             paths = model.paths(list(batch["symbols"]), batch["entry"].to_numpy(), batch["exit"].to_numpy())
-            for conv_id, block, path, held, goes_on in zip(batch["conv_id"], batch["block"], paths, batch["lines"], batch["goes_on"], strict=True):
+            for conv_id, block, path, held, goes_on in zip(batch["conv_id"], batch["number"], paths, batch["lines"], batch["goes_on"], strict=True):
                 own: list[list] = []
                 for state, line in zip(path.tolist(), held, strict=True):
                     starts = state % 2 == 0
