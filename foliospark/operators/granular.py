@@ -60,6 +60,37 @@ def caption(text: Column, patterns: tuple[str, ...], kind: str, page: Column) ->
     return F.coalesce(*found, F.struct(F.concat(F.lit(f"{kind} (Page "), page.cast("string"), F.lit(")")).alias("number"), F.lit("").alias("caption")))
 
 
+def captioned_figures(pages: DataFrame, patterns: tuple[str, ...] = FIGURE_CAPTIONS) -> DataFrame:
+    """(doc_id, page_no, pos, number, caption): all captions of a page by the first pattern that finds any; a number counts once a page."""
+    found = F.lit(None).cast("array<struct<number:string,caption:string>>")
+    for p in patterns:
+        hits = F.arrays_zip(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), strip).alias("number"), F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(2)), collapse).alias("caption"))
+        hits = F.filter(hits, lambda x: (x["number"] != "") & (x["caption"] != ""))
+        found = F.coalesce(found, F.when(F.size(hits) > 0, hits))
+    rows = pages.select("doc_id", "page_no", F.posexplode(found).alias("at_", "x")).select("doc_id", "page_no", "at_", "x.number", "x.caption")
+    first = rows.groupBy("doc_id", "page_no", "number").agg(F.min_by("caption", "at_").alias("caption"), F.min("at_").alias("at_"))
+    order = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("at_")) - 1
+    return first.select("doc_id", "page_no", order.alias("pos"), "number", "caption")
+
+
+def page_tables(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, pos, number, caption, body): a page's table captions together with its pipe tables.
+
+    Captions and pipe tables of a page are paired in their order; a pipe table without caption is numbered by its page, and its header row stands for
+    the caption; a caption without pipe table has no body. A table number counts once a page. A pipe table is a run of lines that begin with a bar.
+    """
+    named = captioned_tables(pages)
+    first = named.groupBy("doc_id", "page_no", "number").agg(F.min_by("caption", "pos").alias("caption"), F.min("pos").alias("at_"))
+    told = first.select("doc_id", "page_no", (F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("at_")) - 1).alias("pos"), "number", "caption")
+    w = Window.partitionBy("doc_id", "page_no").orderBy("i")
+    lines = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("bar_", F.startswith(strip(F.col("line")), F.lit("|")))
+    runs = lines.withColumn("run_", F.sum((~F.col("bar_")).cast("int")).over(w)).where("bar_").groupBy("doc_id", "page_no", "run_").agg(ordered_join(F.col("i"), F.col("line"), "\n").alias("body"))
+    drawn = runs.select("doc_id", "page_no", (F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("run_")) - 1).alias("pos"), "body")
+    both = told.join(drawn, ["doc_id", "page_no", "pos"], "full")
+    placeholder = F.concat(F.lit("Table (Page "), F.col("page_no").cast("string"), F.lit(", "), (F.col("pos") + 1).cast("string"), F.lit(")"))
+    return both.select("doc_id", "page_no", "pos", F.coalesce("number", placeholder).alias("number"), F.coalesce("caption", F.array_join(table_cells(F.col("body"))["headers"], ", ")).alias("caption"), "body")
+
+
 def captioned_tables(pages: DataFrame, compat: bool = False) -> DataFrame:
     """(doc_id, page_no, pos, number, caption): every table caption of a page's text; compat reports each twice."""
     pattern = r"(?i)(?:table|tab\.)\s*(\d+)\s*[:.]\s*([^\n]+)"
@@ -99,12 +130,17 @@ def element_context(elements: DataFrame, pages: DataFrame, mention: str = r"\b[F
 
 def paragraph_pages(paras: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, para_idx, page_no): the first page at whose end the running text length reaches the paragraph's offset in the
-    document's text; the document's first page if it is not found or none is long enough. Offsets ignore separators."""
+    document's text; the document's first page if it is not found or none is long enough. Offsets ignore separators.
+
+    An as-of join: ends of pages and offsets in one order, from the document's end on.
+    """
     w = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    sums = pages.select("doc_id", "page_no", F.sum(F.length("text")).over(w).alias("cum_"))
+    sums = pages.select("doc_id", F.lit(None).cast("int").alias("para_idx"), F.sum(F.length("text")).over(w).alias("at_"), "page_no")
     whole = pages.groupBy("doc_id").agg(ordered_join(F.col("page_no"), F.col("text"), "\n\n").alias("full_"), F.min("page_no").alias("first_"))
-    at = paras.join(whole, "doc_id").select("doc_id", "para_idx", "first_", (F.call_function("instr", F.col("full_"), F.col("text")) - 1).alias("pos_"))
-    hit = at.join(sums, "doc_id").where("pos_ >= 0 and cum_ >= pos_").groupBy("doc_id", "para_idx").agg(F.min("page_no").alias("page_"))
+    at = paras.join(whole, "doc_id").select("doc_id", "para_idx", "first_", (F.call_function("instr", F.col("full_"), F.col("text")) - 1).alias("at_"))
+    both = sums.unionByName(at.select("doc_id", "para_idx", F.col("at_").cast("long").alias("at_")), allowMissingColumns=True)
+    order = Window.partitionBy("doc_id").orderBy(F.desc("at_"), F.col("para_idx").asc_nulls_first(), F.desc("page_no")).rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.select("doc_id", "para_idx", "at_", F.last("page_no", True).over(order).alias("page_")).where("para_idx is not null and at_ >= 0").select("doc_id", "para_idx", "page_")
     return at.join(hit, ["doc_id", "para_idx"], "left").select("doc_id", "para_idx", F.coalesce("page_", "first_").alias("page_no"))
 
 

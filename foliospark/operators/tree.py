@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..durable import settled
+from ..durable import discard, settled
 from ..functions.text import ordered_join, padded
 
 def _order():
@@ -41,13 +41,16 @@ def with_level_parent(nodes: DataFrame, levels: Iterable[int] | None = None) ->
 
 
 def with_code_parent(items: DataFrame) -> DataFrame:
-    """parent_idx by structure codes: the latest earlier item that has the code without its last component, else none."""
+    """parent_idx by structure codes: the latest earlier item that has the code without its last component, else none.
+
+    Items and their wishes for a parent meet in one sort by code: each wish takes the last item of that code before it.
+    """
     prefix = F.when(F.instr("structure", ".") > 0, F.regexp_extract("structure", r"^(.*)\.[^.]*$", 1))
-    child = items.withColumn("prefix_", prefix)
-    parent = items.where("structure is not null").select(F.col("doc_id").alias("d_"), F.col("structure").alias("prefix_"), F.col("idx").alias("p_"))
-    found = child.join(parent, (F.col("doc_id") == F.col("d_")) & (child["prefix_"] == parent["prefix_"]) & (F.col("p_") < F.col("idx")))
-    latest = found.groupBy("doc_id", "idx").agg(F.max("p_").alias("parent_idx"))
-    return items.join(latest, ["doc_id", "idx"], "left")
+    wish = items.select("doc_id", "idx", prefix.alias("code_"), F.lit(True).alias("wish_")).where("code_ is not null")
+    both = items.where("structure is not null").select("doc_id", "idx", F.col("structure").alias("code_"), F.lit(False).alias("wish_")).unionByName(wish)
+    before = Window.partitionBy("doc_id", "code_").orderBy("idx", F.desc("wish_")).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.select("doc_id", "idx", "wish_", F.last(F.when(~F.col("wish_"), F.col("idx")), True).over(before).alias("parent_idx"))
+    return items.join(found.where("wish_").drop("wish_"), ["doc_id", "idx"], "left")
 
 
 def with_next(nodes: DataFrame, levels: Iterable[int] | None = None) -> DataFrame:
@@ -117,7 +120,9 @@ def ascended(nodes: DataFrame, start: dict[str, Column], join: Callable[[Column,
         done *= 2
         up = state.select("doc_id", F.col("idx").alias("go_"), F.col("go_").alias("next_"), *(F.col(n).alias(f"{n}_up_") for n in start))
         joined = state.join(up, ["doc_id", "go_"], "left")
-        state = settled(joined.select("doc_id", "idx", F.col("next_").alias("go_"), *(joins[n](F.col(n), F.col(f"{n}_up_")).alias(n) for n in start)))
+        after = settled(joined.select("doc_id", "idx", F.col("next_").alias("go_"), *(joins[n](F.col(n), F.col(f"{n}_up_")).alias(n) for n in start)))
+        discard(state)
+        state = after
     return state.drop("go_")
 
 
@@ -210,14 +215,6 @@ def cycles(edges: DataFrame) -> DataFrame:
     return many.unionByName(jump.where("up is not null").select("doc_id", "idx")).distinct()
 
 
-def ends_with_children(nodes: DataFrame) -> DataFrame:
-    """end_index as the largest of a node's own and all its descendants'. Each node is joined with its ancestors, so depth costs rows."""
-    up = ascended(nodes, {"above_": F.array("idx")}, lambda own, up: F.concat(own, F.coalesce(up, F.expr("slice(array(cast(null as int)), 1, 0)").cast("array<int>"))))
-    told = up.join(nodes.select("doc_id", "idx", "end_index"), ["doc_id", "idx"]).select("doc_id", F.explode("above_").alias("idx"), "end_index")
-    most = told.groupBy("doc_id", "idx").agg(F.max("end_index").alias("most_"))
-    return nodes.join(most, ["doc_id", "idx"], "left").select(*(F.col("most_").alias(c) if c == "end_index" else F.col(c) for c in nodes.columns))
-
-
 def nested_json(nodes: DataFrame, fields: list[str], max_depth: int | None = None) -> DataFrame:
     """(doc_id, structure): each document's tree as nested JSON, built from the deepest level up. Needs depth and parent_idx.
 

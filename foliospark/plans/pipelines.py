@@ -9,7 +9,7 @@ from .. import reasoner
 from ..config import Config, load
 from ..durable import settled
 from ..functions.text import count_tokens, paragraphs
-from ..operators import granular, nodes as node_ops, pages as page_ops, search, toc, tree
+from ..operators import folds, granular, nodes as node_ops, pages as page_ops, refine, search, segments, toc, tree
 
 
 def markdown_tree(docs: DataFrame, least_tokens: int | None = None, options: dict | Config | None = None) -> DataFrame:
@@ -60,14 +60,8 @@ def contents(pages: DataFrame, options: dict | Config | None = None) -> DataFram
 
 def page_headings(pages: DataFrame) -> DataFrame:
     """Items by headings of the page texts: numbered, Markdown or all capitals, in order."""
-    rows = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    code = r"^\s*((?:\d+\.)*\d+)\.?\s+(\p{Lu}[^.]{2,80})$"
-    head = r"^#{1,6}\s+(.+)$"
-    caps = r"^\s*([A-Z][A-Z ]{3,60})\s*$"
-    title = F.when(F.rlike("line", F.lit(head)), F.regexp_extract("line", head, 1)).when(F.rlike("line", F.lit(code)), F.regexp_extract("line", code, 2)).when(F.rlike("line", F.lit(caps)), F.regexp_extract("line", caps, 1))
-    rows = rows.select("doc_id", "page_no", "at", F.nullif(F.regexp_extract("line", code, 1), F.lit("")).alias("structure"), F.trim(title).alias("title")).where("title is not null")
     order = F.row_number().over(tree.Window.partitionBy("doc_id").orderBy("page_no", "at")) - 1
-    return rows.select("doc_id", order.alias("list_index"), "structure", "title", F.col("page_no").alias("physical_index"))
+    return refine.headings(pages).select("doc_id", order.alias("list_index"), "structure", "title", F.col("page_no").alias("physical_index"))
 
 
 #: Where kinds of nodes stand among the children of one node: units, then what was there, elements, keywords.
@@ -75,22 +69,29 @@ UNITS, SECTIONS, ELEMENTS, KEYWORDS = range(4)
 
 
 def build_tree(pages: DataFrame, options: dict | Config | None = None) -> DataFrame:
-    """Nodes of paged documents: contents, preface, section bounds, parents, granular units by the granularity, figures and tables
-    inserted, children by page, pre-order ids, text, summaries, description.
+    """Nodes of paged documents: contents, preface, section bounds, parents, large sections divided again, granular units by the granularity,
+    figures and tables inserted, children by page, pre-order ids, text, summaries, description.
 
-    Units of a section come before its own children, keywords after; with figures or tables detected all children are ordered by page.
+    Sections over both limits (max_page_num_each_node, max_token_num_each_node) are divided by the headings in their own pages, which become their
+    first children. Units of a section come before its own children, keywords after; with figures or tables detected all children are ordered by page.
     """
     config = load(options)
     items = toc.with_preface(settled(contents(pages, config)))
     bounded = toc.section_bounds(toc.appears(items, pages).drop("found"), pages)
     out = tree.with_code_parent(bounded.withColumnRenamed("list_index", "idx")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("parent_idx").cast("long").alias("parent_idx"), "structure", "title", "start_index", "end_index")
-    out = settled(page_ops.range_text(out, pages).withColumn("node_type", F.lit("section")).withColumn("kind_", F.lit(SECTIONS)).withColumn("ord_", F.col("idx")))
-    sections, units = out, None
+    out, divided = refine.divided(settled(out), pages, config.max_page_num_each_node, config.max_token_num_each_node)
+    divided = divided.withColumn("ord_", F.col("ord") - 10**12).drop("ord", "round")  # before what the section has by the contents
+    out = out.withColumn("ord_", F.col("idx")).unionByName(divided, allowMissingColumns=True)
+    out = settled(page_ops.range_text(out, pages).withColumn("node_type", F.lit("section")).withColumn("kind_", F.lit(SECTIONS)))
+    sections = out
     if config.enable_semantic_subdivision:
-        for depth in range(1, min(config.max_depth, 2) + 1):  # paragraphs by threes, then one by one
-            units = settled(_numbered(semantic_units(out if units is None else units, config, 3 if depth == 1 else 1), depth, UNITS))
-            out = out.unionByName(units, allowMissingColumns=True)
-        if config.max_depth > 2:
+        levels = []
+        for depth in range(1, min(config.max_depth, 2) + 1):  # sections, then their units
+            levels.append(settled(_numbered(semantic_units(levels[-1] if levels else sections, pages, config), depth, UNITS)))
+            out = out.unionByName(levels[-1], allowMissingColumns=True)
+        if config.max_depth > 2:  # of the deepest units
+            units = tree.union_all(levels)
+            units = settled(units.join(units.select("doc_id", F.col("parent_idx").alias("idx")).distinct(), ["doc_id", "idx"], "left_anti"))
             told = granular.keyword_nodes(reasoner.keywords(units), units)
             kids = told.select("doc_id", "parent_idx", F.col("ord").cast("long").alias("ord_"), "title", "start_index", "end_index", "text", "summary", "node_type")
             out = out.unionByName(_numbered(kids, 3, KEYWORDS), allowMissingColumns=True)
@@ -102,7 +103,8 @@ def build_tree(pages: DataFrame, options: dict | Config | None = None) -> DataFr
     if config.if_add_node_summary:
         have = out if "summary" in out.columns else out.withColumn("summary", F.lit(None).cast("string"))
         due = F.col("needed") if config.summary_mode == "smart" else (F.coalesce("summary", F.lit("")) == "") & (F.col("text") != "")
-        out = node_ops.needs_summary(have).withColumn("summary", F.when(due, reasoner.summary(F.col("text"))).otherwise(F.col("summary"))).drop("needed", "children", "summarised")
+        wanted = node_ops.needs_summary(have).withColumn("due_now_", due).drop("needed", "children", "summarised")
+        out = folds.summaries(wanted, F.col("due_now_")).drop("due_now_", "from_children")
     if config.if_add_doc_description:
         out = out.join(reasoner.description(out), "doc_id", "left")
     if config.if_add_node_id:
@@ -113,19 +115,23 @@ def build_tree(pages: DataFrame, options: dict | Config | None = None) -> DataFr
 def _numbered(nodes: DataFrame, family: int, kind: int) -> DataFrame:
     """nodes with an idx that no other family has; tree.renumbered puts them in their places."""
     at = F.row_number().over(tree.Window.partitionBy("doc_id").orderBy("parent_idx", "ord_"))
-    return nodes.withColumn("idx", F.lit(family * 1_000_000_000).cast("long") + at).withColumn("kind_", F.lit(kind))
+    return nodes.withColumn("idx", F.lit(family * 10**15).cast("long") + at).withColumn("kind_", F.lit(kind))
 
 
 def elements_of(pages: DataFrame, config: Config) -> DataFrame:
-    """(doc_id, element, page_no, kind, number, caption, place): captioned figures, then captioned tables, of every page."""
+    """(doc_id, element, page_no, kind, number, caption, place): all captioned figures, then all captioned or drawn tables, of every page."""
     found = []
     if config.enable_figure_detection:
-        told = pages.select("doc_id", "page_no", granular.caption(F.col("text"), granular.FIGURE_CAPTIONS, "Figure", F.col("page_no")).alias("c"))
-        found.append(told.where("c.caption <> ''").select("doc_id", "page_no", F.lit(0).alias("pos"), F.lit("figure").alias("kind"), "c.number", "c.caption"))
+        found.append(granular.captioned_figures(pages).withColumn("kind", F.lit("figure")))
     if config.enable_table_detection:
-        found.append(granular.captioned_tables(pages).select("doc_id", "page_no", "pos", F.lit("table").alias("kind"), "number", "caption"))
+        found.append(granular.page_tables(pages).drop("body").withColumn("kind", F.lit("table")))
     order = F.row_number().over(tree.Window.partitionBy("doc_id").orderBy("kind", "page_no", "pos"))
-    return tree.union_all(found).select("doc_id", order.alias("element"), "page_no", "kind", "number", "caption", F.lit("middle").alias("place"))
+    # the place on the page, by thirds of its lines, from where the number stands
+    rows = tree.union_all(found).join(pages.select("doc_id", "page_no", F.col("text").alias("page_")), ["doc_id", "page_no"])
+    at = F.call_function("instr", F.lower("page_"), F.lower("number"))
+    share = F.when(at > 0, 100 * F.size(F.split(F.left("page_", at), "\n")) / F.size(F.split("page_", "\n")))
+    place = F.when(share < 33, "top").when(share > 67, "bottom").otherwise("middle")
+    return rows.select("doc_id", order.alias("element"), "page_no", "kind", "number", "caption", place.alias("place"))
 
 
 def element_children(pages: DataFrame, sections: DataFrame, config: Config) -> DataFrame:
@@ -137,12 +143,11 @@ def element_children(pages: DataFrame, sections: DataFrame, config: Config) -> D
     return granular.element_nodes(told.withColumn("summary", summary)).withColumnRenamed("element", "ord_")
 
 
-def semantic_units(nodes: DataFrame, config: Config, each: int = 3) -> DataFrame:
-    """Units of a few paragraphs each for nodes that are long enough, in order."""
+def semantic_units(nodes: DataFrame, pages: DataFrame, config: Config) -> DataFrame:
+    """Units, by lexical cohesion, of nodes that are long enough; none below a node that has units of its own."""
     long = node_ops.long_sections(nodes.withColumn("text_locked", F.lit(False)).withColumn("p_", paragraphs(F.col("text"))), F.col("p_"), config.semantic_min_pages)
-    units = long.select("doc_id", F.col("idx").alias("parent_idx"), "title", "start_index", "end_index", "p_", F.posexplode(reasoner.unit_groups(F.col("p_"), each)).alias("u", "x"))
-    text = F.array_join(F.slice("p_", F.col("x.start") + 1, F.col("x.end") - F.col("x.start") + 1), "\n\n")
-    return units.select("doc_id", F.col("u").cast("long").alias("ord_"), "parent_idx", F.concat(reasoner.section_type(F.col("title")), F.lit(" "), (F.col("u") + 1).cast("string")).alias("title"), "start_index", "end_index", text.alias("text"), F.lit("semantic_unit").alias("node_type"))
+    found = settled(segments.unit_nodes(long, pages).drop("start_paragraph", "end_paragraph").withColumnRenamed("ord", "ord_"))
+    return segments.without_divided_ancestors(found, nodes).withColumn("node_type", F.lit("semantic_unit"))
 
 
 def merge_sources(tree_nodes: DataFrame, facts: DataFrame) -> DataFrame:

@@ -38,6 +38,10 @@ def summary(text: Column, limit: int = 3000) -> Column:
     return sentences(F.left(F.coalesce(text, F.lit("")), F.lit(limit)), 2)
 
 
+def first_sentence(text: Column) -> Column:
+    return sentences(text, 1)
+
+
 def element_summary(number: Column, caption: Column, kind: Column) -> Column:
     return F.when(caption != "", caption).otherwise(F.concat(number, F.lit(" ("), kind, F.lit(")")))
 

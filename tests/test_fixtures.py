@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark import config, reasoner
 from foliospark.functions import text as X
+from foliospark.operators import folds
 from foliospark.operators import granular as G
 from foliospark.operators import pages as P
 from foliospark.operators import tree as T
@@ -36,7 +37,7 @@ def test_deep_trees(spark):
     with pytest.raises(ValueError, match="cycle"):
         T.sibling_ids(looped)
     assert T.nested_json(T.depths(T.sibling_ids(deep.where("idx < 20"))), ["title"]).first().structure.count('"title"') == 20
-    assert {r.end_index for r in T.ends_with_children(deep).collect()} == {99}
+    assert {r.end_index for r in folds.ends_with_children(deep).collect()} == {99}
     assert {(r.lo, r.hi) for r in G.reach(deep.withColumn("end_index", 200 - F.col("idx"))).where("idx = 99").collect()} == {(1, 101)}
 
 
@@ -128,7 +129,8 @@ def test_build_tree_in_pre_order(spark):
     """Units, figures and keywords stand below their sections, numbered in pre-order."""
     from foliospark.plans import pipelines
 
-    body = "\n\n".join(f"paragraph number {i} with some words." for i in range(7))
+    topics = ("garnet lithium ceramic powder", "sintering furnace temperature oxygen", "impedance spectra voltage cycling")
+    body = "\n\n".join(f"{topics[i // 6]} measured again {('alpha', 'beta')[i // 3 % 2]} sample {('alpha', 'beta')[i // 3 % 2]}." for i in range(18))
     rows = [(1, i, f"# Part {i}\n\n{body}\n\nFigure {i}: A curve\n\nTable {i}: Values\n", 50) for i in (1, 2, 3)]
     pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string, token_count int")
     for granularity in ("coarse", "medium", "fine", "keywords"):
