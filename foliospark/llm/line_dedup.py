@@ -159,7 +159,7 @@ def common_places(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST,
     lines = lines.select("id", "text_a", "text_b", F.explode(F.arrays_zip("place", "a", "b", "new")).alias("x")).select("id", "text_a", "text_b", "x.*")
     counts = materialize(lines.groupBy("a", "b").agg(F.sum(F.col("new").cast("long")).alias("n")))
     total = counts.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).first()
-    heavy = counts.where((F.col("n") >= least) & (F.col("n") * HEAVY >= total["pairs"]) & (F.col("n") > probes // 64)).select("a", "b", F.lit(True).alias("heavy"))
+    heavy = counts.where((F.col("n") >= least) & (F.col("n") * HEAVY >= total["pairs"]) & (F.col("n") > probes // 1024)).select("a", "b", F.lit(True).alias("heavy"))
     lines = lines.join(F.broadcast(heavy), ["a", "b"], "left")  # at most HEAVY rows, since their counts add up to the pairs at most
     shards = max(partitions(spark), ceil(total["keys"] / shard), ceil(total["pairs"] / probes))
     index = indexed(counts, shards)
