@@ -35,6 +35,8 @@ from .shared import discard, materialize, partitions, release
 
 #: Words of the longest phrase, least count, rows of a language.
 LONGEST, LEAST, TOP = 4, 30, 2000
+#: Parts of a language that are ranked apart before they are ranked together.
+PARTS = 64
 #: Bytes of text in a block, entries of the table of hashed counts, occurrences that one bucket takes.
 BLOCK_BYTES, ENTRIES, BUCKET = 8 << 20, 1 << 21, 2_000_000
 _END, _SPACE = 10, 32
@@ -260,6 +262,9 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     within = within.select("lang", "f", "words", "m", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("m") + 1)).alias("i"))
     within = within.groupBy("lang", F.array_join(F.slice("words", F.col("i"), F.col("m")), " ").alias("phrase")).agg(F.max("f").alias("longer"))
     left = scored.join(within, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer").cast("decimal(25,0)") * 100 < F.col("a").cast("decimal(25,0)") * 80))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("cut.score"), F.desc("a"), "phrase")
+    # the best of each part of a language first, so that no task takes a whole language
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).alias("part")
+    good = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
+    best = good.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").alias("score"))
