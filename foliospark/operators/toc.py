@@ -123,3 +123,54 @@ def repaired(items: DataFrame, pages: DataFrame) -> DataFrame:
 def page_has_numbers(lines: DataFrame) -> DataFrame:
     """(doc_id, numbered): whether half of the contents lines end with a number."""
     return lines.groupBy("doc_id").agg((F.avg(F.rlike("line", F.lit(r"\d+\s*$")).cast("int")) >= 0.5).alias("numbered"))
+
+
+def continued(found: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(doc_id, list_index, grp, structure, title, physical_index): headings as contents, carried on from group to group of a document's pages.
+
+    found: doc_id, page_no, at, rank, structure, title (refine.headings). groups: doc_id, grp, page_no (pages.grouped), whose overlapping pages are
+    read in the first group that has them. A group goes on from the ranks and numbers that those before left open: a heading closes the open ones
+    of lower rank, and is numbered on where its own rank is open, or begins a level below. Documents with codes of their own keep them. The
+    fold's state is the open path; the plan is the same for any number of groups.
+    """
+    if groups is None:
+        rows = found.withColumn("grp", F.lit(0))
+    else:
+        rows = found.join(groups.groupBy("doc_id", "page_no").agg(F.min("grp").alias("grp")), ["doc_id", "page_no"])
+    item = F.struct(F.col("grp").cast("int").alias("grp"), F.col("page_no").cast("int").alias("page"), F.col("at").cast("int").alias("at"), F.col("rank").cast("int").alias("rank"), F.col("structure").alias("code"), F.col("title").alias("title"))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count("structure").alias("coded"))
+    path, told = "array<struct<rank:int,n:int>>", "array<string>"
+    begin = F.struct(F.array().cast(path).alias("open"), F.array().cast(told).alias("codes"))
+
+    def step(state: Column, x: Column) -> Column:
+        open_ = F.filter(state["open"], lambda o: o["rank"] <= x["rank"])
+        last = F.try_element_at(open_, F.lit(-1))
+        same = F.coalesce(last["rank"] == x["rank"], F.lit(False))
+        head = F.when(same, F.slice(open_, F.lit(1), F.size(open_) - 1)).otherwise(open_)
+        now = F.concat(head, F.array(F.struct(x["rank"].alias("rank"), F.when(same, last["n"] + 1).otherwise(1).alias("n")))).cast(path)
+        return F.struct(now.alias("open"), F.concat(state["codes"], F.array(F.array_join(F.transform(now, lambda o: o["n"].cast("string")), "."))).cast(told).alias("codes"))
+
+    done = docs.withColumn("codes", F.aggregate("items", begin, step)["codes"])
+    out = done.select("doc_id", "coded", F.posexplode(F.arrays_zip("items", "codes")).alias("list_index", "x"))
+    code = F.when(F.col("coded") > 0, F.col("x.items.code")).otherwise(F.col("x.codes"))
+    return out.select("doc_id", "list_index", F.col("x.items.grp").alias("grp"), code.alias("structure"), F.col("x.items.title").alias("title"), F.col("x.items.page").alias("physical_index"))
+
+
+def filled_in_order(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, list_index, physical_index): titles looked for from page to page, each from where the one before was found on; null if it isn't there.
+
+    A title that stands on many pages so takes its turn in the list. The pages that hold each title are found by a join; the fold goes over them.
+    """
+    texts = pages.select("doc_id", F.col("page_no").cast("int").alias("page_no"), normalised(F.col("text")).alias("text_"))
+    wanted = items.select("doc_id", "list_index", normalised(F.coalesce("title", F.lit(""))).alias("t_"))
+    hits = wanted.where("t_ <> ''").join(texts, "doc_id").where(F.contains("text_", "t_")).groupBy("doc_id", "list_index").agg(F.array_sort(F.collect_list("page_no")).alias("pages"))
+    rows = wanted.join(hits, ["doc_id", "list_index"], "left")
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("list_index", "pages"))).alias("items"))
+    begin = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        at = F.array_min(F.filter(F.coalesce(x["pages"], F.array().cast("array<int>")), lambda p: p >= state["last"]))
+        return F.struct(F.coalesce(at, state["last"]).alias("last"), F.concat(state["out"], F.array(at)).cast("array<int>").alias("out"))
+
+    done = docs.select("doc_id", F.explode(F.arrays_zip(F.col("items"), F.aggregate("items", begin, step)["out"].alias("page"))).alias("x"))
+    return done.select("doc_id", F.col("x.items.list_index").alias("list_index"), F.col("x.page").alias("physical_index"))

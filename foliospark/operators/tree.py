@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..durable import discard, settled
 from ..functions.text import ordered_join, padded
 
+#: Levels that ascended() takes in one plan.
+SHALLOW = 4
+
+
 def _order():
     return Window.partitionBy("doc_id").orderBy("idx")
 
@@ -106,21 +110,30 @@ def sequential_ids(nodes: DataFrame, start: int = 0) -> DataFrame:
 def ascended(nodes: DataFrame, start: dict[str, Column], join: Callable[[Column, Column], Column] | dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
     """(doc_id, idx, *start): each node's values joined with those of all its ancestors. Needs parent_idx.
 
-    join(own, ancestors') is associative and takes a null for an absent ancestor. By pointer doubling: a tree of depth d takes log2(d)
-    rounds. Parents that form a cycle are an error.
+    join(own, ancestors') is associative and takes a null for an absent ancestor. The first levels are joined in one plan, further ones by
+    pointer doubling: a tree of depth d takes log2(d) rounds, each written once. Parents that form a cycle are an error.
     """
     joins = join if isinstance(join, dict) else dict.fromkeys(start, join)
-    state = settled(nodes.select("doc_id", "idx", F.col("parent_idx").alias("go_"), *(c.alias(n) for n, c in start.items())))
-    most, done = 1 << 3, 1
+
+    def joined(state: DataFrame, above: DataFrame) -> DataFrame:
+        up = above.select("doc_id", F.col("idx").alias("go_"), F.col("go_").alias("next_"), *(F.col(n).alias(f"{n}_up_") for n in start))
+        rows = state.join(up, ["doc_id", "go_"], "left")
+        return rows.select("doc_id", "idx", F.col("next_").alias("go_"), *(joins[n](F.col(n), F.col(f"{n}_up_")).alias(n) for n in start))
+
+    base = settled(nodes.select("doc_id", "idx", F.col("parent_idx").alias("go_"), *(c.alias(n) for n, c in start.items())))
+    state = base
+    for _ in range(SHALLOW - 1):  # trees of so few levels need one plan and one write
+        state = joined(state, base)
+    state = settled(state)
+    discard(base)
+    done, most = SHALLOW, None  # levels seen; nodes of the largest document
     while state.where("go_ is not null").limit(1).count():
-        if done == most:  # deeper than eight levels: no tree is deeper than its nodes
+        if most is None and done > SHALLOW:
             most = state.groupBy("doc_id").count().agg(F.max("count")).first()[0]
-        if done > most:
+        if most is not None and done >= most:
             raise ValueError("parents form a cycle")
         done *= 2
-        up = state.select("doc_id", F.col("idx").alias("go_"), F.col("go_").alias("next_"), *(F.col(n).alias(f"{n}_up_") for n in start))
-        joined = state.join(up, ["doc_id", "go_"], "left")
-        after = settled(joined.select("doc_id", "idx", F.col("next_").alias("go_"), *(joins[n](F.col(n), F.col(f"{n}_up_")).alias(n) for n in start)))
+        after = settled(joined(state, state))
         discard(state)
         state = after
     return state.drop("go_")
@@ -215,8 +228,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     return many.unionByName(jump.where("up is not null").select("doc_id", "idx")).distinct()
 
 
-def nested_json(nodes: DataFrame, fields: list[str], max_depth: int | None = None) -> DataFrame:
-    """(doc_id, structure): each document's tree as nested JSON, built from the deepest level up. Needs depth and parent_idx.
+def nested_json(nodes: DataFrame, fields: list[str], max_depth: int | None = None, children: str = "nodes") -> DataFrame:
+    """(doc_id, structure): each document's tree as nested JSON, built from the deepest level up; children names their array. Needs depth and parent_idx.
 
     max_depth cuts deeper nodes off; by default the deepest node decides.
     """
@@ -227,7 +240,7 @@ def nested_json(nodes: DataFrame, fields: list[str], max_depth: int | None = Non
     def rendered(rows: DataFrame) -> Column:
         own = F.to_json(F.struct(*(F.col(c) for c in fields)))
         has = F.col("kids_").isNotNull()
-        return F.when(has, F.concat(F.expr("left(own_, length(own_) - 1)"), F.lit(',"nodes":['), F.col("kids_"), F.lit("]}"))).otherwise(own)
+        return F.when(has, F.concat(F.expr("left(own_, length(own_) - 1)"), F.lit(f',"{children}":['), F.col("kids_"), F.lit("]}"))).otherwise(own)
 
     base = nodes.withColumn("own_", F.to_json(F.struct(*(F.col(c) for c in fields))))
     below = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from .. import reasoner
 from ..config import Config, load
 from ..durable import settled
 from ..functions.text import count_tokens, paragraphs
-from ..operators import folds, granular, nodes as node_ops, pages as page_ops, refine, search, segments, toc, tree
+from ..operators import folds, granular, hybrid, markdown, nodes as node_ops, pages as page_ops, refine, search, segments, toc, tree
+from ..sources import readers
 
 
 def markdown_tree(docs: DataFrame, least_tokens: int | None = None, options: dict | Config | None = None) -> DataFrame:
@@ -35,8 +38,9 @@ def markdown_tree(docs: DataFrame, least_tokens: int | None = None, options: dic
 def contents(pages: DataFrame, options: dict | Config | None = None) -> DataFrame:
     """(doc_id, list_index, structure, title, physical_index): items of each document's contents, or of its headings.
 
-    Three modes for each document: a contents list with page numbers (offset by the commonest difference), one without
-    (titles are looked for in the pages), and headings of the pages where there is no list or too few items are found.
+    Each document takes the first of three modes that holds: its contents list with page numbers (offset by the commonest difference), the list's titles
+    looked for from page to page in their order, the headings of its pages, carried on from group to group of pages. A list holds if more
+    than 0.6 of its items stand on their page; those that don't are then looked for between their neighbours.
     """
     config = load(options)
     seen = pages.withColumn("yes", toc.is_toc_page(F.col("text")))
@@ -52,16 +56,22 @@ def contents(pages: DataFrame, options: dict | Config | None = None) -> DataFram
     by_offset = toc.apply_offset(listed, toc.page_offset(pairs))
     numbered = by_offset.join(found.withColumnRenamed("physical_index", "seen_"), ["doc_id", "list_index"], "left").withColumn("physical_index", F.coalesce("physical_index", "seen_"))
     numbered = settled(node_ops.truncated_indices(numbered.select("doc_id", "list_index", "structure", "title", "physical_index"), pages).drop("truncated"))
-    good = toc.accuracy(numbered, pages).where("accuracy > 0.6").select("doc_id")
-    first = toc.repaired(numbered.join(good, "doc_id", "left_semi"), pages).where("physical_index is not null")
-    heads = page_headings(pages.join(good, "doc_id", "left_anti"))
+    good = settled(toc.accuracy(numbered, pages).where("accuracy > 0.6").select("doc_id"))
+    rest = listed.join(good, "doc_id", "left_anti")
+    filled = rest.select("doc_id", "list_index", "structure", "title").join(toc.filled_in_order(rest, body), ["doc_id", "list_index"], "left")
+    filled = settled(node_ops.truncated_indices(filled, pages).drop("truncated"))
+    second = settled(toc.accuracy(filled, pages).where("accuracy > 0.6").select("doc_id"))
+    held = numbered.join(good, "doc_id", "left_semi").unionByName(filled.join(second, "doc_id", "left_semi"))
+    first = toc.repaired(held, pages).where("physical_index is not null")
+    heads = page_headings(pages.join(good.unionByName(second), "doc_id", "left_anti"))
     return first.select("doc_id", "list_index", "structure", "title", "physical_index").unionByName(heads)
 
 
-def page_headings(pages: DataFrame) -> DataFrame:
-    """Items by headings of the page texts: numbered, Markdown or all capitals, in order."""
-    order = F.row_number().over(tree.Window.partitionBy("doc_id").orderBy("page_no", "at")) - 1
-    return refine.headings(pages).select("doc_id", order.alias("list_index"), "structure", "title", F.col("page_no").alias("physical_index"))
+def page_headings(pages: DataFrame, max_tokens: int = 20_000) -> DataFrame:
+    """Items by headings of the page texts (numbered, Markdown or all capitals), in order, carried on from group to group of pages; where no
+    heading of a document has a code of its own, codes follow from the headings' ranks."""
+    found = toc.continued(refine.headings(pages), page_ops.grouped(pages, max_tokens))
+    return found.select("doc_id", "list_index", "structure", "title", "physical_index")
 
 
 #: Where kinds of nodes stand among the children of one node: units, then what was there, elements, keywords.
@@ -155,6 +165,30 @@ def merge_sources(tree_nodes: DataFrame, facts: DataFrame) -> DataFrame:
     return tree_nodes.join(facts, "doc_id", "left").withColumn("has_markdown", F.col("markdown_text").isNotNull())
 
 
+def hybrid_tree(pages: DataFrame, docs: DataFrame, options: dict | Config | None = None) -> DataFrame:
+    """One tree of documents that come as pages and as Markdown files (doc_id, text): hybrid.merged() of both trees."""
+    own = {**(options or {}), "if_add_node_summary": False} if not isinstance(options, Config) else replace(options, if_add_node_summary=False)
+    paged = settled(build_tree(pages, own).where("node_type = 'section'").select("doc_id", "idx", "parent_idx", "title", "start_index", "end_index", "text"))
+    marked = settled(markdown_tree(docs, options=own).select("doc_id", "idx", "parent_idx", "title", "text"))
+    return hybrid.merged(paged, marked)
+
+
+def markdown_page_tree(docs: DataFrame, meta: DataFrame, options: dict | Config | None = None) -> DataFrame:
+    """Nodes of Markdown documents (doc_id, text) with their sidecars (sources.readers.sidecars): contents with pages, figures and tables in every section of
+    their page, texts of their pages, summaries from the leaves up. Documents without a sidecar are one page, and take their headers for contents."""
+    config = load(options)
+    told = readers.with_sidecar(docs.select("doc_id", "text"), meta)
+    listed = readers.sidecar_sections(told.where("table_of_contents is not null")).select("doc_id", F.col("idx").cast("int").alias("idx"), "level", "title", F.col("page").cast("int").alias("page"))
+    heads = granular.headers(page_ops.lines(told.where("table_of_contents is null"))).select("doc_id", "idx", "level", "title", F.lit(1).alias("page"))
+    sections = settled(tree.with_level_parent(settled(listed.unionByName(heads))))
+    out = settled(markdown.with_elements(sections, markdown.elements(told)))
+    pages = page_ops.markdown_pages(told)
+    out = markdown.page_texts(out, pages)
+    if config.if_add_node_summary:
+        out = folds.summaries(out, F.col("node_type") == "section")
+    return out if config.if_add_node_text else out.drop("text")
+
+
 def answer(nodes: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """(qid, question, answer, thinking, node_list, context) for every question."""
     found = search.bm25(nodes, questions, k)

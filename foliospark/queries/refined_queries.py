@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import folds, refine, segments
+from ..operators import folds, hybrid, markdown, refine, segments, toc
+from ..operators import granular as G
+from ..operators import pages as P
 from ..operators import tree as T
-from .granular_queries import _P
-from .inputs import DOCS, TREE, of, oracle
+from .granular_queries import _P, CAPTIONED
+from .inputs import DOCS, LINES, PAGES, TOC, TREE, of, oracle
 
 #: Orders as the pages of sixteen long documents: volumes, chapters (every other one further down its page) and parts as headings.
 LONG = """
@@ -92,6 +94,39 @@ def _trees(s: SparkSession, d: str) -> DataFrame:
     return T.with_level_parent(of(s, d, TREE))
 
 
+#: What the page trees' Markdown files hold: some sections under another title, some left out, some more.
+MARKED = f"select doc_id, idx * 2 + k as idx, level, case when k = 1 then concat('Box ', cast(num as string)) when num % 5 = 1 then concat(title, ' revised') else concat('**', upper(title), '**') end as title, case when num % 4 = 0 then '' else concat('markdown of ', title) end as text from ({TREE}) t, (select 0 as k union all select 1) ks where num % 7 <> 2 and (k = 0 or num % 6 = 0) and level < 3"
+#: Pages with several captions and tables drawn with bars.
+BARRED = f"select doc_id, page_no, concat(text, chr(10), 'Figure 90: Another one', chr(10), case when page_no % 2 = 0 then concat('| a | b |', chr(10), '|---|---|', chr(10), '| 1 | 2 |', chr(10), 'between', chr(10), '| c |', chr(10)) else '' end, 'Table 8: Named') as text, token_count from ({CAPTIONED}) q"
+
+
+def _mdocs(s: SparkSession, d: str) -> DataFrame:
+    return of(s, d, LINES).groupBy("doc_id").agg(X.ordered_join(F.col("line_num"), F.col("line"), "\n").alias("text")).withColumn("n_pages", F.lit(9))
+
+
+def _hybrid(s: SparkSession, d: str) -> DataFrame:
+    paged = T.with_level_parent(of(s, d, f"select doc_id, idx, level, title, start_index, end_index, text from ({TREE}) t where level < 3"))
+    return hybrid.merged(paged, T.with_level_parent(of(s, d, MARKED)))
+
+
+_ENDS = (
+    f"{_PARENT}, q as (select p.*, coalesce(p.page, a.page, b.page, 1) as start_page from p left join p a on a.doc_id = p.doc_id and a.idx = p.parent_idx left join p b on b.doc_id = a.doc_id and b.idx = a.parent_idx), "
+    "w as (select q.*, (select min(n.idx) from q n where n.doc_id = q.doc_id and n.idx > q.idx and n.parent_idx is not distinct from q.parent_idx) as next_idx, (select max(k.idx) from q k where k.doc_id = q.doc_id and k.parent_idx = q.idx) as last_idx from q), "
+    "o as (select w.*, case when next_idx is null then start_page else coalesce((select n.page from q n where n.doc_id = w.doc_id and n.idx = w.next_idx), start_page + 1) - 1 end as own from w), "
+    "ends as (select o.doc_id, o.idx, o.parent_idx, o.level, o.title, o.page, o.start_page, coalesce(b.own, a.own, o.own) as end_page from o left join o a on a.doc_id = o.doc_id and a.idx = o.last_idx left join o b on b.doc_id = a.doc_id and b.idx = a.last_idx)"
+)
+_NUMBERED = "n1 as (select *, row_number() over (partition by doc_id, parent_idx order by idx) as rk from ends), n2 as (select x.*, case when c.idx is not null then c.rk || '.' || b.rk || '.' || x.rk when b.idx is not null then b.rk || '.' || x.rk else cast(x.rk as varchar) end as node_id from n1 x left join n1 b on b.doc_id = x.doc_id and b.idx = x.parent_idx left join n1 c on c.doc_id = b.doc_id and c.idx = b.parent_idx)"
+_OWN = "'{\"title\":\"' || n.title || '\",\"start_page\":' || n.start_page || ',\"end_page\":' || n.end_page || ',\"type\":\"section\",\"node_id\":\"' || n.node_id || '\"'"
+
+
+def _json(level: int, below: str | None) -> str:
+    if not below:
+        return f"j{level} as (select n.doc_id, n.idx, n.parent_idx, {_OWN} || '}}' as j from n2 n where level = {level})"
+    return f"j{level} as (select n.doc_id, n.idx, n.parent_idx, {_OWN} || coalesce(',\"children\":[' || k.js || ']', '') || '}}' as j from n2 n left join (select doc_id, parent_idx, string_agg(j, ',' order by idx) as js from {below} group by all) k on k.doc_id = n.doc_id and k.parent_idx = n.idx where level = {level})"
+
+
+_TITLE = "regexp_replace(lower(regexp_replace(regexp_replace(title, '[*_`#]', '', 'g'), '^\\s*(\\d+\\.)*\\d*\\.?\\s+', '')), '\\s+', '', 'g')"
+
 FOUND = {
     "sections_divided": (_divided, oracle(_DIVIDED, p=LONG, n=VOLUMES)),
     "cohesive_units": (
@@ -108,12 +143,87 @@ FOUND = {
     ),
     "md_page_ends": (
         lambda s, d: folds.page_ends(T.with_level_parent(of(s, d, PAGED))).select("doc_id", "idx", "start_page", "end_page"),
+        oracle(f", {_ENDS} select doc_id, idx, start_page, end_page from ends", t=PAGED),
+    ),
+    "md_tree_converted": (
+        lambda s, d: markdown.converted(of(s, d, PAGED)).select("doc_id", F.length("structure").alias("size"), F.md5("structure").alias("structure")),
+        oracle(f", {_ENDS}, {_NUMBERED}, {_json(3, None)}, {_json(2, 'j3')}, {_json(1, 'j2')} select doc_id, length('[' || string_agg(j, ',' order by idx) || ']') as size, md5('[' || string_agg(j, ',' order by idx) || ']') as structure from j1 group by doc_id", t=PAGED),
+    ),
+    "md_elements_in_sections": (
+        lambda s, d: markdown.with_elements(T.with_level_parent(of(s, d, PAGED)), markdown.elements(_mdocs(s, d))),
+        oracle(
+            f", {_PARENT}, b as (select doc_id, idx, parent_idx, title, cast(coalesce(page, 1) as int) as a, greatest(coalesce(page, 1), (select coalesce(max(coalesce(u.page, 1)), 1) from p u where u.doc_id = p.doc_id and u.idx > p.idx and u.idx < coalesce((select min(v.idx) from p v where v.doc_id = p.doc_id and v.idx > p.idx and v.level <= p.level), 2147483647))) as z from p), "
+            "y as (select doc_id, count(*) as n from l group by doc_id), tb as (select doc_id, min(line_num) as ls, stop - 1 as le from (select doc_id, line_num, (select min(b.line_num) from l b where b.doc_id = l.doc_id and b.line_num > l.line_num and trim(b.line) = '') as stop from l where starts_with(line, '|')) z where stop is not null group by doc_id, stop), "
+            "e as (select doc_id, 1 as s, line_num as pos, cast(regexp_extract(line, '_page_(\\d+)_Figure_(\\d+)', 1) as int) + 1 as page, 'Figure ' || cast(cast(regexp_extract(line, '_page_(\\d+)_Figure_(\\d+)', 2) as int) as varchar) as label, cast(null as bigint) as ls, cast(null as bigint) as le from l where regexp_matches(line, '_page_\\d+_Figure_\\d+') "
+            "union all select tb.doc_id, 2, ls, least(cast(floor(ls / (n / 9)) as int) + 1, 9), cast(null as varchar), ls, le from tb join y using (doc_id)), "
+            "r as (select doc_id, idx as sec, 0 as s, 0 as pos, parent_idx as up, 'section' as node_type, title, a as start_index, z as end_index, cast(null as varchar) as label, cast(null as bigint) as ls, cast(null as bigint) as le from b union all "
+            "select b.doc_id, b.idx, e.s, e.pos, b.idx, case when e.s = 1 then 'figure' else 'table' end, case when e.s = 1 then label || ': [Extracted from markdown]' else 'Table: Lines ' || ls || '-' || le end, e.page, e.page, label, ls, le from b join e on e.doc_id = b.doc_id and e.page = b.a), "
+            "k as (select *, row_number() over (partition by doc_id order by sec, s, pos) - 1 as id, row_number() over (partition by doc_id, s, pos order by sec) as nth from r) "
+            "select k.doc_id, k.id as idx, h.id as parent_idx, lpad(cast(k.id as varchar), cast(greatest(4, length(cast(k.id as varchar))) as int), '0') as node_id, k.node_type, k.title, k.start_index, k.end_index, "
+            "case when k.s = 1 then '{\"figure_number\":\"' || k.label || '\",\"caption\":\"' || k.label || '\",\"figure_type\":\"image\",\"source\":\"markdown\"}' when k.s = 2 then '{\"table_number\":\"Table ' || k.id || '\",\"caption\":\"Table at lines ' || k.ls || '-' || k.le || '\",\"source\":\"markdown\"}' end as metadata, "
+            "case when k.s > 0 then k.nth end as copy from k left join k h on h.doc_id = k.doc_id and h.sec = k.up and h.s = 0",
+            t=PAGED, l=LINES,
+        ),
+    ),
+    "md_line_texts": (
+        lambda s, d: markdown.range_lines(markdown.line_ranges(of(s, d, LINES)), of(s, d, LINES)).select("doc_id", "idx", "line_start", "line_end", "token_count", F.md5("text").alias("text")),
+        oracle(
+            ", h as (select doc_id, line_num as idx, length(regexp_extract(line, '^(#+)', 1)) as level from l where regexp_matches(line, '^#{1,6}\\s+.+$')), "
+            "r as (select *, coalesce((select min(g.idx) from h g where g.doc_id = h.doc_id and g.idx > h.idx and g.level <= h.level) - 1, (select max(line_num) from l where l.doc_id = h.doc_id)) as stop from h) "
+            "select r.doc_id, r.idx, r.idx as line_start, r.stop as line_end, cast(floor(length(string_agg(line, chr(10) order by line_num)) / 4) as int) as token_count, md5(string_agg(line, chr(10) order by line_num)) as text from r join l on l.doc_id = r.doc_id and l.line_num between r.idx and r.stop group by r.doc_id, r.idx, r.stop",
+            l=LINES,
+        ),
+    ),
+    "md_page_texts": (
+        lambda s, d: markdown.page_texts(of(s, d, TREE).drop("text"), of(s, d, PAGES)).select("doc_id", "idx", "token_count", F.md5("text").alias("text")),
+        oracle("select t.doc_id, t.idx, cast(floor(length(coalesce(string_agg(p.text, chr(10) order by page_no), '')) / 4) as int) as token_count, md5(coalesce(string_agg(p.text, chr(10) order by page_no), '')) as text from t left join p on p.doc_id = t.doc_id and p.page_no between t.start_index and t.end_index group by t.doc_id, t.idx", t=TREE, p=PAGES),
+    ),
+    "toc_continued": (
+        lambda s, d: toc.continued(refine.headings(of(s, d, LONG)), P.grouped(of(s, d, LONG), 2000)).select("doc_id", "list_index", "structure", "title", "physical_index"),
+        oracle(
+            ", l as (select doc_id, page_no, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as ln from p), "
+            "h as (select doc_id, page_no, length(regexp_extract(line, '^(#+)', 1)) as rank, trim(regexp_extract(line, '^#+\\s+(.+)$', 1)) as title, row_number() over (partition by doc_id order by page_no, ln) - 1 as k from l where regexp_matches(line, '^#{1,6}\\s+.+$')), "
+            "u as (select h.*, (select max(g.k) from h g where g.doc_id = h.doc_id and g.k < h.k and g.rank < h.rank) as up from h), n as (select *, row_number() over (partition by doc_id, up, rank order by k) as n from u), "
+            "c as (select doc_id, k, cast(n as varchar) as code, page_no, title from n where up is null union all select n.doc_id, n.k, c.code || '.' || n.n, n.page_no, n.title from n join c on c.doc_id = n.doc_id and c.k = n.up) select doc_id, k as list_index, code as structure, title, page_no as physical_index from c",
+            p=LONG,
+        ),
+    ),
+    "toc_in_order": (
+        lambda s, d: toc.filled_in_order(of(s, d, TOC).withColumn("title", F.left("title", F.lit(4))), of(s, d, PAGES)),
+        oracle(
+            ", q as (select doc_id, page_no, replace(regexp_replace(lower(text), '\\s+', '', 'g'), ' ', '') as text from p), i as (select doc_id, list_index, regexp_replace(lower(left(title, 4)), '\\s+', '', 'g') as t, row_number() over (partition by doc_id order by list_index) as k from c), "
+            "r as (select doc_id, 0 as k, 0 as last, cast(null as int) as page, cast(null as int) as list_index from (select distinct doc_id from i) z union all "
+            "select doc_id, k, coalesce(page, last), page, list_index from (select i.doc_id, i.k, r.last, i.list_index, (select min(q.page_no) from q where q.doc_id = i.doc_id and q.page_no >= r.last and i.t <> '' and contains(q.text, i.t)) as page from r join i on i.doc_id = r.doc_id and i.k = r.k + 1) w) select doc_id, list_index, page as physical_index from r where k > 0",
+            p=PAGES, c=TOC,
+        ),
+    ),
+    "hybrid_nodes": (
+        lambda s, d: _hybrid(s, d).withColumn("text", F.md5("text")),
+        oracle(
+            f", a as (select *, {_TITLE} as key from t), b as (select *, {_TITLE} as key from m), x as (select a.doc_id, a.idx, b.idx as markdown_idx, b.text as md from a join b on b.doc_id = a.doc_id and b.key = a.key), "
+            "u as (select b.*, (select max(c.idx) from b c where c.doc_id = b.doc_id and c.idx < b.idx and c.level < b.level) as up from b) "
+            "select a.doc_id, a.idx, x.markdown_idx, (select max(c.idx) from a c where c.doc_id = a.doc_id and c.idx < a.idx and c.level < a.level) as parent_idx, cast(null as bigint) as after_idx, case when x.idx is null then 'pages' else 'both' end as source, a.title, a.start_index, a.end_index, md5(case when coalesce(x.md, '') <> '' then x.md else a.text end) as text from a left join x on x.doc_id = a.doc_id and x.idx = a.idx "
+            "union all select u.doc_id, null, u.idx, y.idx, (select max(x.idx) from x where x.doc_id = u.doc_id and x.markdown_idx < u.idx), 'markdown', u.title, null, null, md5(u.text) from u left join x y on y.doc_id = u.doc_id and y.markdown_idx = u.up where not exists (select 1 from x where x.doc_id = u.doc_id and x.markdown_idx = u.idx)",
+            t=f"select doc_id, idx, level, title, start_index, end_index, text from ({TREE}) t where level < 3", m=MARKED,
+        ),
+    ),
+    "page_figures": (
+        lambda s, d: G.captioned_figures(of(s, d, BARRED)),
+        oracle(
+            ", f as (select doc_id, page_no, regexp_extract_all(text, '(?i)(?:^|\\n)\\s*(fig(?:ure)?\\.?\\s*\\d+[a-z]?)\\s*[:.]\\s*([^\\n]+(?:\\n[^A-Za-z\\n][^\\n]*)*)', 1) as n, regexp_extract_all(text, '(?i)(?:^|\\n)\\s*(fig(?:ure)?\\.?\\s*\\d+[a-z]?)\\s*[:.]\\s*([^\\n]+(?:\\n[^A-Za-z\\n][^\\n]*)*)', 2) as c from b), "
+            "g as (select doc_id, page_no, generate_subscripts(n, 1) as i, trim(unnest(n)) as number, trim(regexp_replace(unnest(c), '\\s+', ' ', 'g')) as caption from f), k as (select doc_id, page_no, number, min(i) as i, arg_min(caption, i) as caption from g where number <> '' and caption <> '' group by all) "
+            "select doc_id, page_no, row_number() over (partition by doc_id, page_no order by i) - 1 as pos, number, caption from k",
+            b=BARRED,
+        ),
+    ),
+    "page_tables": (
+        lambda s, d: G.page_tables(of(s, d, BARRED)),
         oracle(
-            f", {_PARENT}, q as (select p.*, coalesce(p.page, a.page, b.page, 1) as start_page from p left join p a on a.doc_id = p.doc_id and a.idx = p.parent_idx left join p b on b.doc_id = a.doc_id and b.idx = a.parent_idx), "
-            "w as (select q.*, (select min(n.idx) from q n where n.doc_id = q.doc_id and n.idx > q.idx and n.parent_idx is not distinct from q.parent_idx) as next_idx, (select max(k.idx) from q k where k.doc_id = q.doc_id and k.parent_idx = q.idx) as last_idx from q), "
-            "o as (select w.*, case when next_idx is null then start_page else coalesce((select n.page from q n where n.doc_id = w.doc_id and n.idx = w.next_idx), start_page + 1) - 1 end as own from w) "
-            "select o.doc_id, o.idx, o.start_page, coalesce(b.own, a.own, o.own) as end_page from o left join o a on a.doc_id = o.doc_id and a.idx = o.last_idx left join o b on b.doc_id = a.doc_id and b.idx = a.last_idx",
-            t=PAGED,
+            ", a as (select doc_id, page_no, generate_subscripts(n, 1) as i, 'Table ' || unnest(n) as number, trim(unnest(c)) as caption from (select doc_id, page_no, regexp_extract_all(text, '(?i)(?:table|tab\\.)\\s*(\\d+)\\s*[:.]\\s*([^\\n]+)', 1) as n, regexp_extract_all(text, '(?i)(?:table|tab\\.)\\s*(\\d+)\\s*[:.]\\s*([^\\n]+)', 2) as c from b) z), "
+            "k as (select doc_id, page_no, number, min(i) as i, arg_min(caption, i) as caption from a group by all), t as (select doc_id, page_no, row_number() over (partition by doc_id, page_no order by i) - 1 as pos, number, caption from k), "
+            "x as (select doc_id, page_no, unnest([0, 1]) as pos, unnest(['| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |', '| c |']) as body, unnest(['a, b', 'c']) as head from b where page_no % 2 = 0) "
+            "select coalesce(t.doc_id, x.doc_id) as doc_id, coalesce(t.page_no, x.page_no) as page_no, coalesce(t.pos, x.pos) as pos, coalesce(number, 'Table (Page ' || x.page_no || ', ' || (x.pos + 1) || ')') as number, coalesce(caption, head) as caption, body from t full join x on t.doc_id = x.doc_id and t.page_no = x.page_no and t.pos = x.pos",
+            b=BARRED,
         ),
     ),
 }
