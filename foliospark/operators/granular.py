@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,20 @@ def captioned_figures(pages: DataFrame, patterns: tuple[str, ...] = FIGURE_CAPTI
     return first.select("doc_id", "page_no", order.alias("pos"), "number", "caption")
 
 
+def embedded_or_detected(images: DataFrame, pages: DataFrame, detect: Callable[[DataFrame], DataFrame] = captioned_figures) -> DataFrame:
+    """(doc_id, page_no, pos, number, caption, embedded): a document's embedded images as its figures; detect is asked only for documents without one.
+
+    images: doc_id, page_no and any other columns; they are numbered within the document and captioned by the caption of that place on their page, if any.
+    """
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", *(c for c in images.columns if c not in ("doc_id", "page_no") and images.schema[c].dataType.typeName() not in ("map", "variant"))))
+    own = images.withColumn("nth_", order)
+    own = own.select("doc_id", "page_no", (F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("nth_")) - 1).alias("pos"), F.concat(F.lit("Figure "), F.col("nth_").cast("string")).alias("own_"))
+    told = captioned_figures(pages.join(own.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_semi"))
+    own = own.join(told, ["doc_id", "page_no", "pos"], "left").select("doc_id", "page_no", "pos", F.coalesce("number", "own_").alias("number"), F.coalesce("caption", F.lit("")).alias("caption"), F.lit(True).alias("embedded"))
+    rest = detect(pages.join(images.select("doc_id").distinct(), "doc_id", "left_anti")).withColumn("embedded", F.lit(False))
+    return own.unionByName(rest)
+
+
 def page_tables(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, pos, number, caption, body): a page's table captions together with its pipe tables.
 

@@ -13,6 +13,7 @@ from ..durable import settled
 from ..functions.text import count_tokens, paragraphs
 from ..operators import folds, granular, hybrid, markdown, nodes as node_ops, pages as page_ops, refine, search, segments, toc, tree
 from ..sources import readers
+from .metrics import StageLog
 
 
 def markdown_tree(docs: DataFrame, least_tokens: int | None = None, options: dict | Config | None = None) -> DataFrame:
@@ -78,38 +79,43 @@ def page_headings(pages: DataFrame, max_tokens: int = 20_000) -> DataFrame:
 UNITS, SECTIONS, ELEMENTS, KEYWORDS = range(4)
 
 
-def build_tree(pages: DataFrame, options: dict | Config | None = None) -> DataFrame:
+def build_tree(pages: DataFrame, options: dict | Config | None = None, images: DataFrame | None = None, log: StageLog | None = None) -> DataFrame:
     """Nodes of paged documents: contents, preface, section bounds, parents, large sections divided again, granular units by the granularity,
     figures and tables inserted, children by page, pre-order ids, text, summaries, description.
 
     Sections over both limits (max_page_num_each_node, max_token_num_each_node) are divided by the headings in their own pages, which become their
     first children. Units of a section come before its own children, keywords after; with figures or tables detected all children are ordered by page.
+    images (doc_id, page_no, ...): embedded images; documents that have some take them for figures instead of captions. log watches the nodes after
+    each granular step, so that counts cost no job.
     """
     config = load(options)
+    watch = log.watch if log else lambda stage, df, before=None: df
     items = toc.with_preface(settled(contents(pages, config)))
     bounded = toc.section_bounds(toc.appears(items, pages).drop("found"), pages)
     out = tree.with_code_parent(bounded.withColumnRenamed("list_index", "idx")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("parent_idx").cast("long").alias("parent_idx"), "structure", "title", "start_index", "end_index")
     out, divided = refine.divided(settled(out), pages, config.max_page_num_each_node, config.max_token_num_each_node)
     divided = divided.withColumn("ord_", F.col("ord") - 10**12).drop("ord", "round")  # before what the section has by the contents
     out = out.withColumn("ord_", F.col("idx")).unionByName(divided, allowMissingColumns=True)
-    out = settled(page_ops.range_text(out, pages).withColumn("node_type", F.lit("section")).withColumn("kind_", F.lit(SECTIONS)))
-    sections = out
+    out = page_ops.range_text(out, pages).withColumn("node_type", F.lit("section")).withColumn("kind_", F.lit(SECTIONS))
+    sections = out = settled(watch("sections", out))
     if config.enable_semantic_subdivision:
         levels = []
         for depth in range(1, min(config.max_depth, 2) + 1):  # sections, then their units
             levels.append(settled(_numbered(semantic_units(levels[-1] if levels else sections, pages, config), depth, UNITS)))
             out = out.unionByName(levels[-1], allowMissingColumns=True)
+        if levels:
+            out = settled(watch("units", out, "sections"))
         if config.max_depth > 2:  # of the deepest units
             units = tree.union_all(levels)
             units = settled(units.join(units.select("doc_id", F.col("parent_idx").alias("idx")).distinct(), ["doc_id", "idx"], "left_anti"))
             told = granular.keyword_nodes(reasoner.keywords(units), units)
             kids = told.select("doc_id", "parent_idx", F.col("ord").cast("long").alias("ord_"), "title", "start_index", "end_index", "text", "summary", "node_type")
-            out = out.unionByName(_numbered(kids, 3, KEYWORDS), allowMissingColumns=True)
+            out = settled(watch("keywords", out.unionByName(_numbered(kids, 3, KEYWORDS), allowMissingColumns=True), "units"))
     detected = config.enable_figure_detection or config.enable_table_detection
     if detected:
-        out = out.unionByName(_numbered(element_children(pages, sections, config), 4, ELEMENTS), allowMissingColumns=True)
+        out = out.unionByName(_numbered(element_children(pages, sections, config, images), 4, ELEMENTS), allowMissingColumns=True)
     by_page = [F.when(F.col("parent_idx").isNull(), F.lit(0)).otherwise(F.col("start_index")).asc_nulls_last()] if detected else []
-    out = settled(tree.renumbered(settled(out), *by_page, "kind_", "ord_").drop("kind_", "ord_"))
+    out = settled(tree.renumbered(settled(watch("nodes", out, "sections")), *by_page, "kind_", "ord_").drop("kind_", "ord_"))
     if config.if_add_node_summary:
         have = out if "summary" in out.columns else out.withColumn("summary", F.lit(None).cast("string"))
         due = F.col("needed") if config.summary_mode == "smart" else (F.coalesce("summary", F.lit("")) == "") & (F.col("text") != "")
@@ -128,11 +134,12 @@ def _numbered(nodes: DataFrame, family: int, kind: int) -> DataFrame:
     return nodes.withColumn("idx", F.lit(family * 10**15).cast("long") + at).withColumn("kind_", F.lit(kind))
 
 
-def elements_of(pages: DataFrame, config: Config) -> DataFrame:
+def elements_of(pages: DataFrame, config: Config, images: DataFrame | None = None) -> DataFrame:
     """(doc_id, element, page_no, kind, number, caption, place): all captioned figures, then all captioned or drawn tables, of every page."""
     found = []
     if config.enable_figure_detection:
-        found.append(granular.captioned_figures(pages).withColumn("kind", F.lit("figure")))
+        figures = granular.captioned_figures(pages) if images is None else granular.embedded_or_detected(images, pages).drop("embedded")
+        found.append(figures.withColumn("kind", F.lit("figure")))
     if config.enable_table_detection:
         found.append(granular.page_tables(pages).drop("body").withColumn("kind", F.lit("table")))
     order = F.row_number().over(tree.Window.partitionBy("doc_id").orderBy("kind", "page_no", "pos"))
@@ -144,9 +151,9 @@ def elements_of(pages: DataFrame, config: Config) -> DataFrame:
     return rows.select("doc_id", order.alias("element"), "page_no", "kind", "number", "caption", place.alias("place"))
 
 
-def element_children(pages: DataFrame, sections: DataFrame, config: Config) -> DataFrame:
+def element_children(pages: DataFrame, sections: DataFrame, config: Config, images: DataFrame | None = None) -> DataFrame:
     """Figures and tables as children of the smallest section that holds their page; roots where none does."""
-    elements = settled(elements_of(pages, config).select("*", F.col("page_no").alias("start_index"), F.col("page_no").alias("end_index")))
+    elements = settled(elements_of(pages, config, images).select("*", F.col("page_no").alias("start_index"), F.col("page_no").alias("end_index")))
     parents = granular.inserted(elements.select("doc_id", "element", "start_index", "end_index"), sections).select("doc_id", "element", "parent_idx")
     told = granular.element_context(elements.drop("start_index", "end_index"), pages).join(parents, ["doc_id", "element"])
     summary = reasoner.element_summary(F.col("number"), F.col("caption"), F.col("kind"))
