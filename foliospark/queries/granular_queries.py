@@ -20,6 +20,8 @@ CAPTIONED = f"select doc_id, page_no, concat(case when page_no % 3 = 1 then conc
 HEADED = f"select doc_id, page_no, concat('# Section ', cast(page_no as string), chr(10), text) as text, token_count from ({PAGES}) p"
 #: Pages with one heading each, their text on one line that is none.
 PLAIN = f"select doc_id, page_no, concat('# Section ', cast(page_no as string), chr(10), 'text: ', replace(text, chr(10), ' ')) as text, token_count from ({PAGES}) p"
+#: Such pages with a figure and a table each.
+DRAWN = f"select doc_id, page_no, concat('# Section ', cast(page_no as string), chr(10), 'Figure ', cast(page_no as string), ': Curve of ', cast(doc_id as string), chr(10), 'Table ', cast(page_no as string), ': Values', chr(10), 'text: ', replace(text, chr(10), ' ')) as text, token_count from ({PAGES}) p"
 #: Semantic units of sections of five paragraphs, overlapping and out of range.
 UNITS = "select cast(floor(event_id / 10) as int) as doc_id, cast(event_id as int) as pos, cast(event_id % 7 - 1 as int) as start_paragraph, cast(event_id % 7 - 1 + user_id % 4 as int) as end_paragraph, cast(1 + event_id % 3 as int) as end_page, concat('u', cast(event_id as string)) as title, event_type as summary from {events}"
 #: Elements on pages of the trees' ranges.
@@ -172,4 +174,16 @@ FOUND = {
             p=PLAIN,
         ),
     ),
+    "page_tree_elements": (
+        lambda s, d: pipelines.build_tree(of(s, d, DRAWN), {"if_add_node_summary": False}).select("doc_id", "idx", "parent_idx", "node_id", "node_type", "title", "start_index", "end_index"),
+        oracle(
+            # section p reaches to page p + 1, so page p's elements stand in the section before it, or in the last one, which has one page
+            ", n as (select doc_id, max(page_no) as n from p group by doc_id), e as (select doc_id, page_no, 0 as k, case when page_no = n then n else greatest(page_no - 1, 1) end as sec, 'figure' as node_type, 'Figure ' || page_no || ': Curve of ' || doc_id as title from p join n using (doc_id) union all "
+            "select doc_id, page_no, 1, case when page_no = n then n else greatest(page_no - 1, 1) end, 'table', 'Table ' || page_no || ': Values' from p join n using (doc_id)), "
+            "r as (select doc_id, page_no as sec, 0 as page, -1 as k, 'section' as node_type, 'Section ' || page_no as title, page_no as a, least(page_no + 1, n) as z from p join n using (doc_id) union all select doc_id, sec, page_no, k, node_type, title, page_no, page_no from e), "
+            "i as (select *, row_number() over (partition by doc_id order by sec, page, k) - 1 as idx from r) "
+            "select i.doc_id, i.idx, case when i.k >= 0 then h.idx end as parent_idx, lpad(cast(i.idx as varchar), 4, '0') as node_id, i.node_type, i.title, i.a as start_index, i.z as end_index from i join i h on h.doc_id = i.doc_id and h.sec = i.sec and h.k = -1",
+            p=DRAWN,
+        ),
+    ),
 }

@@ -50,6 +50,29 @@ _LISTED = "^\\s*((?:\\d+\\.)*\\d+)?\\.?\\s*(.+?)\\s*(?::|\\s{2,}|\\s)\\s*(\\d+)\
 _LEADERS = "regexp_replace(regexp_replace(text, '\\.{5,}', ': ', 'g'), '(?:\\. ){5,}\\.?', ': ', 'g')"
 
 
+_OF_MARKDOWN = r"""
+, l as (select doc_id, n_pages as n, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i, len(string_split(text, chr(10))) as size from m),
+k as (select *, try_cast(nullif(regexp_extract(line, '(?i)^<!--\s*Page\s+(\d+)\s*-->', 1), '') as int) as mark from l),
+g as (select a.*, (select max(b.i) from k b where b.doc_id = a.doc_id and b.i <= a.i and b.mark is not null) as since from k a),
+s as (select g.doc_id, g.n, coalesce(since, 0) as since, coalesce((select b.mark from k b where b.doc_id = g.doc_id and b.i = g.since), 0) as page, string_agg(line, chr(10) order by i) as text from g where mark is null group by all),
+u as (select doc_id, n, page, arg_max(text, since) as text from s group by all),
+f as (select doc_id, n from u group by all having max(page) > 0 and count(*) >= 0.5 * n),
+a as (select f.doc_id, z.page, coalesce(u.text, '') as text from (select doc_id, n, unnest(generate_series(0, n - 1)) as page from f) z join f using (doc_id) left join u on u.doc_id = z.doc_id and u.page = z.page),
+e as (select doc_id, case when size // n = 0 then n - 1 else least((i - 1) // nullif(size // n, 0), n - 1) end as page, string_agg(line, chr(10) order by i) as text from l where doc_id not in (select doc_id from f) group by all)
+select doc_id, count(*) as pages, cast(sum(floor(length(text) / 4)) as bigint) as tokens from (select doc_id, page, text from a union all select doc_id, page, text from e) q group by doc_id
+"""
+_REPAIRED = f"""
+, {_APPEARS}, n as (select doc_id, count(*) as n from p group by doc_id),
+b as (select a.doc_id, a.list_index, a.title, coalesce((select arg_max(g.physical_index, g.list_index) from a g where g.doc_id = a.doc_id and g.list_index < a.list_index and g.hit), 0) as low,
+  coalesce((select arg_min(g.physical_index, g.list_index) from a g where g.doc_id = a.doc_id and g.list_index > a.list_index and g.hit), n.n) as high from a join n using (doc_id) where not hit),
+w as (select b.doc_id, b.list_index, min(p.page_no) as found from b join p on p.doc_id = b.doc_id and b.low <= b.high and p.page_no between greatest(b.low, 1) and greatest(b.high, 1) and contains({_NORM.format('p.text')}, {_NORM.format('b.title')}) group by all),
+r as (select a.doc_id, a.list_index, a.title, case when a.hit then a.physical_index else coalesce(w.found, a.physical_index) end as physical_index from a left join w using (doc_id, list_index)),
+v as (select r.*, coalesce(contains({_NORM.format('p.text')}, {_NORM.format('r.title')}), false) as hit from r left join p on p.doc_id = r.doc_id and p.page_no = r.physical_index where r.physical_index is not null),
+x as (select doc_id, count(*) as checked, avg(cast(hit as int)) as share, arg_max(physical_index, list_index) as last from v group by doc_id)
+select n.doc_id, coalesce(checked, 0) as checked, case when last is null or last < n.n / 2 then 0.0 else round(share, 6) end as accuracy from n left join x using (doc_id)
+"""
+
+
 def _ranges(name: str, **kw):
     return lambda s, d: P.range_text(of(s, d, RANGES), _pages(s, d), **kw).select("doc_id", "idx", "text")
 
@@ -85,7 +108,7 @@ FOUND = {
             m=MARKED,
         ),
     ),
-    "pages_of_markdown": (lambda s, d: P.markdown_pages(of(s, d, MARKED)).groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("token_count").alias("tokens")), None),
+    "pages_of_markdown": (lambda s, d: P.markdown_pages(of(s, d, MARKED)).groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("token_count").alias("tokens")), _o(_OF_MARKDOWN, m=MARKED)),
     "pages_of_nodes": (
         lambda s, d: P.pages_of_nodes(of(s, d, RANGES).withColumnRenamed("idx", "pos")),
         _o("select doc_id, g as page_no, min(idx) as pos from (select doc_id, idx, unnest(generate_series(start_index, end_index)) as g from r where start_index <= end_index) z group by all", r=RANGES),
@@ -145,7 +168,7 @@ FOUND = {
         lambda s, d: C.located(_toc(s, d).select("doc_id", "list_index", "title", F.lit(1).alias("low"), F.lit(8).alias("high")), _pages(s, d)),
         _o(f"select c.doc_id, c.list_index, min(p.page_no) as physical_index from c left join p on p.doc_id = c.doc_id and p.page_no between 1 and 8 and contains({_NORM.format('p.text')}, {_NORM.format('c.title')}) group by c.doc_id, c.list_index", c=TOC, p=PAGES),
     ),
-    "toc_repaired": (lambda s, d: C.accuracy(C.repaired(_toc(s, d).drop("appear_start"), _pages(s, d)), _pages(s, d)), None),
+    "toc_repaired": (lambda s, d: C.accuracy(C.repaired(_toc(s, d).drop("appear_start"), _pages(s, d)), _pages(s, d)), _o(_REPAIRED, c=TOC, p=PAGES)),
     "toc_page_run": (
         lambda s, d: C.toc_run(_pages(s, d).withColumn("yes", F.length("text") % 3 != 0), 3),
         _o("select p.doc_id, p.page_no from p join (select doc_id, min(page_no) as f from p where length(text) % 3 <> 0 and page_no <= 3 group by doc_id) f using (doc_id) where p.page_no >= f and not exists (select 1 from p q where q.doc_id = p.doc_id and q.page_no between f and p.page_no and length(q.text) % 3 = 0)", p=PAGES),

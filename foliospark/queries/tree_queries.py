@@ -48,10 +48,23 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _json_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Nested trees, as the number of nodes, their characters and the order of titles that the JSON holds."""
+    """Nested trees: the order of titles that the JSON holds, and the whole of it."""
     trees = T.nested_json(_full(spark, d), ["title", "start_index", "end_index"], 2)
     titles = F.regexp_extract_all("structure", F.lit('"title":"([^"]*)"'), F.lit(1))
-    return trees.select("doc_id", F.size(titles).alias("n"), F.md5(F.array_join(titles, "|")).alias("titles"))
+    return trees.select("doc_id", F.size(titles).alias("n"), F.md5(F.array_join(titles, "|")).alias("titles"), F.length("structure").alias("size"), F.md5("structure").alias("structure"))
+
+
+_OWN_JSON = """'{"title":"' || p.title || '","start_index":' || p.start_index || ',"end_index":' || p.end_index"""
+
+
+def _nested(level: int, below: str | None) -> str:
+    if not below:
+        return f"j{level} as (select p.doc_id, p.idx, p.parent_idx, {_OWN_JSON} || '}}' as j from p where level = {level})"
+    return f"""j{level} as (select p.doc_id, p.idx, p.parent_idx, {_OWN_JSON} || coalesce(',"nodes":[' || k.js || ']', '') || '}}' as j from p left join (select doc_id, parent_idx, string_agg(j, ',' order by idx) as js from {below} group by all) k on k.doc_id = p.doc_id and k.parent_idx = p.idx where level = {level})"""
+
+
+_NESTED = f"{_PARENT}, {_nested(3, None)}, {_nested(2, 'j3')}, {_nested(1, 'j2')}"
+_ICON = "case t.node_type " + " ".join(f"when '{k}' then '{v}'" for k, v in writers.ICONS.items()) + f" else '{writers.ICONS['section']}' end"
 
 
 FOUND = {
@@ -117,7 +130,7 @@ FOUND = {
     ),
     "tree_nested_json": (
         _json_rows,
-        _sql("select doc_id, count(*) as n, md5(string_agg(title, '|' order by idx)) as titles from t group by doc_id"),
+        _sql("select t.doc_id, n, titles, length('[' || j || ']') as size, md5('[' || j || ']') as structure from (select doc_id, count(*) as n, md5(string_agg(title, '|' order by idx)) as titles from t group by doc_id) t join (select doc_id, string_agg(j, ',' order by idx) as j from j1 group by doc_id) q using (doc_id)", _NESTED),
     ),
     "tree_outline": (lambda s, d: writers.outline(_full(s, d)), _sql("select w.doc_id, w.idx, repeat('  ', depth) || title as line from w join t using (doc_id, idx)", _PATHS)),
     "tree_outline_pages": (
@@ -125,9 +138,9 @@ FOUND = {
         _sql("select w.doc_id, w.idx, repeat('  ', depth) || '├─ ' || title || ' (' || lpad(cast(w.idx - 1 as varchar), 4, '0') || ', p.' || cast(start_index as varchar) || ')' as line from w join t using (doc_id, idx) where depth <= 1", _PATHS),
     ),
     "tree_sidebar": (
-        lambda s, d: writers.sidebar(T.sequential_ids(_full(s, d))).select("doc_id", "idx", F.length("fragment").alias("size"), F.endswith("fragment", F.lit("<ul>")).alias("opens")),
+        lambda s, d: writers.sidebar(T.sequential_ids(_full(s, d))),
         _sql(
-            "select doc_id, idx, 15 + length(lpad(cast(idx - 1 as varchar), 4, '0')) + 2 + length(title) + case when nd > depth then 4 else 5 + 10 * (depth - nd) end as size, nd > depth as opens from (select w.doc_id, w.idx, depth, title, coalesce(lead(depth) over (partition by w.doc_id order by w.idx), 0) as nd from w join t using (doc_id, idx)) z",
+            f"select doc_id, idx, '<li data-id=\"' || lpad(cast(idx - 1 as varchar), 4, '0') || '\">' || icon || ' ' || title || case when nd > depth then '<ul>' else '</li>' || repeat('</ul></li>', cast(depth - nd as int)) end as fragment from (select w.doc_id, w.idx, depth, title, {_ICON} as icon, coalesce(lead(depth) over (partition by w.doc_id order by w.idx), 0) as nd from w join t using (doc_id, idx)) z",
             _PATHS,
         ),
     ),
