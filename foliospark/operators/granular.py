@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..reasoner import figure_type
 from ..functions.text import collapse, ordered_join, paragraphs, shortened, strip
 from .tree import ascended
 
@@ -241,7 +242,7 @@ def element_nodes(elements: DataFrame) -> DataFrame:
     title = F.concat("number", F.lit(": "), F.when(F.length("caption") > 50, F.concat(F.left("caption", F.lit(50)), F.lit("..."))).otherwise(F.col("caption")))
     return elements.select(
         *(c for c in ("element", "parent_idx", "summary") if c in elements.columns), "doc_id", title.alias("title"), F.col("page_no").alias("start_index"), F.col("page_no").alias("end_index"), F.col("kind").alias("node_type"),
-        F.concat("caption", F.lit("\n\n"), "context").alias("text"), F.to_json(F.struct("number", "caption")).alias("metadata"),
+        F.concat("caption", F.lit("\n\n"), "context").alias("text"), F.to_json(F.struct("number", "caption", F.when(F.col("kind") == "figure", figure_type(F.col("caption"))).alias("figure_type"))).alias("metadata"),
     )
 
 

@@ -103,6 +103,33 @@ def bounds_of_bad(items: DataFrame, pages: DataFrame, start: int = 1) -> DataFra
     return out.select("doc_id", "list_index", F.coalesce("low_", F.lit(start - 1)).alias("low"), F.coalesce("high_", "last_").alias("high"))
 
 
+def bounds_of_missing(items: DataFrame) -> DataFrame:
+    """(doc_id, list_index, low, high) of items without physical_index: the nearest index before, else 0, and after, else -1, so that the range
+    of an item with nothing after it is empty."""
+    w = _order()
+    low = F.last("physical_index", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    high = F.last("physical_index", True).over(Window.partitionBy("doc_id").orderBy(F.desc("list_index")).rowsBetween(Window.unboundedPreceding, -1))
+    out = items.select("*", low.alias("low_"), high.alias("high_")).where("physical_index is null")
+    return out.select("doc_id", "list_index", F.coalesce("low_", F.lit(0)).alias("low"), F.coalesce("high_", F.lit(-1)).alias("high"))
+
+
+def missing_headings(items: DataFrame, headings: DataFrame) -> DataFrame:
+    """(doc_id, headings, missing, complete): how many numbered headings of the text a contents list lacks. headings as refine.headings() gives them."""
+    listed = items.select("doc_id", normalised(F.col("title")).alias("t_")).distinct().withColumn("in_", F.lit(True))
+    found = headings.where("structure is not null").withColumn("t_", normalised(F.col("title"))).join(listed, ["doc_id", "t_"], "left")
+    told = found.groupBy("doc_id").agg(F.count("*").alias("headings"), F.count_if(F.col("in_").isNull()).alias("missing"))
+    return told.withColumn("complete", F.col("missing") == 0)
+
+
+def parsed_share(pages: DataFrame) -> DataFrame:
+    """(doc_id, raw, parsed, complete): lines of contents pages that end in a number, and items parsed from them."""
+    lines = pages.select("doc_id", F.explode(F.split(dot_leaders(F.col("text")), "\n")).alias("line"))
+    raw = lines.groupBy("doc_id").agg(F.count_if(F.rlike("line", F.lit(r"\S.*\d+\s*$"))).alias("raw"))
+    parsed = toc_lines(pages).groupBy("doc_id").agg(F.count("*").alias("parsed"))
+    out = raw.join(parsed, "doc_id", "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
+    return out.withColumn("complete", F.col("raw") == F.col("parsed"))
+
+
 def located(items: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, list_index, physical_index): the first page in low..high whose text holds the title; null if none does."""
     spans = items.where("low <= high").select("doc_id", "list_index", normalised(F.col("title")).alias("t_"), F.explode(F.sequence(F.greatest("low", F.lit(1)), F.greatest("high", F.lit(1)))).alias("page_no"))

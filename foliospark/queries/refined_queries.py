@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import reasoner
 from ..functions import text as X
 from ..operators import folds, hybrid, markdown, refine, segments, toc
 from ..operators import granular as G
+from ..operators import nodes as N
 from ..operators import pages as P
 from ..operators import tree as T
+from ..sinks import writers
 from .granular_queries import _P, CAPTIONED
+from .page_queries import _LEADERS, _LISTED, PRINTED
 from .inputs import DOCS, LINES, PAGES, TOC, TREE, of, oracle
 
 #: Orders as the pages of sixteen long documents: volumes, chapters (every other one further down its page) and parts as headings.
@@ -99,6 +103,17 @@ MARKED = f"select doc_id, idx * 2 + k as idx, level, case when k = 1 then concat
 #: Pages with several captions and tables drawn with bars.
 BARRED = f"select doc_id, page_no, concat(text, chr(10), 'Figure 90: Another one', chr(10), case when page_no % 2 = 0 then concat('| a | b |', chr(10), '|---|---|', chr(10), '| 1 | 2 |', chr(10), 'between', chr(10), '| c |', chr(10)) else '' end, 'Table 8: Named') as text, token_count from ({CAPTIONED}) q"
 
+#: Pages with a numbered heading each.
+CODED = f"select doc_id, page_no, concat(cast(page_no as string), '.', cast(page_no + 1 as string), ' Heading of page ', cast(page_no as string), chr(10), 'text') as text from ({PAGES}) p"
+#: Captions' words, one for each type and one for none.
+KINDS = ("SEM image", "Raman spectra", "Schematic view", "Histogram", "Curve", "Photo", "Thing")
+#: Documents with markers in other cases.
+CASED = "select doc_id, text_, concat('intro', chr(10), '<!-- Page 1 -->', chr(10), text_, chr(10), case when doc_id % 3 = 0 then '<!-- page 2 -->' else '<!-- Page 1 -->' end, chr(10), 'last') as text from (select doc_id, replace(coalesce(text, ''), '<!--', '') as text_ from {documents}) d"
+#: Names of the trees, some described.
+NAMED = "select n_nationkey as doc_id, concat('Tree of ', n_name) as doc_name, case when n_nationkey % 3 = 0 then concat('Region "', cast(n_regionkey as string), '"') when n_nationkey % 3 = 1 then '' end as doc_description from {nation}"
+#: Documents as nodes with units whose bounds hold or don't.
+PATCHED = f"select doc_id, 0 as idx, cast(null as int) as parent_idx, 'section' as node_type, 0 as start_paragraph, 0 as end_paragraph, text from ({DOCS}) d union all select doc_id, k, 0, 'semantic_unit', case k when 1 then 0 when 2 then 1 else 2 end, case k when 2 then 40 else 1 end, 'old' from ({DOCS}) d, (select 1 as k union all select 2 union all select 3) ks"
+
 
 def _mdocs(s: SparkSession, d: str) -> DataFrame:
     return of(s, d, LINES).groupBy("doc_id").agg(X.ordered_join(F.col("line_num"), F.col("line"), "\n").alias("text")).withColumn("n_pages", F.lit(9))
@@ -226,4 +241,53 @@ FOUND = {
             b=BARRED,
         ),
     ),
+    "tree_saved_calls": (
+        lambda s, d: N.saved_calls(_trees(s, d).withColumn("text", F.expr("repeat(text, cast(num % 20 as int))"))),
+        oracle(
+            f", {_PARENT}, z as (select p.*, repeat(text, cast(num % 20 as int)) as body, coalesce(summary, '') as su, exists (select 1 from p q where q.doc_id = p.doc_id and q.parent_idx = p.idx) as kids from p), "
+            "n as (select case when length(su) > 50 and node_type in ('semantic_unit', 'figure', 'table') then false when body = '' then false when node_type = 'semantic_unit' then su = '' and length(body) > 200 when node_type in ('figure', 'table') then false when kids then su = '' else su = '' and length(body) > 200 end as needed from z) "
+            "select count(*) as nodes, count(*) filter (needed) as needed, round(1 - avg(cast(coalesce(needed, false) as int)), 6) as saved from n",
+            t=TREE,
+        ),
+    ),
+    "toc_has_numbers": (
+        lambda s, d: toc.page_has_numbers(of(s, d, PRINTED).where("page_no = 1").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))),
+        oracle("select doc_id, avg(case when regexp_matches(line, '\\d+\\s*$') then 1 else 0 end) >= 0.5 as numbered from (select doc_id, unnest(string_split(text, chr(10))) as line from p where page_no = 1) z group by doc_id", p=PRINTED),
+    ),
+    "toc_parsed_share": (
+        lambda s, d: toc.parsed_share(of(s, d, PRINTED).where("page_no = 1")),
+        oracle(
+            f", l as (select doc_id, unnest(string_split({_LEADERS}, chr(10))) as line from p where page_no = 1) select doc_id, count(*) filter (regexp_matches(line, '\\S.*\\d+\\s*$')) as raw, count(*) filter (regexp_matches(line, '{_LISTED}')) as parsed, count(*) filter (regexp_matches(line, '\\S.*\\d+\\s*$')) = count(*) filter (regexp_matches(line, '{_LISTED}')) as complete from l group by doc_id",
+            p=PRINTED,
+        ),
+    ),
+    "toc_missing_headings": (
+        lambda s, d: toc.missing_headings(of(s, d, CODED).where("page_no % 3 <> 0").select("doc_id", F.concat(F.lit("Heading of PAGE "), F.col("page_no").cast("string")).alias("title")), refine.headings(of(s, d, CODED))),
+        oracle("select doc_id, count(*) as headings, count(*) filter (page_no % 3 = 0) as missing, count(*) filter (page_no % 3 = 0) = 0 as complete from p group by doc_id", p=CODED),
+    ),
+    "toc_bounds_of_missing": (
+        lambda s, d: toc.bounds_of_missing(of(s, d, TOC)),
+        oracle("select doc_id, list_index, coalesce((select arg_max(g.physical_index, g.list_index) from c g where g.doc_id = c.doc_id and g.list_index < c.list_index and g.physical_index is not null), 0) as low, coalesce((select arg_min(g.physical_index, g.list_index) from c g where g.doc_id = c.doc_id and g.list_index > c.list_index and g.physical_index is not null), -1) as high from c where physical_index is null", c=TOC),
+    ),
+    "figure_types": (
+        lambda s, d: of(s, d, TREE).select("doc_id", "idx", reasoner.figure_type(F.concat(F.element_at(F.array(*map(F.lit, KINDS)), (F.col("num") % 7 + 1).cast("int")), F.lit(" of "), "title")).alias("kind")),
+        oracle("select doc_id, idx, ['microscopy', 'spectrum', 'diagram', 'bar chart', 'line plot', 'photograph', 'image'][num % 7 + 1] as kind from t", t=TREE),
+    ),
+    "pages_split_markers_strict": (
+        lambda s, d: P.split_at_markers(of(s, d, CASED), ignore_case=False),
+        oracle("select doc_id, 0 as page, 'intro' as text from m union all select doc_id, 1, case when doc_id % 3 = 0 then text_ || chr(10) || '<!-- page 2 -->' || chr(10) || 'last' else 'last' end from m", m=CASED),
+    ),
+    "tree_envelopes": (
+        lambda s, d: writers.envelopes(T.depths(T.sibling_ids(_trees(s, d))), of(s, d, NAMED), ["title"], 2).select("doc_id", F.left("json", F.lit(60)).alias("head"), F.length("json").alias("size"), F.md5("json").alias("json")),
+        oracle(
+            f", {_PARENT}, j3 as (select doc_id, idx, parent_idx, '{{\"title\":\"' || title || '\"}}' as j from p where level = 3), j2 as (select p.doc_id, p.idx, p.parent_idx, '{{\"title\":\"' || title || '\"' || coalesce(',\"nodes\":[' || js || ']', '') || '}}' as j from p left join (select doc_id, parent_idx, string_agg(j, ',' order by idx) as js from j3 group by all) k on k.doc_id = p.doc_id and k.parent_idx = p.idx where level = 2), "
+            "j1 as (select p.doc_id, p.idx, '{\"title\":\"' || title || '\"' || coalesce(',\"nodes\":[' || js || ']', '') || '}' as j from p left join (select doc_id, parent_idx, string_agg(j, ',' order by idx) as js from j2 group by all) k on k.doc_id = p.doc_id and k.parent_idx = p.idx where level = 1), "
+            "e as (select doc_id, '{\"doc_name\":\"' || doc_name || '\"' || coalesce(',\"doc_description\":\"' || nullif(doc_description, '') || '\"', '') || ',\"structure\":[' || string_agg(j, ',' order by idx) || ']}' as json from j1 join n using (doc_id) group by doc_id, doc_name, doc_description) select doc_id, left(json, 60) as head, length(json) as size, md5(json) as json from e",
+            t=TREE, n=NAMED,
+        ),
+    ),
+    "units_patched": (
+        lambda s, d: writers.patched_units(of(s, d, PATCHED)).select("doc_id", "idx", F.md5("text").alias("text")),
+        oracle(f", p as (select doc_id, {_P} as ps from d), u as (select doc_id, idx, a, b, case when idx = 0 then null else 'old' end as old from (select doc_id, 0 as idx, 0 as a, 0 as b from d union all select doc_id, 1, 0, 1 from d union all select doc_id, 2, 1, 40 from d union all select doc_id, 3, 2, 1 from d) z) select u.doc_id, u.idx, md5(case when u.idx = 0 then d.text when a <= b and b < len(ps) then array_to_string(ps[a + 1:b + 1], chr(10) || chr(10)) else 'old' end) as text from u join p using (doc_id) join d using (doc_id)", d=DOCS),
+    ),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape, paragraphs, shortened
-from ..operators.tree import nested_json
+from ..operators.tree import duplicate_texts, nested_json
 
 #: Node types and the marks that lists show for them.
 ICONS = {"section": "§", "semantic_unit": "¶", "figure": "▣", "table": "▦", "keyword": "#"}
@@ -18,10 +18,10 @@ ICONS = {"section": "§", "semantic_unit": "¶", "figure": "▣", "table": "▦"
 def envelopes(nodes: DataFrame, docs: DataFrame, fields: list[str], max_depth: int | None = None) -> DataFrame:
     """(doc_id, json): name, structure and, where there is one, the description of each document."""
     trees = nested_json(nodes, fields, max_depth)
-    told = F.when(F.coalesce("doc_description", F.lit("")) != "", F.concat(F.lit('"doc_description":'), F.to_json(F.array("doc_description")), F.lit(","))).otherwise("")
-    name = F.regexp_replace(F.to_json(F.array("doc_name")), r"^\[|\]$", "")
-    told = F.regexp_replace(told, r'^"doc_description":\[(.*)\],$', '"doc_description":$1,')
-    return docs.join(trees, "doc_id").select("doc_id", F.concat(F.lit('{"doc_name":'), name, F.lit(","), told, F.lit('"structure":'), "structure", F.lit("}")).alias("json"))
+    told = F.nullif("doc_description", F.lit("")) if "doc_description" in docs.columns else F.lit(None).cast("string")
+    head = F.to_json(F.struct("doc_name", told.alias("doc_description")))  # an absent description leaves no key
+    body = F.concat(F.expr("left(head_, length(head_) - 1)"), F.lit(',"structure":'), "structure", F.lit("}"))
+    return docs.withColumn("head_", head).join(trees, "doc_id").select("doc_id", body.alias("json"))
 
 
 def write_json(trees: DataFrame, path: str, granularity: str) -> None:
@@ -55,12 +55,21 @@ def preview(text: Column, n: int = 40) -> Column:
 
 
 def explorer(nodes: DataFrame, doc_id: object, limit: int = 5000) -> str:
-    """An HTML page of one document's tree; its nodes come to the driver, one document's only."""
-    rows = [r.asDict() for r in nodes.where(F.col("doc_id") == doc_id).orderBy("idx").select("idx", "depth", "title", "node_id", "start_index", "end_index", F.coalesce("node_type", F.lit("section")).alias("node_type"), F.left(F.coalesce("text", F.lit("")), F.lit(limit)).alias("text")).collect()]
-    items = "".join(f'<li style="margin-left:{r["depth"]}em" onclick="show({i})">{ICONS.get(r["node_type"], "")} {html.escape(r["title"] or "")}</li>' for i, r in enumerate(rows))
+    """An HTML page of one document's tree: the tree, a node's text (cut at limit) and its keywords, and a notice where a node's children all have one
+    text. Its nodes come to the driver, one document's only. Needs idx, parent_idx, depth, title, node_id, start_index, end_index, text."""
+    own = nodes.where(F.col("doc_id") == doc_id)
+    told = own.join(duplicate_texts(own).select("doc_id", F.col("parent_idx").alias("idx"), F.lit(True).alias("alike")), ["doc_id", "idx"], "left")
+    kind = F.coalesce("node_type", F.lit("section"))
+    rows = [r.asDict() for r in told.orderBy("idx").select("idx", "parent_idx", "depth", "title", "node_id", "start_index", "end_index", kind.alias("node_type"), F.left(F.coalesce("text", F.lit("")), F.lit(limit)).alias("text"), F.coalesce("alike", F.lit(False)).alias("alike")).collect()]
+    for r in rows:
+        r["keywords"] = [k["title"] for k in rows if k["node_type"] == "keyword" and k["parent_idx"] == r["idx"]]
+    items = "".join(f'<li style="margin-left:{r["depth"]}em" onclick="show({i})">{ICONS.get(r["node_type"], "")} {html.escape(r["title"] or "")}{" !" if r["alike"] else ""}</li>' for i, r in enumerate(rows))
     data = json.dumps(rows, ensure_ascii=False).replace("</", "<\\/")
-    script = f"const nodes={data};function show(i){{const n=nodes[i];document.getElementById('d').textContent=n.title+' (p.'+n.start_index+'-'+n.end_index+')\\n\\n'+n.text}}"
-    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(str(doc_id))}</title><ul>{items}</ul><pre id="d"></pre><script>{script}</script>'
+    script = (
+        f"const nodes={data};const put=(i,t)=>document.getElementById(i).textContent=t;"
+        "function show(i){const n=nodes[i];put('d',n.title+' (p.'+n.start_index+'-'+n.end_index+')\\n\\n'+n.text);put('k',n.keywords.join(', '));put('w',n.alike?'All children have the same text.':'')}"
+    )
+    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(str(doc_id))}</title><ul>{items}</ul><p id="w"></p><pre id="d"></pre><p id="k"></p><script>{script}</script>'
 
 
 def patched_units(nodes: DataFrame) -> DataFrame:
