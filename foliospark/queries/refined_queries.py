@@ -110,7 +110,7 @@ KINDS = ("SEM image", "Raman spectra", "Schematic view", "Histogram", "Curve", "
 #: Documents with markers in other cases.
 CASED = "select doc_id, text_, concat('intro', chr(10), '<!-- Page 1 -->', chr(10), text_, chr(10), case when doc_id % 3 = 0 then '<!-- page 2 -->' else '<!-- Page 1 -->' end, chr(10), 'last') as text from (select doc_id, replace(coalesce(text, ''), '<!--', '') as text_ from {documents}) d"
 #: Names of the trees, some described.
-NAMED = "select n_nationkey as doc_id, concat('Tree of ', n_name) as doc_name, case when n_nationkey % 3 = 0 then concat('Region "', cast(n_regionkey as string), '"') when n_nationkey % 3 = 1 then '' end as doc_description from {nation}"
+NAMED = "select n_nationkey as doc_id, concat('Tree of ', n_name) as doc_name, case when n_nationkey % 3 = 0 then concat('Region ', cast(n_regionkey as string)) when n_nationkey % 3 = 1 then '' end as doc_description from {nation}"
 #: Documents as nodes with units whose bounds hold or don't.
 PATCHED = f"select doc_id, 0 as idx, cast(null as int) as parent_idx, 'section' as node_type, 0 as start_paragraph, 0 as end_paragraph, text from ({DOCS}) d union all select doc_id, k, 0, 'semantic_unit', case k when 1 then 0 when 2 then 1 else 2 end, case k when 2 then 40 else 1 end, 'old' from ({DOCS}) d, (select 1 as k union all select 2 union all select 3) ks"
 
