@@ -8,7 +8,8 @@ sorts the concatenated lists, run by run, in place of a heap; it finds the same
 Routing, which loses no link: sets are compared within size bands. For a band the most shingles in which two linked
 sets differ are known, k, so of k + 1 + 2s parts of the hash space 2s + 1 at least hold the same shingles
 in both. Each document sends the hashes of its parts, without the s that say least (empty ones, or only frequent
-shingles). Documents that share a part form candidate groups; groups are cut into blocks of bounded size
+shingles), and with each hash its lowest one: documents that share that are linked where it is, and one of them stands for all elsewhere.
+Documents that share a part form candidate groups; groups are cut into blocks of bounded size
 and searched block by block. Where a group takes several blocks, leaders of the found components are searched
 first, and pairs of blocks only if the group still has more than one component, so the result is exact.
 
@@ -77,8 +78,8 @@ def parts(found: np.ndarray, band: int, num: int, den: int, weight: np.ndarray,
     return mix(total[sent] + mix((sent + band * 1_000_003).astype(np.uint64)))
 
 
-def scan_block(ids: np.ndarray, texts: list[bytes], n: int, num: int, den: int, spare: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """((id, size) of each row, exact links, candidate links, part hashes, their ids) of a block of documents."""
+def scan_block(ids: np.ndarray, texts: list[bytes], n: int, num: int, den: int, spare: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """((id, size) of each row, exact links, candidate links, part hashes, their ids and those ids' smallest hashes) of a block of documents."""
     sets = shingle_sets(texts, n)
     facts = list(zip(ids.tolist(), map(len, sets), strict=True))
     first: dict[tuple, int] = {}
@@ -109,21 +110,31 @@ def scan_block(ids: np.ndarray, texts: list[bytes], n: int, num: int, den: int,
                 hashes.append(parts(sets[i], b, num, den, weight, spare))
                 owner.append(i)
     if not hashes:
-        return facts, np.array(exact, dtype=np.int64).reshape(-1, 2), np.zeros((0, 2), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    who = ids[np.repeat(owner, [len(h) for h in hashes])]
-    key, who, near = meet(np.concatenate(hashes), who)
-    return facts, np.array(exact, dtype=np.int64).reshape(-1, 2), near, key, who
+        none = np.zeros(0, np.uint64)
+        return facts, np.array(exact, dtype=np.int64).reshape(-1, 2), np.zeros((0, 2), np.int64), none, np.zeros(0, np.int64), none
+    owner = np.repeat(owner, [len(h) for h in hashes])
+    every = np.concatenate(hashes)
+    smallest = np.full(len(sets), np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(smallest, owner, every)
+    key, who, low, near = meet(every, ids[owner], smallest[owner])
+    return facts, np.array(exact, dtype=np.int64).reshape(-1, 2), near, key, who, low
 
 
-def meet(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest id, and the distinct (id, smallest id) of others that have the key."""
+def meet(keys: np.ndarray, who: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their smallest id with its lowest key, and the distinct (id, smallest id) that connect the others.
+
+    low: the lowest key of each entry's document. Documents of one lowest key meet there, so at a higher key one of them stands for
+    all; at the lowest key itself each is linked. By induction over the keys in order, all documents of a key are connected.
+    """
     order = np.lexsort((who, keys))
-    keys, who = keys[order], who[order]
-    new = np.concatenate(([True], keys[1:] != keys[:-1]))
-    starts = np.flatnonzero(new)
-    least = np.repeat(who[starts], np.diff(np.append(starts, len(keys))))
-    pairs = np.stack([who, least], axis=1)[who != least]
-    return keys[starts], who[starts], np.unique(pairs, axis=0)
+    starts = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    first = order[starts]
+    least = np.repeat(who[first], np.diff(np.append(starts, len(keys))))
+    again = np.lexsort((who, low, keys))  # the keys stand where they stood in the first order
+    k, m, w = keys[again], low[again], who[again]
+    chosen = np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]))) | (k == m)
+    chosen &= w != least
+    return keys[first], who[first], low[first], np.unique(np.stack([w, least], axis=1)[chosen], axis=0)
 
 
 def search(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -203,7 +214,7 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
         for held in bounded(batches, BLOCK_WORDS * 6, lambda b: int(b["text"].str.len().sum())):
             block = pd.concat(held)
             texts = [t.encode("utf-8", "surrogatepass") for t in block["text"]]
-            facts, exact, near, keys, who = scan_block(block["id"].to_numpy(), texts, n, num, den, SPARE)
+            facts, exact, near, keys, who, low = scan_block(block["id"].to_numpy(), texts, n, num, den, SPARE)
             out = [(-1, np.array(facts, dtype="<i8").tobytes()), (-2, exact.astype("<i8").tobytes()), (-3, near.astype("<i8").tobytes())]
             bucket = (keys >> np.uint64(17)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -212,9 +223,9 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
                 chosen = order[bounds[b] : bounds[b + 1]]
                 if len(chosen):
                     chosen = chosen[np.argsort(who[chosen], kind="stable")]
-                    out.append((b, np.int64(len(chosen)).tobytes() + keys[chosen].tobytes() + np.diff(who[chosen], prepend=0).astype("<i8").tobytes()))
+                    out.append((b, np.int64(len(chosen)).tobytes() + keys[chosen].tobytes() + np.diff(who[chosen], prepend=0).astype("<i8").tobytes() + low[chosen].tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "payload"])
-            del held, block, texts, keys, who, out
+            del held, block, texts, keys, who, low, out
             release()
 
     def group(batch: pd.DataFrame) -> pd.DataFrame:
@@ -225,7 +236,8 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
             heads = [(int(np.frombuffer(p, "<i8", 1)[0]), p) for p in batch["payload"]]
             keys = np.concatenate([np.frombuffer(p, "<u8", k, 8) for k, p in heads])
             who = np.concatenate([np.cumsum(np.frombuffer(p, "<i8", k, 8 + 8 * k)) for k, p in heads])
-            kind, found = -3, meet(keys, who)[2]
+            low = np.concatenate([np.frombuffer(p, "<u8", k, 8 + 16 * k) for k, p in heads])
+            kind, found = -3, meet(keys, who, low)[3]
         return _rows(found).assign(kind=kind)
 
     sent = rows.where("id is not null and text is not null").mapInPandas(scan, "bucket int, payload binary")

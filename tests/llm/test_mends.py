@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from foliospark.llm import chat_format, embedding_dedup, secret_scan, substring_dedup
+from foliospark.llm import chat_format, embedding_dedup, ngram_join, secret_scan, substring_dedup
 
 
 def linked(rows):
@@ -92,3 +92,41 @@ def test_crowded_turns_are_split(spark):
     found = chat_format.reformat(turns).collect()
     assert sum(r["n_lines"] for r in found) == len(rows)
     assert {r["block"] for r in found if r["conv_id"] == 3} == {0, 1, 2, 3}
+
+
+def components(n, pairs):
+    part = list(range(n))
+
+    def root(a):
+        while part[a] != a:
+            a = part[a]
+        return a
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        part[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def test_documents_of_one_lowest_key_stand_for_each_other():
+    """Blocks, then buckets, connect what all keys together connect."""
+    rng = random.Random(1)
+    for _ in range(1500):
+        n, many = rng.randint(1, 14), rng.randint(1, 12)
+        docs = [rng.sample(range(many), rng.randint(1, min(many, 5))) for _ in range(n)]
+        at = [0, *sorted(rng.sample(range(n + 1), min(2, n))), n]
+        pairs, rows = [], []
+
+        def meet(entries):
+            keys, who, low = (np.array(c, dtype=kind) for c, kind in zip(zip(*entries), (np.uint64, np.int64, np.uint64)))
+            found = ngram_join.meet(keys, who, low)
+            pairs.extend(found[3].tolist())
+            return list(zip(*(c.tolist() for c in found[:3])))
+
+        for a, b in zip(at, at[1:]):
+            if a < b:
+                rows += meet([(k, i, min(docs[i])) for i in range(a, b) for k in docs[i]])
+        for bucket in range(3):
+            if mine := [r for r in rows if r[0] % 3 == bucket]:
+                meet(mine)
+        assert components(n, pairs) == components(n, [(i, next(j for j in range(n) if k in docs[j])) for i in range(n) for k in docs[i]])
