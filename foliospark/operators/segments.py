@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import paragraphs
 from .. import reasoner
+from ..durable import settled
 from .tree import ascended
 
 #: Paragraphs on each side of a gap, paragraphs of a section that can be divided, letters of a word that counts.
@@ -92,9 +93,11 @@ def semantic_type(section: Column, text: Column) -> Column:
     for kind, names in TYPES.items():
         if names:
             stems = [n.split("_")[0].rstrip("s")[:8] for n in names]
-            counted = F.array(*(F.struct(F.regexp_count(F.lower(text), F.lit(s)).alias("n"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, (n, s) in enumerate(zip(names, stems, strict=True))))
-            best = F.array_max(counted)
-            out = F.when(section == kind, F.when(best["n"] > 0, best["name"]).otherwise("general")).otherwise(out)
+            # counts decide before places: n * 100 - place is largest for the first of the most frequent
+            scores = F.array(*(F.regexp_count(text, F.lit(f"(?i){s}")) * 100 - i for i, s in enumerate(stems)))
+            best = F.array_max(scores)
+            name = F.when(best > 0, F.element_at(F.array(*map(F.lit, names)), F.array_position(scores, best).cast("int"))).otherwise("general")
+            out = F.when(section == kind, name).otherwise(out)
     return out
 
 
@@ -119,15 +122,16 @@ def unit_nodes(nodes: DataFrame, pages: DataFrame | None = None, side: int = SID
 
     Titles are the section's type and a number. Pages are those on which a unit's first and last paragraphs begin if pages are given, else the section's.
     """
-    rows = nodes.withColumn("p", paragraphs(F.col("text")))
+    rows = settled(nodes.withColumn("p", paragraphs(F.col("text"))))
     found = units(rows.select("doc_id", "idx", "p"), side, least)
     told = found.join(rows.select("doc_id", "idx", "title", F.col("text").alias("whole_"), "start_index", "end_index", "p"), ["doc_id", "idx"])
     text = F.array_join(F.slice("p", F.col("start_paragraph") + 1, F.col("end_paragraph") - F.col("start_paragraph") + 1), "\n\n")
     kind = reasoner.section_type(F.col("title"))
     first, last = (F.call_function("instr", F.col("whole_"), F.get("p", F.col(c))) - 1 for c in ("start_paragraph", "end_paragraph"))
-    told = told.select(
-        "doc_id", "idx", "unit", F.concat(kind, F.lit(" "), (F.col("unit") + 1).cast("string")).alias("title"), semantic_type(kind, text).alias("semantic_type"), text.alias("text"),
-        "start_paragraph", "end_paragraph", first.alias("first"), last.alias("last"), "start_index", "end_index",
+    told = told.select("doc_id", "idx", "unit", kind.alias("kind_"), text.alias("text"), "start_paragraph", "end_paragraph", first.alias("first"), last.alias("last"), "start_index", "end_index")
+    told = settled(told).select(
+        "doc_id", "idx", "unit", F.concat("kind_", F.lit(" "), (F.col("unit") + 1).cast("string")).alias("title"), semantic_type(F.col("kind_"), F.col("text")).alias("semantic_type"),
+        "text", "start_paragraph", "end_paragraph", "first", "last", "start_index", "end_index",
     )
     if pages is not None:
         told = unit_pages(told.drop("start_index", "end_index"), nodes, pages)

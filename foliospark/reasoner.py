@@ -65,11 +65,6 @@ def keywords(units: DataFrame, n: int = 5) -> DataFrame:
     return told.select("doc_id", "idx", context.alias("keywords"))
 
 
-def unit_groups(paras: Column, k: int = 3) -> Column:
-    """Semantic units of k paragraphs each, as (start, end) pairs from 0."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(paras) - 1) / k), F.lit(0)).cast("int")), lambda i: F.struct((i * k).alias("start"), F.least(i * k + (k - 1), F.size(paras) - 1).alias("end")))
-
-
 def ask(prompts: DataFrame, call: Callable[[list[str]], list[str]], retries: int = 3, wait: float = 1.0) -> DataFrame:
     """prompts with `response`: distinct prompts are asked once, in batches; one that fails after the retries is null."""
     keyed = prompts.withColumn("key_", F.sha2("prompt", 256))
