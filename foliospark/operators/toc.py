@@ -186,7 +186,8 @@ def continued(found: DataFrame, groups: DataFrame | None = None) -> DataFrame:
 def filled_in_order(items: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, list_index, physical_index): titles looked for from page to page, each from where the one before was found on; null if it isn't there.
 
-    A title that stands on many pages so takes its turn in the list. The pages that hold each title are found by a join; the fold goes over them.
+    A title that stands on many pages so takes its turn in the list. Which pages hold a title is told by comparing a document's titles with its pages, as
+    titles may stand anywhere in a text; only hits are kept, and the fold goes over them.
     """
     texts = pages.select("doc_id", F.col("page_no").cast("int").alias("page_no"), normalised(F.col("text")).alias("text_"))
     wanted = items.select("doc_id", "list_index", normalised(F.coalesce("title", F.lit(""))).alias("t_"))

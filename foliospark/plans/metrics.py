@@ -17,7 +17,7 @@ class StageLog:
     """Rows and given aggregates of every watched stage, taken while the stage is computed.
 
     before names the stage that a stage starts from; its count and the difference stand beside the stage's own. Metrics are there once an
-    action has computed the stage; table() must be called after it, and waits for nothing that never ran.
+    action has computed the stage: call table() when all watched stages are computed, as it waits for those that aren't.
     """
 
     def __init__(self, run: str | None = None):
