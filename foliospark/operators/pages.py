@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,27 +38,38 @@ def grouped(pages: DataFrame, max_tokens: int = 20_000, overlap: int = 1) -> Dat
     """(doc_id, grp, page_no): consecutive pages in groups under a budget; a group begins with the last pages of the one before.
 
     A document within the budget is one group. The others aim at groups of even size; this is a true fold over a document's
-    pages, done inside one expression.
+    pages in their order, whose state is what the open group holds and the last pages: pages stream by, and no document is held whole.
     """
-    w = F.array_sort(F.collect_list(F.struct("page_no", "token_count")))
-    docs = pages.groupBy("doc_id").agg(w.alias("p"), F.sum("token_count").alias("total"))
+    total = F.sum("token_count").over(Window.partitionBy("doc_id"))
+    rows = pages.select("doc_id", "page_no", "token_count", total.alias("total"))
     target = F.ceil((F.col("total") / F.ceil(F.col("total") / max_tokens) + max_tokens) / 2)
-    docs = docs.withColumn("target", F.when(F.col("total") <= max_tokens, F.col("total")).otherwise(target).cast("long"))
-    begin = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("grp"), F.array().cast("array<struct<grp:int,at:int>>").alias("out"))
-
-    def step(state: Column, at: Column) -> Column:
-        page = F.get(F.col("p"), at)
-        full = state["held"] + page["token_count"] > F.col("target")
-        back = F.greatest(at - overlap, F.lit(0))
-        grp = F.when(full, state["grp"] + 1).otherwise(state["grp"])
-        kept = F.when(at > back, F.transform(F.sequence(back, F.greatest(at - 1, back)), lambda i: F.struct(grp.alias("grp"), i.alias("at")))).otherwise(F.array().cast("array<struct<grp:int,at:int>>"))
-        again = F.aggregate(F.slice(F.col("p"), back + 1, at - back), F.lit(0).cast("long"), lambda s, x: s + x["token_count"])
-        held = F.when(full, again).otherwise(state["held"]) + page["token_count"]
-        added = F.concat(state["out"], F.when(full, kept).otherwise(F.array().cast("array<struct<grp:int,at:int>>")), F.array(F.struct(grp.alias("grp"), at.alias("at"))))
-        return F.struct(held.cast("long").alias("held"), grp.alias("grp"), added.alias("out"))
-
-    out = docs.select("doc_id", "p", F.explode(F.aggregate(F.sequence(F.lit(0), F.size("p") - 1), begin, step)["out"]).alias("x"))
-    return out.select("doc_id", F.col("x.grp").alias("grp"), F.get(F.col("p"), F.col("x.at"))["page_no"].alias("page_no"))
+    rows = rows.withColumn("total", F.when(F.col("total") <= max_tokens, F.col("total")).otherwise(target).cast("long"))
+    kinds = {f.name: f.dataType.simpleString() for f in pages.select("doc_id", "page_no").schema}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held, grp = object(), 0, 0
+        last: deque[tuple] = deque(maxlen=overlap)
+        for batch in batches:
+            docs, groups, numbers = [], [], []
+            for d, page, n, limit in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_no", "token_count", "total")), strict=True):
+                if d != doc:
+                    doc, held, grp = d, 0, 0
+                    last.clear()
+                n = math.nan if n is None else n  # nothing is over the budget with an unknown count
+                if limit is not None and held + n > limit:
+                    grp += 1
+                    held = sum(k for _, k in last)
+                    docs += [d] * len(last)
+                    groups += [grp] * len(last)
+                    numbers += [p for p, _ in last]
+                held += n
+                last.append((page, n))
+                docs.append(d)
+                groups.append(grp)
+                numbers.append(page)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field("doc_id").type), pa.array(groups, pa.int32()), pa.array(numbers, batch.schema.field("page_no").type)], names=["doc_id", "grp", "page_no"])
+
+    return rows.sortWithinPartitions("doc_id", "page_no", "token_count").mapInArrow(fold, f"doc_id {kinds['doc_id']}, grp int, page_no {kinds['page_no']}")
 
 
 def lines(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import settled
 from ..functions.text import dot_leaders, normalised
+from . import tree
 
 
 def _order():
@@ -157,30 +159,22 @@ def continued(found: DataFrame, groups: DataFrame | None = None) -> DataFrame:
 
     found: doc_id, page_no, at, rank, structure, title (refine.headings). groups: doc_id, grp, page_no (pages.grouped), whose overlapping pages are
     read in the first group that has them. A group goes on from the ranks and numbers that those before left open: a heading closes the open ones
-    of lower rank, and is numbered on where its own rank is open, or begins a level below. Documents with codes of their own keep them. The
-    fold's state is the open path; the plan is the same for any number of groups.
+    of lower rank, and is numbered on where its own rank is open, or begins a level below. Documents with codes of their own keep them. So a
+    heading stands below the nearest one before it of a higher rank, and its number is its place among those of its rank there; all that
+    is windows over a document's headings, and codes are joined along ancestors, whatever the number of headings or groups.
     """
     if groups is None:
         rows = found.withColumn("grp", F.lit(0))
     else:
         rows = found.join(groups.groupBy("doc_id", "page_no").agg(F.min("grp").alias("grp")), ["doc_id", "page_no"])
-    item = F.struct(F.col("grp").cast("int").alias("grp"), F.col("page_no").cast("int").alias("page"), F.col("at").cast("int").alias("at"), F.col("rank").cast("int").alias("rank"), F.col("structure").alias("code"), F.col("title").alias("title"))
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count("structure").alias("coded"))
-    path, told = "array<struct<rank:int,n:int>>", "array<string>"
-    begin = F.struct(F.array().cast(path).alias("open"), F.array().cast(told).alias("codes"))
-
-    def step(state: Column, x: Column) -> Column:
-        open_ = F.filter(state["open"], lambda o: o["rank"] <= x["rank"])
-        last = F.try_element_at(open_, F.lit(-1))
-        same = F.coalesce(last["rank"] == x["rank"], F.lit(False))
-        head = F.when(same, F.slice(open_, F.lit(1), F.size(open_) - 1)).otherwise(open_)
-        now = F.concat(head, F.array(F.struct(x["rank"].alias("rank"), F.when(same, last["n"] + 1).otherwise(1).alias("n")))).cast(path)
-        return F.struct(now.alias("open"), F.concat(state["codes"], F.array(F.array_join(F.transform(now, lambda o: o["n"].cast("string")), "."))).cast(told).alias("codes"))
-
-    done = docs.withColumn("codes", F.aggregate("items", begin, step)["codes"])
-    out = done.select("doc_id", "coded", F.posexplode(F.arrays_zip("items", "codes")).alias("list_index", "x"))
-    code = F.when(F.col("coded") > 0, F.col("x.items.code")).otherwise(F.col("x.codes"))
-    return out.select("doc_id", "list_index", F.col("x.items.grp").alias("grp"), code.alias("structure"), F.col("x.items.title").alias("title"), F.col("x.items.page").alias("physical_index"))
+    order = Window.partitionBy("doc_id").orderBy("grp", "page_no", "at", "rank", "structure", "title")
+    rows = rows.select("doc_id", (F.row_number().over(order) - 1).alias("idx"), F.col("grp").cast("int").alias("grp"), F.col("page_no").cast("int").alias("page_"), F.col("rank").cast("int").alias("level"), F.col("structure").alias("own_"), "title")
+    rows = settled(rows)
+    placed = settled(tree.with_level_parent(rows).withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id", "parent_idx", "level").orderBy("idx"))))
+    codes = tree.ascended(placed, {"code_": F.col("nth_").cast("string")}, lambda own, up: F.concat_ws(".", up, own))
+    coded = rows.where("own_ is not null").select("doc_id", F.lit(True).alias("coded_")).distinct()
+    out = placed.join(codes, ["doc_id", "idx"]).join(coded, "doc_id", "left")
+    return out.select("doc_id", F.col("idx").alias("list_index"), "grp", F.when(F.col("coded_"), F.col("own_")).otherwise(F.col("code_")).alias("structure"), "title", F.col("page_").alias("physical_index"))
 
 
 def filled_in_order(items: DataFrame, pages: DataFrame) -> DataFrame:
