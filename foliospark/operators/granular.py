@@ -211,13 +211,18 @@ def unit_text(units: DataFrame, sections: DataFrame) -> DataFrame:
 def parent_of(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """(…elements, parent_idx): the smallest node whose range and all its ancestors' hold the element's; of equal ones the first.
 
-    Ranges are exploded to pages for the join; `reach` is the part of a node's range that its ancestors share.
+    Ranges are exploded to pages for the join; `reach` is the part of a node's range that its ancestors share. Of the nodes that reach from a page
+    to the same end only the smallest can be a parent, and elements of one range have the same one: so distinct ranges meet, whose number is bounded
+    by the document's pages, and not every node with every element of a page.
     """
     spans = nodes.where("start_index <= end_index").select("doc_id", "idx", "lo", "hi", (F.col("end_index") - F.col("start_index") + 1).alias("size_"))
-    at = spans.where("lo <= hi").select("doc_id", F.col("idx").alias("node_"), "hi", "size_", F.explode(F.sequence("lo", "hi")).alias("start_index"))
-    hit = elements.join(at, ["doc_id", "start_index"]).where("end_index <= hi")
-    best = hit.groupBy("doc_id", "element").agg(F.min_by("node_", F.struct("size_", "node_")).alias("parent_idx"), F.min("size_").alias("parent_size"))
-    return elements.join(best, ["doc_id", "element"], "left")
+    spans = spans.where("lo <= hi").groupBy("doc_id", "lo", "hi").agg(F.min(F.struct("size_", F.col("idx").alias("node_"))).alias("n_"))
+    at = spans.select("doc_id", "hi", "n_", F.explode(F.sequence("lo", "hi")).alias("start_index")).groupBy("doc_id", "start_index", "hi").agg(F.min("n_").alias("n_"))
+    ranges = elements.select("doc_id", "start_index", "end_index").distinct()
+    best = ranges.join(at, ["doc_id", "start_index"]).where("end_index <= hi").groupBy("doc_id", "start_index", "end_index").agg(F.min("n_").alias("n_"))
+    best = best.select("doc_id", "start_index", "end_index", F.col("n_.node_").alias("parent_idx"), F.col("n_.size_").alias("parent_size"))
+    out = elements.join(best, ["doc_id", "start_index", "end_index"], "left")
+    return out.select(*elements.columns, "parent_idx", "parent_size")
 
 
 def reach(nodes: DataFrame) -> DataFrame:

@@ -55,3 +55,19 @@ def test_headings_without_a_fold(spark):
                 open_.append([rank, 1])
             told.append((d, i, 0, own if d == 3 else ".".join(str(n) for _, n in open_), title, p))
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, told))
+
+
+def test_parents_of_elements_by_ranges(spark):
+    """Elements and nodes that share a range meet once: the join sees distinct ranges, not every pair."""
+    from foliospark.operators import granular as G
+
+    rng = random.Random(7)
+    nodes = [(1, i, *sorted((rng.randint(1, 6), rng.randint(1, 6)))) for i in range(300)]
+    wanted = [(1, e, *sorted((rng.randint(1, 7), rng.randint(1, 7)))) for e in range(200)]
+    tree_rows = spark.createDataFrame(nodes, "doc_id long, idx int, start_index int, end_index int").withColumn("lo", F.col("start_index")).withColumn("hi", F.col("end_index"))
+    found = G.parent_of(spark.createDataFrame(wanted, "doc_id long, element int, start_index int, end_index int"), tree_rows)
+    text = plan(found)
+    assert text.count("Aggregate [doc_id") >= 4  # nodes by range, by page, elements by range, the smallest
+    for r in found.collect():
+        fits = [(z - a + 1, i) for _, i, a, z in nodes if a <= r.start_index and r.end_index <= z]
+        assert (r.parent_size, r.parent_idx) == (min(fits) if fits else (None, None))
