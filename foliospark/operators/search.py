@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ordered_join
 
 K1, B, TITLE_BOOST = 1.2, 0.75, 3.0
+#: Components of pairs of vectors that are multiplied at once.
+PAIR_COMPONENTS = 4_000_000
 
 
 def terms(text: Column) -> Column:
@@ -73,18 +79,76 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _regular(vector: Column) -> Column:
+    """Whether a vector has finite components only, and one that isn't zero, none so large or small that squares are lost."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) > 1e100))
+    return F.coalesce(vector.isNotNull() & ~odd & F.exists(vector, lambda x: F.abs(x.cast("double")) > 1e-100), F.lit(False))
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed in the order of their components."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def _packed(rows: DataFrame, key: str, vector: str, more: str | None = None) -> DataFrame:
+    """(dim, ids, labels, matrix): rows of one length in blocks, as arrays of doubles. key is a whole number."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, held in batch.groupby(batch["v"].str.len()):
+                matrix = np.stack([np.asarray(v, dtype=np.float64) for v in held["v"]])
+                yield pd.DataFrame({"dim": [int(dim)], "ids": [held["k"].to_numpy(np.int64).tobytes()], "rows": [held["n"].tolist()], "matrix": [matrix.tobytes()]})
+
+    own = F.col(more).cast("string") if more else F.lit(None).cast("string")
+    return rows.select(F.col(key).cast("long").alias("k"), own.alias("n"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(pack, "dim int, ids binary, rows array<string>, matrix binary")
+
+
 def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = 10, block: int = 1000) -> DataFrame:
     """(qid, doc_id, chunk, score, rank): the k nearest chunks of every query vector, against all chunks.
 
     Queries go in blocks of about `block` vectors, the most that is sent to every executor at once; each block reads the chunks
-    once, and only its k best of each task are shuffled.
+    once, and only its k best of each task are shuffled. All pairs are scored by products of blocks of vectors; what may be among a block's k
+    best is scored again, component by component in their order, so scores don't depend on how blocks are cut. Vectors with null or
+    non-finite components, or of zeros only, are scored pair by pair. qid and chunk are whole numbers.
     """
     blocks = max(1, -(-queries.count() // block))
     near = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk")
+    wide, asked = _regular(F.col("vector")), _regular(F.col("query"))
+    kinds = {f.name: f.dataType for f in chunks.schema.fields + queries.schema.fields}
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, other, ids, labels, matrix, qids, asked_ in batch[["dim", "q_dim", "ids", "rows", "matrix", "q_ids", "q_matrix"]].itertuples(index=False):
+                chunk, qid = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+                if dim != other:  # no cosine: what comes first by its id stands for all
+                    at = np.argsort(chunk, kind="stable")[:k]
+                    row, col = np.repeat(np.arange(len(qid)), len(at)), np.tile(at, len(qid))
+                    score = np.full(len(row), np.nan)
+                else:
+                    x, q = np.frombuffer(matrix).reshape(-1, dim), np.frombuffer(asked_).reshape(-1, dim)
+                    rough = (q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+                    least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
+                    row, col = np.nonzero(rough >= (least - 3e-6)[:, None])  # equal ones after rounding stay
+                    size = max(1, PAIR_COMPONENTS // dim)
+                    score = np.concatenate([_dot(x[col[i : i + size]], q[row[i : i + size]]) for i in range(0, len(row), size)])
+                    score = score / np.sqrt(_dot(x, x)[col] * _dot(q, q)[row])
+                    # of copies, whose scores are the same, the first k
+                    order = np.lexsort((chunk[col], -score, row))
+                    row, col, score = row[order], col[order], score[order]
+                    new = np.concatenate(([True], (row[1:] != row[:-1]) | (score[1:] != score[:-1])))
+                    keep = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)) < k
+                    row, col, score = row[keep], col[keep], score[keep]
+                yield pd.DataFrame({"qid": qid[row], "doc_id": np.array(labels, dtype=object)[col], "chunk": chunk[col], "score": score})
+
     out = None
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        scored = chunks.join(F.broadcast(part)).select("qid", "doc_id", "chunk", F.round(cosine(F.col("vector"), F.col("query")), 6).alias("score"))
+        ours = _packed(part.where(asked), "qid", "query").select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+        found = _packed(chunks.where(wide), "chunk", "vector", "doc_id").join(F.broadcast(ours)).mapInPandas(nearest, "qid long, doc_id string, chunk long, score double")
+        score = F.round(F.nanvl("score", F.lit(None).cast("double")), 6).alias("score")
+        scored = found.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("qid", "doc_id", "chunk")), score)
+        for rows, sent in ((chunks.where(~wide), part), (chunks.where(wide), part.where(~asked))):
+            scored = scored.unionByName(rows.join(F.broadcast(sent)).select("qid", "doc_id", "chunk", F.round(cosine(F.col("vector"), F.col("query")), 6).alias("score")))
         best = scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out

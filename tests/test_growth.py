@@ -71,3 +71,19 @@ def test_parents_of_elements_by_ranges(spark):
     for r in found.collect():
         fits = [(z - a + 1, i) for _, i, a, z in nodes if a <= r.start_index and r.end_index <= z]
         assert (r.parent_size, r.parent_idx) == (min(fits) if fits else (None, None))
+
+
+def test_nearest_vectors_by_blocks(spark):
+    """Vectors are scored by blocks, with ties, copies, other lengths and odd ones as pair by pair."""
+    from foliospark.operators import search as S
+
+    rng = random.Random(11)
+    vectors = [[rng.choice((-1.0, 0.5, 2.0, 3.0)) for _ in range(4)] for _ in range(60)] + [[1.0, 2.0, 3.0, 4.0]] * 15 + [[1.0, 2.0], None, [1.0, None, 2.0, 0.0], [float("inf"), 1.0, 1.0, 1.0]]
+    rows = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(vectors)], "chunk long, doc_id int, vector array<float>").repartition(3)
+    asked = rows.where("chunk % 7 = 0").select(F.col("chunk").alias("qid"), F.col("vector").alias("query"))
+    found = S.top_chunks(rows, asked, 5, 4)
+    assert "MapInPandas" in plan(found)
+    told = rows.join(asked).withColumn("score", F.round(S.cosine(F.col("vector"), F.col("query")), 6))
+    told = told.withColumn("rank", F.row_number().over(S.Window.partitionBy("qid").orderBy(F.desc("score"), "chunk"))).where("rank <= 5")
+    assert found.columns == ["qid", "doc_id", "chunk", "score", "rank"]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, told.select(*found.columns).collect())))
