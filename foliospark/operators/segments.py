@@ -2,12 +2,16 @@
 
 The words of the paragraphs before and after every gap are compared by the cosine of their counts. A gap's depth is how far its similarity lies
 below the peaks on both sides that one reaches uphill; gaps deeper than the section's mean depth less half a standard deviation, and at least
-as deep as their neighbours, are boundaries. All of it is joins, sums and windows over (section, gap): no section's text is one task's work, a word
-meets only itself, and depths are whole millionths, so the cut-off is exact.
+as deep as their neighbours, are boundaries. A section's words are counted where its row is and never shuffled; what follows is sums and windows over
+(section, gap). Depths are whole millionths, so the cut-off is exact.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,17 +35,25 @@ TYPES = {
 
 def gaps(sections: DataFrame, side: int = SIDE) -> DataFrame:
     """(doc_id, idx, gap, sim): similarity in millionths at the gap after paragraph `gap`, from 0. sections: doc_id, idx, p (paragraphs)."""
-    paras = sections.select("doc_id", "idx", F.size("p").alias("n_"), F.posexplode("p").alias("para", "text"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0))
-    tf = paras.select("doc_id", "idx", "n_", "para", F.explode(words).alias("word")).groupBy("doc_id", "idx", "n_", "para", "word").agg(F.count("*").alias("tf"))
-    # a paragraph lies before the gaps from its own on, and after those that come before it
-    reach = F.sequence(F.greatest(F.col("para") - side, F.lit(0)), F.least(F.col("para") + side - 1, F.col("n_") - 2))
-    sides = tf.where("n_ > 1").select("doc_id", "idx", "word", "para", "tf", F.explode(reach).alias("gap"))
-    before = F.col("gap") >= F.col("para")
-    vectors = sides.groupBy("doc_id", "idx", "gap", "word").agg(F.sum(F.when(before, F.col("tf")).otherwise(0)).alias("l"), F.sum(F.when(before, 0).otherwise(F.col("tf"))).alias("r"))
-    sums = vectors.groupBy("doc_id", "idx", "gap").agg(F.sum(F.col("l") * F.col("r")).alias("dot"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("r") * F.col("r")).alias("rr"))
-    every = sections.where(F.size("p") > 1).select("doc_id", "idx", F.explode(F.sequence(F.lit(0), F.size("p") - 2)).alias("gap"))
-    found = every.join(sums, ["doc_id", "idx", "gap"], "left")
+    words = F.transform("p", lambda x: F.array_join(F.regexp_extract_all(F.lower(x), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0)), " "))
+    ids = {f.name: f.dataType.simpleString() for f in sections.select("doc_id", "idx").schema}
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, paras in enumerate(batch.column("w").to_pylist()):
+                counts = [Counter(x.split()) if x else Counter() for x in paras]
+                for gap in range(len(counts) - 1):
+                    left, right = (sum(some, Counter()) for some in (counts[max(gap + 1 - side, 0) : gap + 1], counts[gap + 1 : gap + 1 + side]))
+                    few, many = (left, right) if len(left) <= len(right) else (right, left)
+                    at.append(i)
+                    found.append((gap, sum(n * many[w] for w, n in few.items() if w in many), sum(n * n for n in left.values()), sum(n * n for n in right.values())))
+            keys = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "idx")]
+            columns = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(keys + [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "idx", "gap", "dot", "ll", "rr"])
+
+    rows = sections.where(F.size("p") > 1).select("doc_id", "idx", words.alias("w"))
+    found = rows.mapInArrow(compared, f"doc_id {ids['doc_id']}, idx {ids['idx']}, gap int, dot long, ll long, rr long")
     sim = F.when((F.col("ll") > 0) & (F.col("rr") > 0), F.floor(_WHOLE * F.col("dot") / F.sqrt(F.col("ll").cast("double") * F.col("rr")) + 0.5)).otherwise(0)
     return found.select("doc_id", "idx", "gap", F.coalesce(sim, F.lit(0)).cast("long").alias("sim"))
 

@@ -87,3 +87,15 @@ def test_nearest_vectors_by_blocks(spark):
     told = told.withColumn("rank", F.row_number().over(S.Window.partitionBy("qid").orderBy(F.desc("score"), "chunk"))).where("rank <= 5")
     assert found.columns == ["qid", "doc_id", "chunk", "score", "rank"]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, told.select(*found.columns).collect())))
+
+
+def test_gaps_without_shuffled_words(spark):
+    """Words are counted where a section's row is: the similarities of gaps need no exchange."""
+    from foliospark.operators import segments
+
+    rows = spark.createDataFrame([(1, 0, ["Alpha beta alpha", "alpha", "", "gamma beta"]), (2, 0, ["alone here"]), (3, 1, ["a b", "c d"])], "doc_id long, idx int, p array<string>")
+    found = segments.gaps(rows)
+    assert "Aggregate" not in plan(found) and "Join" not in plan(found)
+    # gap 0: (2, 1) and (1, 0); gap 1: (3, 1) and (0, 1, gamma); gap 2: (1, 0) and (0, 1, gamma)
+    told = [(1, 0, 0, round(1e6 * 2 / 5**0.5)), (1, 0, 1, round(1e6 * 1 / 20**0.5)), (1, 0, 2, 0), (3, 1, 0, 0)]
+    assert sorted(map(tuple, found.collect())) == told
