@@ -9,9 +9,11 @@ Routing, which loses no link: sets are compared within size bands. For a band th
 sets differ are known, k, so of k + 1 + 2s parts of the hash space 2s + 1 at least hold the same shingles
 in both. Each document sends the hashes of its parts, without the s that say least (empty ones, or only frequent
 shingles), and with each hash its lowest one: documents that share that are linked where it is, and one of them stands for all elsewhere.
-Documents that share a part form candidate groups; groups are cut into blocks of bounded size
+Documents that share a part form candidate groups, which chance meetings of frequent shingles chain together as the input grows. Groups that
+don't fit a block are routed again by finer signatures, which lose no link either: of half as many parts as many hold all but one difference at
+least, so in four pieces of such a part three are the same. Groups are cut into blocks of bounded size
 and searched block by block. Where a group takes several blocks, leaders of the found components are searched
-first, and pairs of blocks only if the group still has more than one component, so the result is exact.
+first, in blocks of the same bounds, and pairs of blocks only if the group still has more than one component, so the result is exact.
 
 Documents of equal sets in a block of the scan send one copy of their parts. Null text or ids: the set is
 empty and links with nothing. Rows of one id are one node: links of any of its rows count.
@@ -24,15 +26,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize, partitions, release, text_batches
+from .shared import connected_components, materialize, release, spread, text_batches
 from .wordhash import batch_hashes, bounded, mix, windows
 
 N, NUM, DEN = 4, 85, 100
 #: Parts that a document may leave unsent besides a tenth, words of a scan block, shingles of a search block.
 SPARE, BLOCK_WORDS, BLOCK_SHINGLES = 4, 1_000_000, 2_000_000
+#: Parts that may stay unsent, besides a twentieth, where groups are routed again; pieces of each of their parts.
+FINE_SPARE, PIECES = 0, 4
 #: Documents of a search block, as one that all share a list costs their square; candidates whose long lists are probed at once.
 BLOCK_DOCS, PROBED = 20_000, 64
 #: Placed documents that a join sends to all executors, 32 bytes each; more of them are joined by a shuffle.
@@ -78,7 +82,30 @@ def parts(found: np.ndarray, band: int, num: int, den: int, weight: np.ndarray,
     return mix(total[sent] + mix((sent + band * 1_000_003).astype(np.uint64)))
 
 
-def scan_block(ids: np.ndarray, texts: list[bytes], n: int, num: int, den: int, spare: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fine_parts(found: np.ndarray, band: int, num: int, den: int, weight: np.ndarray, least: int) -> np.ndarray:
+    """As parts(), of fewer and larger parts, each without one of its pieces in turn.
+
+    In differ // 2 + 1 + 2 * spare parts at most differ // 2 hold two differences or more, so two linked sets agree in 2 * spare + 1
+    parts but for one piece at most; each leaves out the spare parts that say least when their most telling piece is away.
+    """
+    high = int(bands(num, den)[band + 1]) - 1
+    differ = (high + high * den // num) * (den - num) // (den + num)
+    spare = least + differ // 20
+    count = differ // 2 + 1 + 2 * spare
+    piece = ((mix(found ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(11)) % np.uint64(count * PIECES)).astype(np.int64)
+    order = np.argsort(piece, kind="stable")
+    present, at = np.unique(piece[order], return_index=True)
+    total = np.zeros(count * PIECES, dtype=np.uint64)
+    total[present] = np.add.reduceat(mix(found[order]), at)
+    total = total.reshape(count, PIECES)
+    told = np.bincount(piece, weights=weight, minlength=count * PIECES).reshape(count, PIECES)
+    sent = np.argpartition(told.sum(axis=1) - told.max(axis=1), spare)[spare:]
+    without = total[sent].sum(axis=1, dtype=np.uint64)[:, None] - total[sent]
+    place = sent[:, None] * PIECES + np.arange(PIECES) + band * 1_000_003
+    return mix(without + mix(place.astype(np.uint64) ^ np.uint64(0x9FB21C651E98DF25))).ravel()
+
+
+def scan_block(ids: np.ndarray, texts: list[bytes], n: int, num: int, den: int, spare: int, fine: bool = False) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """((id, size) of each row, exact links, candidate links, part hashes, their ids and those ids' smallest hashes) of a block of documents."""
     sets = shingle_sets(texts, n)
     facts = list(zip(ids.tolist(), map(len, sets), strict=True))
@@ -107,7 +134,7 @@ def scan_block(ids: np.ndarray, texts: list[bytes], n: int, num: int, den: int,
             at += size
             band = int(np.searchsorted(bands(num, den), size, side="right")) - 1
             for b in (band - 1, band) if band else (band,):
-                hashes.append(parts(sets[i], b, num, den, weight, spare))
+                hashes.append((fine_parts if fine else parts)(sets[i], b, num, den, weight, spare))
                 owner.append(i)
     if not hashes:
         none = np.zeros(0, np.uint64)
@@ -205,16 +232,34 @@ def _rows(a: np.ndarray) -> pd.DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row; links are num/den similar or more."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    buckets = 2 * partitions(spark)
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = _routed(rows, n, num, den)
+    sizes = found.where("kind = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+    exact = found.where("kind = -2").select("a", "b")
+    groups, more = _narrowed(rows, _groups(found), sizes, n, num, den)
+    exact = exact.unionByName(more) if more is not None else exact
+    links = _search_groups(rows, groups, sizes, n, num, den).unionByName(exact)
+    component = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    unset = rows.where("id is null or text is null").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"))
+    return (
+        sizes.unionByName(unset)
+        .join(component, "doc_id", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    )
+
+
+def _routed(rows: DataFrame, n: int, num: int, den: int, fine: bool = False) -> DataFrame:
+    """(a, b, kind): id and size of each row (-1), exact links (-2), links of ids that share a part (-3)."""
+    spark = rows.sparkSession
+    dealt = spread(rows, "text")
+    buckets = 2 * dealt
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for held in bounded(batches, BLOCK_WORDS * 6, lambda b: int(b["text"].str.len().sum())):
             block = pd.concat(held)
             texts = [t.encode("utf-8", "surrogatepass") for t in block["text"]]
-            facts, exact, near, keys, who, low = scan_block(block["id"].to_numpy(), texts, n, num, den, SPARE)
+            facts, exact, near, keys, who, low = scan_block(block["id"].to_numpy(), texts, n, num, den, FINE_SPARE if fine else SPARE, fine)
             out = [(-1, np.array(facts, dtype="<i8").tobytes()), (-2, exact.astype("<i8").tobytes()), (-3, near.astype("<i8").tobytes())]
             bucket = (keys >> np.uint64(17)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -243,19 +288,37 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     sent = rows.where("id is not null and text is not null").mapInPandas(scan, "bucket int, payload binary")
     part = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
     kind = F.least(F.col("bucket"), F.lit(0))
-    sent = sent.withColumn("part", part).withColumn("sort", kind).repartition(partitions(spark), "part", "sort")
-    found = materialize(sent.groupBy("part", "sort").applyInPandas(group, "a long, b long, kind int"))
-    sizes = found.where("kind = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    exact = found.where("kind = -2").select("a", "b")
-    groups = materialize(connected_components(found.where("kind = -3").select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("grp")))
-    links = _search_groups(rows, groups, sizes, n, num, den).unionByName(exact)
-    component = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    unset = rows.where("id is null or text is null").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"))
-    return (
-        sizes.unionByName(unset)
-        .join(component, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    sent = sent.withColumn("part", part).withColumn("sort", kind).repartition(dealt, "part", "sort")
+    return materialize(sent.groupBy("part", "sort").applyInPandas(group, "a long, b long, kind int"))
+
+
+def _groups(found: DataFrame) -> DataFrame:
+    return materialize(connected_components(found.where("kind = -3").select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("grp")))
+
+
+def _blocks() -> Column:
+    """How many blocks a group takes, from the sizes of its members."""
+    return F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+
+
+def _sized(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    return sizes.select(F.col("doc_id").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("size")).join(groups, "id")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows marked for sending to all executors where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _narrowed(rows: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """groups with those of several blocks cut into what is still connected by finer signatures, and exact links found on the way."""
+    wide = _sized(groups, sizes).groupBy("grp").agg(_blocks().alias("blocks")).where("blocks > 1").select("grp")
+    wide = materialize(groups.join(wide, "grp").select("id", "grp"))
+    if not wide.limit(1).count():
+        return groups, None
+    found = _routed(rows.where("text is not null").join(_few(wide.select("id")), "id"), n, num, den, True)
+    cut = groups.join(wide.select("grp").distinct(), "grp", "left_anti").unionByName(_groups(found).select("grp", "id"))
+    return materialize(cut.select("id", "grp")), found.where("kind = -2").select("a", "b")
 
 
 def _search_groups(rows: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -273,11 +336,10 @@ def _search_groups(rows: DataFrame, groups: DataFrame, sizes: DataFrame, n: int,
         release()
         return _rows(np.array(links, dtype=np.int64).reshape(-1, 2))
 
-    total = sizes.select(F.col("doc_id").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("size")).join(groups, "id")
-    blocks = materialize(total.groupBy("grp").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks")))
+    total = _sized(groups, sizes)
+    blocks = materialize(total.groupBy("grp").agg(_blocks().alias("blocks")))
     placed = groups.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    if groups.count() <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)
+    placed = _few(placed)
 
     def members(chosen: DataFrame) -> DataFrame:
         found = rows.where("text is not null").join(chosen, "id").select("id", "grp", "blocks", "block", "text")
@@ -295,9 +357,8 @@ def _search_groups(rows: DataFrame, groups: DataFrame, sizes: DataFrame, n: int,
     state = _joined(at, links)
     spread = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
     chosen = state.groupBy("grp", "block", "comp").agg(F.min("id").alias("x"), F.min_by("id", spread).alias("y"), F.max_by("id", spread).alias("z"))
-    leaders = chosen.select(F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("id"), "comp").distinct()
-    few = wide.join(leaders, "id").withColumn("block", F.pmod(F.col("block"), F.ceil(F.sqrt("blocks"))).cast("int")).withColumn("other", F.lit(1))
-    links = links.unionByName(searched(few))
+    leaders = materialize(chosen.select(F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("id"), "comp").distinct())
+    links = links.unionByName(searched(_led(wide, leaders, total)))
     # Pairs of blocks, for groups that are not one component yet.
     state = _joined(at, links)
     apart = state.groupBy("grp").agg(F.min("comp").alias("m"), F.max("comp").alias("n")).where("m <> n").select("grp")
@@ -309,6 +370,13 @@ def _search_groups(rows: DataFrame, groups: DataFrame, sizes: DataFrame, n: int,
     return links.unionByName(searched(pairs))
 
 
+def _led(wide: DataFrame, leaders: DataFrame, total: DataFrame) -> DataFrame:
+    """The members of wide that are leaders, with comp, dealt over as many blocks as they take themselves."""
+    room = total.join(leaders, "id").groupBy("grp").agg(_blocks().alias("room_"))
+    few = wide.join(leaders, "id").join(room, "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(13)), F.col("room_")).cast("int"))
+    return few.drop("room_").withColumn("other", F.lit(1))
+
+
 def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with comp, the component that the links put them in."""
     comp = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))

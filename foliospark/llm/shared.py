@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch of whole texts; keeps a Python worker's memory bounded.
 TEXT_BATCH_ROWS = 1000
+#: Characters of text whose hashes one task of a shuffle takes.
+SPREAD_CHARS = 32_000_000
 #: Names of the folders that materialize wrote; nothing else is ever deleted.
 _OWN: set[str] = set()
 
@@ -84,6 +86,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(docs: DataFrame, text_col: str) -> int:
+    """The shuffle partitions, or more where the texts have over SPREAD_CHARS characters for each: blocks of a task don't grow with the input."""
+    chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-chars // SPREAD_CHARS))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free, partitions, release, text_batches
+from .shared import free, release, spread, text_batches
 from .wordhash import batch_hashes, bounded, windows, word_hashes
 
 K, M = 13, 5
@@ -152,9 +152,10 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
     """
     if not 0 < m <= k < m + 255:
         raise ValueError("anchors must be shorter than windows, by less than 255 words")
-    spark = docs.sparkSession
-    text_batches(spark)
-    buckets = 2 * partitions(spark)
+    text_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), tag_of(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    dealt = spread(rows, "text")
+    buckets = 2 * dealt
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for held in bounded(batches, BLOCK_WORDS * 6, lambda b: int(b["text"].str.len().sum())):
@@ -173,11 +174,10 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
         release()
         return pd.DataFrame({"doc_id": rows[:, 0], "tag": rows[:, 1].astype(np.int32), "start": rows[:, 2].astype(np.int32), "n": rows[:, 3].astype(np.int32), "proof": rows[:, 4]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), tag_of(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     sent = rows.mapInPandas(send, "bucket int, payload binary")
     # spans that a block settled itself are dealt out by their own hash
     sent = sent.withColumn("part", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int"))
-    found = sent.repartition(partitions(spark), "part", F.col("bucket") < 0).groupBy("part", F.col("bucket") < 0).applyInPandas(meet, SPAN)
+    found = sent.repartition(dealt, "part", F.col("bucket") < 0).groupBy("part", F.col("bucket") < 0).applyInPandas(meet, SPAN)
     return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "proof")).alias("spans"))
 
 
