@@ -99,3 +99,22 @@ def test_gaps_without_shuffled_words(spark):
     # gap 0: (2, 1) and (1, 0); gap 1: (3, 1) and (0, 1, gamma); gap 2: (1, 0) and (0, 1, gamma)
     told = [(1, 0, 0, round(1e6 * 2 / 5**0.5)), (1, 0, 1, round(1e6 * 1 / 20**0.5)), (1, 0, 2, 0), (3, 1, 0, 0)]
     assert sorted(map(tuple, found.collect())) == told
+
+
+def test_large_tables_are_not_sent_through_the_driver(spark):
+    """Settled tables whose files are over a bound are joined by sorting, also as the union of a fold; small ones may be sent to all."""
+    from foliospark import durable
+
+    def joined(n):
+        rows = durable.settled(spark.range(n).withColumn("v", F.xxhash64("id")))
+        return plan_of(spark.range(10**8).join(rows.select(F.col("id"), "v"), "id", "left"))
+
+    def plan_of(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in joined(100)
+    assert "BroadcastHashJoin" not in joined(100_000)
+    one, two = (durable.settled(spark.range(11_000).withColumn("v", F.xxhash64("id", F.lit(k)))) for k in (1, 2))  # neither alone is over the bound
+    both = one.unionByName(two)
+    assert "BroadcastHashJoin" in plan_of(spark.range(10**8).join(both, "id", "left"))
+    assert "BroadcastHashJoin" not in plan_of(spark.range(10**8).join(durable.kept_apart(both), "id", "left"))
