@@ -118,3 +118,28 @@ def test_large_tables_are_not_sent_through_the_driver(spark):
     both = one.unionByName(two)
     assert "BroadcastHashJoin" in plan_of(spark.range(10**8).join(both, "id", "left"))
     assert "BroadcastHashJoin" not in plan_of(spark.range(10**8).join(durable.kept_apart(both), "id", "left"))
+
+
+def test_elements_are_numbered_without_a_sort(spark, monkeypatch):
+    """Nodes of elements stream out of the last join, in parts; numbers and copies are those of one sort a document."""
+    from foliospark.operators import markdown
+
+    monkeypatch.setattr(markdown, "PART", 2)
+    rng = random.Random(2)
+    sections = [(d, i, None if i % 4 == 0 else i - i % 4, f"s{i}", rng.choice((1, 2, 3, None))) for d in (1, 2) for i in range(12)]
+    found = [(d, rng.choice(("figure", "table")), pos, rng.randint(1, 4), pos % 3, pos, pos + 1) for d in (1, 2, 3) for pos in range(9)]
+    out = markdown.with_elements(spark.createDataFrame(sections, "doc_id long, idx int, parent_idx int, title string, page int"), spark.createDataFrame(found, "doc_id long, kind string, pos int, page_no int, number int, line_start int, line_end int"))
+    assert plan(out).count("Window") == 0
+    told = []
+    for d in (1, 2):
+        at, new, copies = {}, -1, {}
+        for _, i, up, _, page in (s for s in sections if s[0] == d):
+            new += 1
+            at[i] = new
+            told.append((new, at.get(up), "section", None))
+            for _, kind, pos, *_ in sorted((f for f in found if f[0] == d and f[3] == (page or 1)), key=lambda f: f[1:3]):
+                new += 1
+                copies[kind, pos] = copies.get((kind, pos), 0) + 1
+                told.append((new, at[i], kind, copies[kind, pos]))
+    got = [(r.idx, r.parent_idx, r.node_type, r.copy) for r in out.orderBy("doc_id", "idx").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, told))
