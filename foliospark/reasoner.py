@@ -6,9 +6,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import settled
 from .functions.text import collapse, sentences
 
 #: Words that tell a section's type from its title.
@@ -52,14 +53,23 @@ def description(nodes: DataFrame) -> DataFrame:
     return roots
 
 
-def keywords(units: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, idx, keywords): the n terms of highest tf-idf of each unit, with the first sentence that has the term."""
+def top_terms(units: DataFrame, n: int = 5) -> DataFrame:
+    """(doc_id, idx, best): the n terms of highest tf-idf of each unit, as structs (s: the score, negated; term).
+
+    Terms are cut out of the texts and counted once; a unit's terms meet by a window, so no list of all of them is built.
+    """
     terms = units.select("doc_id", "idx", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{4,}"), F.lit(0))).alias("term"))
-    tf = terms.groupBy("doc_id", "idx", "term").agg(F.count("*").alias("tf"))
+    tf = settled(terms.groupBy("doc_id", "idx", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(df, "term").withColumn("score", F.round(F.col("tf") / F.col("df"), 9))
-    best = scored.groupBy("doc_id", "idx").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "term"))), 1, n).alias("best"))
-    told = best.join(units.select("doc_id", "idx", "text"), ["doc_id", "idx"])
+    order = F.row_number().over(Window.partitionBy("doc_id", "idx").orderBy(F.desc("score"), "term"))
+    best = scored.select("doc_id", "idx", "term", "score", order.alias("nth_")).where(F.col("nth_") <= n)
+    return best.groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "term"))).alias("best"))
+
+
+def keywords(units: DataFrame, n: int = 5) -> DataFrame:
+    """(doc_id, idx, keywords): the n terms of highest tf-idf of each unit, with the first sentence that has the term."""
+    told = top_terms(units, n).join(units.select("doc_id", "idx", "text"), ["doc_id", "idx"])
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
     context = F.transform("best", lambda b: F.struct(b["term"].alias("term"), collapse(F.coalesce(F.get(F.filter(found, lambda s: F.contains(F.lower(s), b["term"])), F.lit(0)), F.lit(""))).alias("context"), (-b["s"]).alias("relevance")))
     return told.select("doc_id", "idx", context.alias("keywords"))

@@ -143,3 +143,22 @@ def test_elements_are_numbered_without_a_sort(spark, monkeypatch):
                 told.append((new, at[i], kind, copies[kind, pos]))
     got = [(r.idx, r.parent_idx, r.node_type, r.copy) for r in out.orderBy("doc_id", "idx").collect()]
     assert sorted(map(str, got)) == sorted(map(str, told))
+
+
+def test_keywords_without_lists_of_all_terms(spark):
+    """Texts are cut into terms once, units keep no list of all their terms; repeated units are one."""
+    from collections import Counter
+
+    from foliospark import reasoner
+
+    texts = [(1, 0, "alpha beta alpha. Gamma"), (1, 1, "beta beta delta"), (2, 0, None), (2, 1, ""), (3, 0, "alpha ab"), (3, 0, "Beta gamma")]
+    units = spark.createDataFrame(texts, "doc_id long, idx int, text string")
+    found = reasoner.keywords(units, 2)
+    assert plan(reasoner.top_terms(units, 2)).count("regexp_extract_all") == 0  # done, and kept
+    assert "WindowGroupLimit" in plan(found)
+    tf = Counter((d, i, w) for d, i, t in texts for w in (t or "").lower().replace(".", "").split() if len(w) > 3)
+    df = Counter(w for _, _, w in tf)
+    for r in found.collect():
+        own = sorted((-round(n / df[w], 9), w) for (d, i, w), n in tf.items() if (d, i) == (r.doc_id, r.idx))[:2]
+        assert [(-k.relevance, k.term) for k in r.keywords] == own
+    assert found.count() == 4
