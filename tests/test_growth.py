@@ -176,3 +176,61 @@ def test_markdown_is_cut_into_lines_once(spark, monkeypatch):
     found = pipelines.markdown_tree(docs, 40)
     assert seen and "split(" not in seen[0]
     assert sorted(r.title for r in found.collect()) == ["A", "B", "C"]
+
+
+def test_converted_trees_in_one_partitioning(spark, monkeypatch):
+    """Contents as nested JSON: rows move once for the windows, once to blocks, blocks once to documents, and nothing is written between; null levels,
+    gaps, null pages and titles, as by plain loops."""
+    import json
+
+    from foliospark.operators import folds, markdown
+    from foliospark.operators import tree as T
+
+    def unwanted(df):
+        raise AssertionError("written between")
+
+    for module in (T, folds, markdown):
+        monkeypatch.setattr(module, "settled", unwanted)
+    monkeypatch.setattr(T, "BLOCK", 5, raising=False)
+    rng = random.Random(13)
+    rows = [(d, 3 * i, rng.choice((None, 1, 2, 2, 4, 4, 7) if d < 4 else (None,) if d == 4 else (3,)), rng.choice((None, f'"t" {i}', f"t\\{i}")), rng.choice((None, i // 4, 1 + i // 3))) for d in range(1, 6) for i in range(1 if d == 5 else 60)]
+    sections = spark.createDataFrame(rows, "doc_id long, idx int, level int, title string, page int")
+    bounds, told = {}, {}
+    for d in range(1, 6):
+        own = [r[1:] for r in rows if r[0] == d]
+        up = {i: max((j for j, k, *_ in own if j < i and k is not None and level is not None and k < level), default=None) for i, level, *_ in own}
+        page = {i: p for i, _, _, p in own}
+        start: dict[int, int] = {}
+        for i, *_ in own:
+            at = i
+            while at is not None and page[at] is None:
+                at = up[at]
+            start[i] = 1 if at is None else page[at]
+        kids = {i: [j for j in up if up[j] == i] for i in (None, *up)}
+
+        def end(i, d=d, up=up, page=page, start=start, kids=kids):
+            if kids[i]:
+                return end(kids[i][-1])
+            after = [j for j in kids[up[i]] if j > i]
+            return start[i] if not after else start[i] if page[after[0]] is None else page[after[0]] - 1
+
+        def made(parent, path, own=own, start=start, kids=kids, end=end):
+            out = []
+            for n, i in enumerate(kids[parent], 1):
+                title = next(t for j, _, t, _ in own if j == i)
+                node = ({"title": title} if title is not None else {}) | {"start_page": start[i], "end_page": end(i), "type": "section", "node_id": f"{path}{n}"}
+                out.append(node | ({"children": made(i, f"{path}{n}.")} if kids[i] else {}))
+            return out
+
+        told[d] = made(None, "")
+        bounds |= {(d, i): (start[i], end(i)) for i in up}
+    found = markdown.converted(sections)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    assert {r.doc_id: json.loads(r.structure) for r in found.collect()} == told
+    ends = folds.page_ends(T.with_level_parent(sections))
+    assert ends._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.doc_id, r.idx): (r.start_page, r.end_page) for r in ends.collect()} == bounds
+    placed = {(r.doc_id, r.idx): r for r in T.preordered(sections, "page").collect()}
+    parents = {(r.doc_id, r.idx): r.parent_idx for r in T.with_level_parent(sections).collect()}
+    assert {k: r.parent_idx for k, r in placed.items()} == parents and all(r.depth == r.path_id.count(".") for r in placed.values())
+    assert markdown.converted(sections.where("doc_id > 9")).count() == 0
