@@ -234,3 +234,19 @@ def test_converted_trees_in_one_partitioning(spark, monkeypatch):
     parents = {(r.doc_id, r.idx): r.parent_idx for r in T.with_level_parent(sections).collect()}
     assert {k: r.parent_idx for k, r in placed.items()} == parents and all(r.depth == r.path_id.count(".") for r in placed.values())
     assert markdown.converted(sections.where("doc_id > 9")).count() == 0
+
+
+def test_elements_without_whole_documents(spark, monkeypatch):
+    """Elements come from lines: no row holds a document's text, and the same elements are found as in the text."""
+    from foliospark.operators import markdown
+    from foliospark.queries import QUERIES
+
+    monkeypatch.setattr(markdown, "settled", lambda df: df)
+    assert "collect_list" not in plan(QUERIES["md_elements_in_sections"](spark, "/root/testdata/sf0.001"))
+    texts = {1: "# A\n![](_page_0_Figure_1.png)\n| a |\n| b |\n\nmore\n![](_page_4_Figure_2.jpg)\n| open", 2: "", 3: "| x |\n"}
+    docs = spark.createDataFrame([(d, t, 3) for d, t in texts.items()], "doc_id long, text string, n_pages int")
+    rows = [(d, i, line) for d, t in texts.items() for i, line in enumerate(t.split("\n"), 1)]
+    size = spark.createDataFrame([(d, t.count("\n") + 1, 3) for d, t in texts.items()], "doc_id long, n_ int, n_pages int")
+    found = markdown.line_elements(spark.createDataFrame(rows, "doc_id long, line_num int, line string"), size)
+    told = {(1, "figure", 2, 1, 1, None, None), (1, "figure", 7, 5, 2, None, None), (1, "table", 3, 2, None, 3, 4), (3, "table", 1, 2, None, 1, 1)}
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in markdown.elements(docs).collect()} == told
