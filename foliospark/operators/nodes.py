@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import count_tokens
 
+#: Characters up to which a text needs no summary.
+SHORT = 200
 GRANULAR = ("semantic_unit", "figure", "table", "keyword")
 
 
@@ -32,10 +34,10 @@ def needs_summary(nodes: DataFrame) -> DataFrame:
     needed = (
         F.when((F.length(summary) > 50) & kind.isin("semantic_unit", "figure", "table"), False)
         .when(text == "", False)
-        .when(kind == "semantic_unit", (summary == "") & (F.length(text) > 200))
+        .when(kind == "semantic_unit", (summary == "") & (F.length(text) > SHORT))
         .when(kind.isin("figure", "table"), False)
         .when(F.col("children") > 0, summary == "")
-        .otherwise((summary == "") & (F.length(text) > 200))
+        .otherwise((summary == "") & (F.length(text) > SHORT))
     )
     return found.select(*nodes.columns, F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("summarised", F.lit(0.0)).alias("summarised"), needed.alias("needed"))
 

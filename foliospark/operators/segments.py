@@ -134,7 +134,7 @@ def unit_nodes(nodes: DataFrame, pages: DataFrame | None = None, side: int = SID
 
     Titles are the section's type and a number. Pages are those on which a unit's first and last paragraphs begin if pages are given, else the section's.
     """
-    rows = settled(nodes.withColumn("p", paragraphs(F.col("text"))))
+    rows = settled(nodes.select("doc_id", "idx", "title", "text", "start_index", "end_index", paragraphs(F.col("text")).alias("p")))
     found = units(rows.select("doc_id", "idx", "p"), side, least)
     told = found.join(rows.select("doc_id", "idx", "title", F.col("text").alias("whole_"), "start_index", "end_index", "p"), ["doc_id", "idx"])
     text = F.array_join(F.slice("p", F.col("start_paragraph") + 1, F.col("end_paragraph") - F.col("start_paragraph") + 1), "\n\n")

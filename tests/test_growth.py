@@ -250,3 +250,28 @@ def test_elements_without_whole_documents(spark, monkeypatch):
     found = markdown.line_elements(spark.createDataFrame(rows, "doc_id long, line_num int, line string"), size)
     told = {(1, "figure", 2, 1, 1, None, None), (1, "figure", 7, 5, 2, None, None), (1, "table", 3, 2, None, 3, 4), (3, "table", 1, 2, None, 1, 1)}
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in markdown.elements(docs).collect()} == told
+
+
+def test_trees_leave_no_files_but_their_own(spark):
+    """What was written on the way is deleted, and texts stay once with the nodes they were cut for."""
+    import glob
+
+    from foliospark import durable
+    from foliospark.plans import pipelines
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    had = set(glob.glob(f"{folder}/settled-*"))
+    kept = durable.settled_alone(lambda: durable.settled(durable.settled_alone(lambda: durable.settled(spark.range(5)))))
+    assert len(set(glob.glob(f"{folder}/settled-*")) - had) == 1 and kept.count() == 5
+    had = set(glob.glob(f"{folder}/settled-*"))
+    topics = ("garnet lithium ceramic powder", "sintering furnace temperature oxygen")
+    body = "\n\n".join(f"{topics[i // 3]} measured again sample." for i in range(6))
+    pages = spark.createDataFrame([(1, i, f"# Part {i}\n\n{body}\n\nFigure {i}: A curve\n", 50) for i in (1, 2)], "doc_id long, page_no int, text string, token_count int")
+    found = pipelines.build_tree(pages, {"granularity": "keywords"})
+    new = set(glob.glob(f"{folder}/settled-*")) - had
+    holding = [p for p in new if "text" in spark.read.parquet(p).columns]
+    assert len(holding) <= 4 and len(new) <= 9  # sections, two depths of units, elements
+    rows = {r.idx: r for r in found.collect()}
+    words = [r for r in rows.values() if r.node_type == "keyword"]
+    assert words and all(r.text == rows[r.parent_idx].text and r.title in r.text.lower() for r in words)
+    assert all(r.text for r in rows.values())
